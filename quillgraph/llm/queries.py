@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import importance, mixing, order_minhash, packing, quality_rules
+from . import html_extract, huffman, importance, licences, mixing, order_minhash, packing, quality_rules, url_lm, vector_graph
 from .base import table
 
 
@@ -30,16 +31,46 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.apply(table(spark, sf_dir, "pages"))
+
+
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.apply(table(spark, sf_dir, "embeddings"))
+
+
+def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.apply(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op8_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.apply(table(spark, sf_dir, "pages"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the tree source/lang. Those of up to NOTICE_LINES lines with a licence term stand for licence files."""
+    docs = table(spark, sf_dir, "documents")
+    notice = (F.size(F.split("text", "\n", NOTICE_LINES + 1)) <= NOTICE_LINES) & F.col("text").rlike(licences.HINT)
+    name = F.when(F.coalesce(notice, F.lit(False)), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text")
+    return licences.apply(files, id="doc_id")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.apply(table(spark, sf_dir, "documents"))
 
 
+NOTICE_LINES = 3
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_balanced_mix, op2_best_fit_packing, op3_line_rules, op5_importance, op10_order_minhash)}
+    return {f.__name__: f for f in (
+        op1_balanced_mix, op2_best_fit_packing, op3_line_rules, op4_tag_paths, op5_importance, op6_vector_graph, op7_huffman, op8_url_models, op9_licences, op10_order_minhash,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
