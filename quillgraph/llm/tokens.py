@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
 
 import numpy as np
 
-#: Words remembered in one Python worker, and the longest of them.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 48
+#: Words remembered in one Python worker, and the longest of them. Plain words are learnt JOINED at a time.
+MEMORY_WORDS, MEMORY_CHARS, JOINED = 800_000, 48, 200
+#: Words of Latin-1 letters, digits and most ASCII marks, and their parts as the pre-tokenizer cuts them.
+_LETTERS, _MARKS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF", r"!-&(-/:;=-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
     """Encodes texts word by word and remembers words. Spaces and newlines part words.
 
-    The tokenizer must never let a token reach over white space (its pre-tokenizer drops it), which `check` verifies; then
-    the ids of a text are those of its words in turn. All other white space stays inside the pieces given to the tokenizer.
+    The tokenizer must never let a token reach over white space (its pre-tokenizer drops it), must not tell capitals from small
+    letters, and must mark the last token of each of its parts with an ending of its own; `check` verifies this. Then the ids of a
+    text are those of its words in turn, and many plain words can be encoded as one text and parted again by counting endings. All
+    other white space stays inside the pieces given to the tokenizer. A batch of plain words whose endings don't add up is encoded
+    word by word.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -26,33 +33,79 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.uint32(end_id).tobytes()
         self.memory: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.check()
 
     def check(self) -> None:
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        if whole("one two\nthree  four's 5") != [i for w in ("one", "two", "three", "four's", "5") for i in whole(w)]:
-            raise ValueError("this tokenizer's tokens reach over white space; it can't be applied word by word")
+        if whole("one two\nthree  FOUR's 5") != [i for w in ("one", "two", "three", "four's", "5") for i in whole(w)]:
+            raise ValueError("this tokenizer can't be applied word by word in small letters")
+        if self.ends[whole("one,two 34")].sum() != 5:
+            raise ValueError("this tokenizer doesn't mark the ends of words")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _single(self, words: list[str]) -> dict[str, bytes]:
         ids = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, ids, strict=True)}
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain, out = [w for w in words if _PLAIN.fullmatch(w)], {}
+        if len(plain) < len(words):
+            out = self._single([w for w in words if not _PLAIN.fullmatch(w)])
+        chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            parts = np.cumsum([len(_PARTS.findall(w)) for w in chunk])
+            if len(ends) != parts[-1] or ends[-1] != len(ids) - 1:
+                out |= self._single(chunk)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, to in zip(chunk, ((ends[parts - 1] + 1) * 4).tolist(), strict=True):
+                out[w] = data[at:to]
+                at = to
+        return out
+
+    @staticmethod
+    def _words(text: str | None) -> list[str]:
+        """Small letters where that is sure to be what the tokenizer does: in Latin-1 texts."""
+        text = text or ""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.replace("\n", " ").split(" ")
+        return ("<|" in text and text or text.lower()).replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last. A null text is empty."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(self.memory))
-        if len(self.memory) + len(new) > MEMORY_WORDS:
-            self.memory = {"": b""}
-            new = list(set(chain.from_iterable(parts)).difference(self.memory))
-        short = [w for w in new if len(w) <= MEMORY_CHARS]
-        known = self.memory
-        known.update(self._learn(short))
-        if len(short) < len(new):
-            known = {**self._learn([w for w in new if len(w) > MEMORY_CHARS])}
-            get = lambda w: self.memory[w] if w in self.memory else known[w]
-            return [b"".join([get(w) for w in p]) + self.end for p in parts]
-        get = known.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+        words = [self._words(t) for t in texts]
+        get = self.memory.get
+        found = [list(map(get, w)) for w in words]
+        open_ = [i for i, f in enumerate(found) if None in f]
+        if open_:
+            gaps = [list(_gaps(found[i])) for i in open_]
+            known = self._learn(list({words[i][j] for i, at in zip(open_, gaps, strict=True) for j in at}))
+            for i, at in zip(open_, gaps, strict=True):
+                for j in at:
+                    found[i][j] = known[words[i][j]]
+            short = {w: b for w, b in known.items() if len(w) <= MEMORY_CHARS}
+            if len(self.memory) + len(short) > MEMORY_WORDS:
+                self.memory.clear()
+                self.memory[""] = b""
+            self.memory.update(short)
+        return [b"".join(f) + self.end for f in found]
+
+
+def _gaps(row: list):
+    at = -1
+    while True:
+        try:
+            at = row.index(None, at + 1)
+        except ValueError:
+            return
+        yield at
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
