@@ -1,7 +1,7 @@
 """Operator 7, token ids in binary files under one canonical Huffman code whose lengths have a limit.
 
-Two passes over the texts: one counts ids (partial sums, then at most one row for each id of the vocabulary reaches the driver), one
-codes each document. Coded documents are dealt to shards by ranges of their id and written in order. Reading needs no other state.
+Texts are encoded once and their ids written down; then ids are counted (partial sums, then at most one row for each id of the
+vocabulary reaches the driver) and each document is coded. Coded documents are dealt to shards by ranges of their id and written in order. Reading needs no other state.
 
 Files, all numbers little-endian:
   codebook: magic QHUFCODE, u32 size of the alphabet, one u8 code length for each id (0: no code). Codes are canonical: by length,
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import saved, scratch, ship
+from .base import discard, saved, scratch, ship
 from .tokens import encoder, groups
 
 LIMIT, BLOCK, STRIDE = 16, 8192, 512
@@ -231,33 +231,61 @@ def read_shard(folder: str, name: str, table: np.ndarray, limit: int = LIMIT):
         first = last
 
 
-def _counted(path: str, end_id: int):
+def _tokens(path: str, end_id: int):
+    """(id, n, ids): little-endian ids of two bytes where the vocabulary allows, else four."""
+
     def run(frames):
-        total = np.zeros(0, dtype=np.int64)
-        encode_texts = encoder(path, end_id).encode
+        own = encoder(path, end_id)
+        narrow = max(own.tokenizer.get_vocab_size(), end_id) < 1 << 16
         for pdf in frames:
-            texts = pdf["text"].tolist()
+            ids, texts = pdf["id"], pdf["text"].tolist()
             for a, b in groups(texts):
-                n = np.bincount(np.frombuffer(b"".join(encode_texts(texts[a:b])), dtype="<u4"))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"token": at, "n": total[at]})
+                data = own.encode(texts[a:b])
+                n = [len(x) // 4 for x in data]
+                if narrow:
+                    data = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in data]
+                yield pd.DataFrame({"id": ids.iloc[a:b].astype("Int64").to_numpy(), "n": n, "ids": data})
 
     return run
 
 
-def _coded(path: str, end_id: int, lengths: np.ndarray):
+def _ids(data, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4")
+
+
+def _counted(frames):
+    total = np.zeros(0, dtype=np.int64)
+    for pdf in frames:
+        for data, n in zip(pdf["ids"], pdf["n"].tolist(), strict=True):
+            c = np.bincount(_ids(data, n))
+            if len(c) > len(total):
+                c[: len(total)] += total
+                total = c
+            else:
+                total[: len(c)] += c
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"token": at, "n": total[at]})
+
+
+def _batches(sizes: list[int], most: int = 1_000_000):
+    at = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _coded(lengths: np.ndarray):
     def run(frames):
-        encode_texts, codes = encoder(path, end_id).encode, canonical(lengths)
+        codes = canonical(lengths)
         for pdf in frames:
-            ids, texts = pdf["id"], pdf["text"].tolist()
-            for a, b in groups(texts):
-                documents = [np.frombuffer(x, dtype="<u4") for x in encode_texts(texts[a:b])]
-                yield pd.DataFrame({"id": ids.iloc[a:b].astype("Int64").to_numpy(), "n": [len(d) for d in documents], "coded": encode(documents, lengths, codes)})
+            sizes, data = pdf["n"].tolist(), pdf["ids"].tolist()
+            for a, b in _batches(sizes):
+                documents = [_ids(x, n) for x, n in zip(data[a:b], sizes[a:b], strict=True)]
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].astype("Int64").to_numpy(), "n": sizes[a:b], "coded": encode(documents, lengths, codes)})
 
     return run
 
@@ -305,13 +333,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id: str
     """Writes codebook and shards into a new folder that all executors reach; gives the manifest (part, number, name, docs, ids, start)."""
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    counts = source.select("text").mapInPandas(_counted(tokenizer, end_id), "token long, n long").groupBy("token").agg(F.sum("n")).collect()
+    tokens = saved(source.mapInPandas(_tokens(tokenizer, end_id), "id long, n long, ids binary"), "tokens")
+    counts = tokens.select("n", "ids").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n")).collect()
     total = np.zeros(max((t for t, _ in counts), default=-1) + 1, dtype=np.int64)
     for t, n in counts:
         total[t] = n
     lengths = code_lengths(total)
     write_codebook(folder, lengths)
-    coded = saved(source.mapInPandas(_coded(tokenizer, end_id, lengths), "id long, n long, coded binary"), "coded")
+    coded = saved(tokens.mapInPandas(_coded(lengths), "id long, n long, coded binary"), "coded")
+    discard(tokens)
     size = coded.agg(F.sum(F.length("coded"))).first()[0] or 0
     dealt = coded.repartitionByRange(max(1, -(-size // shard)), "id", "n").sortWithinPartitions("id", "n", "coded")
     manifest = saved(dealt.mapInPandas(_sharded(folder, 2 * shard), "part int, number int, name string, docs long, ids long"), "manifest")
