@@ -94,15 +94,19 @@ def search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, table: np.ndarra
         here = self_ >= 0
         sims[rows[here], self_[here]] = 1
 
-        def expand(r, node, q=q, sims=sims, done=done):
-            done[r, node] = True
-            to = table[node]
-            r, to = np.repeat(r, to.shape[1])[(ok := to.ravel() >= 0)], to.ravel()[ok]
-            new = sims[r, to] < -1.5
-            flat = np.unique(r[new] * len(x) + to[new])
-            r, to = flat // len(x), flat % len(x)
-            for a in range(0, len(r), 100_000):
-                sims[r[a : a + 100_000], to[a : a + 100_000]] = np.einsum("ij,ij->i", q[r[a : a + 100_000]], x[to[a : a + 100_000]])
+        def expand(every, nodes, q=q, sims=sims, done=done):
+            done[every, nodes] = True
+            step = max(1, 1_000_000 // table.shape[1])
+            for a in range(0, len(every), step):
+                to = table[nodes[a : a + step]]
+                r = np.repeat(every[a : a + step], to.shape[1])
+                to = to.ravel()
+                new = to >= 0
+                new[new] = sims[r[new], to[new]] < -1.5
+                flat = np.unique(r[new] * len(x) + to[new])
+                r, to = flat // len(x), flat % len(x)
+                for k in range(0, len(r), 100_000):
+                    sims[r[k : k + 100_000], to[k : k + 100_000]] = np.einsum("ij,ij->i", q[r[k : k + 100_000]], x[to[k : k + 100_000]])
 
         for _ in range(STEPS):
             open_ = np.where(done, np.float32(-3), sims)
