@@ -31,19 +31,14 @@ RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def _repeat_words(words: Column) -> Column:
     """Words that stand in a three-word window found twice or more. Equal windows meet by sorting them with their places."""
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(words) - WINDOW + 1),
-        lambda i: F.struct(F.concat_ws(" ", *(F.get(words, i + (k - 1)) for k in range(WINDOW))).alias("k"), i.alias("p")),
-    )
+    text = lambda x, i: F.concat(x, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2))  # noqa: E731  null for the last two
+    windows = F.transform(words, lambda x, i: F.struct(text(x, i).alias("k"), i.alias("p")))
     twice = let(
         F.sort_array(windows),
-        lambda s: F.transform(
-            F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get(s, i - 1)["k"] == x["k"], F.lit(False))),
-            lambda x: x["p"],
-        ),
+        lambda s: F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["k"] == y["k"], F.array(x["p"], y["p"]))), lambda x: x.isNotNull()),
     )
     covered = let(
-        F.sort_array(twice),
+        F.sort_array(F.flatten(twice)),
         lambda p: F.aggregate(
             F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))),
             F.lit(0), lambda total, x: total + x,
@@ -54,17 +49,16 @@ def _repeat_words(words: Column) -> Column:
 
 def _line_fails(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules of one line; a line without a word passes."""
-    n = F.regexp_count(line, F.lit(WORD))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    bars = F.length(line) - F.length(F.translate(line, "|", ""))
-    shouted = F.regexp_count(line, F.lit(r"!!(?![^\x20\x09-\x0D])"))
-    low = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler |= F.contains(low, F.lit(phrase))
-    return (n > 0) & (
-        (symbols * 100 > n * MAX_SYMBOL_PERCENT) | (bars >= MENU_BARS) & (bars * 3 >= n) | (shouted * 100 >= n * MAX_SHOUT_PERCENT) | (n <= BOILER_WORDS) & boiler
-    )
+    marks = lambda chars: F.length(line) - F.length(F.translate(line, chars, ""))
+    phrases = F.array(*map(F.lit, BOILERPLATE))
+
+    def rules(n: Column) -> Column:
+        shouted = F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(r"!!(?![^\x20\x09-\x0D])")) * 100 >= n * MAX_SHOUT_PERCENT)
+        menu = F.contains(line, F.lit("|")) & let(marks("|"), lambda bars: (bars >= MENU_BARS) & (bars * 3 >= n))
+        boiler = (n <= BOILER_WORDS) & let(F.lower(line), lambda low: F.exists(phrases, lambda p: F.contains(low, p)))
+        return (n > 0) & (shouted | menu | (marks(SYMBOLS) * 100 > n * MAX_SYMBOL_PERCENT) | boiler)
+
+    return let(F.regexp_count(line, F.lit(WORD)), rules)
 
 
 def apply(docs: DataFrame, text: str = "text") -> DataFrame:
