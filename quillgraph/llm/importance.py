@@ -31,7 +31,7 @@ class _Memory(dict):
     def __missing__(self, token: str) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         code = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
         self[token] = code

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words remembered in one Python worker, and the longest of them. Plain words are learnt JOINED at a time.
-MEMORY_WORDS, MEMORY_CHARS, JOINED = 800_000, 48, 200
+MEMORY_WORDS, MEMORY_CHARS, JOINED = 500_000, 48, 200
 #: Words of Latin-1 letters, digits and most ASCII marks, and their parts as the pre-tokenizer cuts them.
 _LETTERS, _MARKS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF", r"!-&(-/:;=-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
