@@ -211,20 +211,17 @@ def fit_pivots(reps: DataFrame, sizes: list[tuple], cell: int, dims: int) -> dic
 def _placed(pivots: dict, probes: int, margin: float):
     def run(frames):
         for pdf in frames:
-            cells, home, overlap = [], [], []
-            x = _unit(_stack(pdf["v"]))
-            for label, v in zip(pdf["label"], x, strict=True):
+            near: dict[int, list[int]] = {}
+            for label, part in pdf.groupby("label", sort=False):  # a label's vectors have one length
                 centre = pivots.get(label)
                 if centre is None:
-                    near = [0]
-                else:
-                    sims = centre @ v
+                    near |= dict.fromkeys(part.index, [0])
+                    continue
+                for i, sims in zip(part.index, _unit(_stack(part["v"])) @ centre.T, strict=True):
                     order = np.argsort(-sims, kind="stable")
-                    near = order[: max(probes, int((sims >= sims.max() - margin).sum()))].tolist()
-                cells.append(near)
-                home.append(near[0])
-                overlap.append(near[:OVERLAP])
-            yield pdf.assign(home=home, overlap=overlap, probed=cells)
+                    near[i] = order[: max(probes, int((sims >= sims.max() - margin).sum()))].tolist()
+            cells = [near[i] for i in pdf.index]
+            yield pdf.assign(home=[c[0] for c in cells], overlap=[c[:OVERLAP] for c in cells], probed=cells)
 
     return run
 
