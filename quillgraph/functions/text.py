@@ -23,6 +23,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def token_count(text: Column) -> Column:
     """F1. Null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clamp
+from .text import clamp, strip
 
 #: Where a response may hold its JSON object.
 JSON_FENCE = r"(?s)```(?:json)?\s*\n?(\{.*?\})\s*\n?```"
@@ -58,7 +58,7 @@ def _object(text: Column) -> Column:
 def json_object(response: Column, keys: tuple[str, ...]) -> Column:
     """the fenced object, else the text from the first known key on to the last brace, else the whole text."""
     keyed = r"(?s)(\{\s*\"(?:" + "|".join(keys) + r")\"\s*:.*\})"
-    return F.coalesce(_object(_found(response, JSON_FENCE)), _object(_found(response, keyed)), _object(F.trim(response)))
+    return F.coalesce(_object(_found(response, JSON_FENCE)), _object(_found(response, keyed)), _object(strip(response)))
 
 
 def _scalar(v: Column, name: str, kind: str = "string") -> Column:
@@ -79,7 +79,7 @@ def _array(v: Column, name: str) -> Column:
 def _texts(v: Column, name: str, drop_none: bool = True) -> Column:
     """trimmed primitives that aren't empty (and not "none"); null if the field is no array."""
     plain = F.filter(_array(v, name), lambda e: ~F.schema_of_variant(e).rlike("^(OBJECT|ARRAY)"))
-    values = F.transform(plain, lambda e: F.trim(F.try_variant_get(e, "$", "string")))
+    values = F.transform(plain, lambda e: strip(F.try_variant_get(e, "$", "string")))
     return F.filter(values, lambda s: s.isNotNull() & (s != "") & ((F.lower(s) != "none") if drop_none else F.lit(True)))
 
 
@@ -88,7 +88,7 @@ def _empty(kind: str = _STRINGS) -> Column:
 
 
 def _severity(word: Column) -> Column:
-    up = F.upper(F.trim(word))
+    up = F.upper(strip(word))
     return F.when(up.isin("HIGH", "MEDIUM", "LOW"), up).otherwise("MEDIUM")
 
 
@@ -117,14 +117,14 @@ def until_section(text: Column, headers: tuple[str, ...], skip: int = 0) -> Colu
 def after(text: Column, header: str) -> Column:
     """What follows a header, trimmed; null without it."""
     at = F.instr(F.lower(text), header.lower())
-    return F.when(at > 0, F.trim(F.substring(text, (at + len(header)).cast("int"), F.lit(1 << 30))))
+    return F.when(at > 0, strip(F.substring(text, (at + len(header)).cast("int"), F.lit(1 << 30))))
 
 
 def _bullets(text: Column, numbered: bool) -> Column:
     mark = r"^([-*]\s|\d+\.\s)" if numbered else r"^[-*] "
-    strip = r"^[-*]\s+|^\d+\.\s+" if numbered else r"^[-*]\s+"
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
-    found = F.transform(F.filter(lines, lambda x: x.rlike(mark)), lambda x: F.trim(F.regexp_replace(x, strip, "")))
+    head = r"^[-*]\s+|^\d+\.\s+" if numbered else r"^[-*]\s+"
+    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    found = F.transform(F.filter(lines, lambda x: x.rlike(mark)), lambda x: strip(F.regexp_replace(x, head, "")))
     return F.filter(found, lambda x: x != "")
 
 
@@ -134,7 +134,7 @@ def unstructured_severity(text: Column) -> Column:
 
 
 def _text_risks(text: Column) -> Column:
-    line = lambda s: _risk(F.trim(F.regexp_extract(s, r"(?i)RISK:\s*([^|]+?)\s*\|", 1)), F.upper(F.regexp_extract(s, r"(?i)SEVERITY:\s*(HIGH|MEDIUM|LOW)", 1)), F.trim(F.regexp_extract(s, r"(?i)MITIGATION:\s*([^\n]+)", 1)))
+    line = lambda s: _risk(strip(F.regexp_extract(s, r"(?i)RISK:\s*([^|]+?)\s*\|", 1)), F.upper(F.regexp_extract(s, r"(?i)SEVERITY:\s*(HIGH|MEDIUM|LOW)", 1)), strip(F.regexp_extract(s, r"(?i)MITIGATION:\s*([^\n]+)", 1)))
     tagged = F.transform(F.regexp_extract_all(text, F.lit(RISK_LINE), F.lit(0)), line)
     low = F.lower(text)
     at = F.when(F.instr(low, "risks:") > 0, F.instr(low, "risks:")).when(F.instr(low, "risk:") > 0, F.instr(low, "risk:"))
@@ -158,20 +158,20 @@ def safety_verdict(response: Column) -> Column:
     )
     said = _found(response, VERDICT)
     sure = F.coalesce(_found(response, CONFIDENCE).cast("double"), F.lit(0.0))
-    needs = F.transform(F.regexp_extract_all(F.coalesce(_found(response, NEEDS), F.lit("")), F.lit(r"(?m)^\s*[-*]\s+(.+)$"), F.lit(1)), lambda s: F.regexp_replace(F.trim(s), r"[`'\"]", ""))
+    needs = F.transform(F.regexp_extract_all(F.coalesce(_found(response, NEEDS), F.lit("")), F.lit(r"(?m)^\s*[-*]\s+(.+)$"), F.lit(1)), lambda s: F.regexp_replace(strip(s), r"[`'\"]", ""))
     told = after(response, "feedback:")
     from_text = F.struct(
         F.coalesce(F.upper(said) == "SAFE", _has(response, SAFE_PHRASES) | (sure >= 0.9)).alias("safe"),
         clamp(sure, 0.0, 1.0).alias("confidence"),
         _text_risks(response).alias("risks"),
         F.filter(needs, lambda s: (s != "") & ~F.lower(s).isin("none", "nothing")).alias("needs"),
-        F.trim(F.coalesce(until_section(told, SAFETY_SECTIONS), response)).alias("feedback"),
+        strip(F.coalesce(until_section(told, SAFETY_SECTIONS), response)).alias("feedback"),
         F.lit(False).alias("parsed_from_json"),
     )
     empty = F.struct(
         F.lit(False).alias("safe"), F.lit(0.0).alias("confidence"), _empty("array<struct<description:string,severity:string,mitigation:string>>").alias("risks"), _empty().alias("needs"),
         F.lit("Empty analyzer response").alias("feedback"), F.lit(False).alias("parsed_from_json"))
-    return F.when(F.coalesce(F.trim(response), F.lit("")) == "", empty).when(v.isNotNull(), from_json).otherwise(from_text)
+    return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).when(v.isNotNull(), from_json).otherwise(from_text)
 
 
 def distributed_verdict(response: Column) -> Column:
@@ -186,7 +186,7 @@ def distributed_verdict(response: Column) -> Column:
         F.coalesce(F.lower(_found(response, r"(?i)\"?safe\"?\s*[:=]\s*(true|false)")) == "true", F.lit(False)).alias("safe"),
         clamp(F.coalesce(_found(response, r"(?i)\"?confidence\"?\s*[:=]\s*([0-9]*\.?[0-9]+)").cast("double"), F.lit(0.0)), 0.0, 1.0).alias("confidence"),
         nothing.alias("issues"), _empty().alias("missing_context"), F.lit(summary).alias("summary"), F.lit(False).alias("parsed_from_json"))
-    blank = F.coalesce(F.trim(response), F.lit("")) == ""
+    blank = F.coalesce(strip(response), F.lit("")) == ""
     return F.when(blank, text("Empty analyzer response")).when(v.isNotNull(), from_json).otherwise(text("WARNING: Could not parse JSON from analyzer. Raw text used as fallback."))
 
 
@@ -197,7 +197,7 @@ def verdict_json(verdict: Column) -> Column:
 
 def judge_verdict(response: Column) -> Column:
     """struct(passed, score, feedback, issues)."""
-    blank = F.coalesce(F.trim(response), F.lit("")) == ""
+    blank = F.coalesce(strip(response), F.lit("")) == ""
     passed = F.coalesce(F.upper(_found(response, JUDGE_VERDICT)) == "PASS", _has(response, APPROVALS))
     score = clamp(F.coalesce(_found(response, JUDGE_SCORE).cast("double"), F.when(passed, 1.0).otherwise(0.0)), 0.0, 1.0)
     feedback = F.regexp_replace(F.coalesce(_found(response, JUDGE_FEEDBACK), response), r"^\s+|\s+$", "")
@@ -208,7 +208,7 @@ def judge_verdict(response: Column) -> Column:
 def missing_references(text: Column) -> Column:
     """F15."""
     inner = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(MISSING), F.lit(1)), lambda s: F.split(s, ",")))
-    listed = F.array_distinct(F.filter(F.transform(inner, lambda s: F.trim(F.regexp_replace(F.trim(s), r"[`'\"]", ""))), lambda s: s != ""))
+    listed = F.array_distinct(F.filter(F.transform(inner, lambda s: strip(F.regexp_replace(strip(s), r"[`'\"]", ""))), lambda s: s != ""))
     asked = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(NEED_TO_SEE), F.lit(1)), lambda s: s != ""))
     return F.when(F.size(listed) > 0, listed).otherwise(asked)
 
@@ -217,18 +217,18 @@ def breaking_changes(text: Column) -> Column:
     """bullets of the section; without bullets its text, unless it says that there are none."""
     low = F.lower(text)
     at = F.when(F.instr(low, "breaking change") > 0, F.instr(low, "breaking change")).when(F.instr(low, "breaking:") > 0, F.instr(low, "breaking:"))
-    section = until_section(F.trim(F.substring(text, at.cast("int"), F.lit(1 << 30))), RESPONSE_SECTIONS, 20)
+    section = until_section(strip(F.substring(text, at.cast("int"), F.lit(1 << 30))), RESPONSE_SECTIONS, 20)
     bullets = _bullets(section, True)
-    rest = F.trim(F.regexp_replace(section, r"(?i)^BREAKING[^:]*:?\s*", ""))
+    rest = strip(F.regexp_replace(section, r"(?i)^BREAKING[^:]*:?\s*", ""))
     plain = F.when((F.length(section) > 20) & (rest != "") & (F.lower(rest) != "none") & ~F.contains(F.lower(rest), F.lit("no breaking changes")), F.array(rest)).otherwise(_empty())
     return F.when(at.isNull(), _empty()).when(F.size(bullets) > 0, bullets).otherwise(plain)
 
 
 def explanation(text: Column) -> Column:
     """the section, else what follows the last Java block."""
-    named = F.trim(until_section(after(text, "explanation:"), RESPONSE_SECTIONS))
-    tail = F.trim(F.regexp_extract(text, r"(?s).*```java\s*\n.*?```(.*)$", 1))
-    return F.coalesce(named, F.trim(F.regexp_extract(tail, r"(?is)^(.*?)(?:BREAKING|MISSING:|\z)", 1)), F.lit(""))
+    named = strip(until_section(after(text, "explanation:"), RESPONSE_SECTIONS))
+    tail = strip(F.regexp_extract(text, r"(?s).*```java\s*\n.*?```(.*)$", 1))
+    return F.coalesce(named, strip(F.regexp_extract(tail, r"(?is)^(.*?)(?:BREAKING|MISSING:|\z)", 1)), F.lit(""))
 
 
 def code_text(text: Column) -> Column:
@@ -256,7 +256,7 @@ def refactor_response(response: Column) -> Column:
     from_text = make(code_text(response), explanation(response), missing_references(response), breaking_changes(response), False)
     empty = make(F.lit(""), F.lit(""), _empty(), _empty(), False)
     known = _known(v, ("code_blocks", "explanation", "breaking_changes", "missing_references"))
-    return F.when(F.coalesce(F.trim(response), F.lit("")) == "", empty).when(v.isNotNull() & known, from_json).otherwise(from_text)
+    return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).when(v.isNotNull() & known, from_json).otherwise(from_text)
 
 
 def analysis_response(response: Column) -> Column:

@@ -1,4 +1,5 @@
-"""Graph traversal over an edge table (edge_type, src, dst). Depths are bounded, so each traversal is one lazy plan of a few joins."""
+"""Graph traversal over an edge table (edge_type, src, dst). Depths are bounded; each hop is one join with the frontier, whose rows are
+written down, so that plans stay small and no hop is computed twice."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, ship
+
 NEIGHBOUR_TYPES = ("CALLS", "CALLED_BY", "BELONGS_TO")
 MAX_PATH_HOPS, MAX_EXPANSION, MAX_CHAIN, PATHS = 6, 3, 4, 3
 
@@ -23,11 +26,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def _reach(pairs: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
     """(anchor, node, hop): least hops over pairs (src, dst) from each anchor, up to depth. Nodes met again are dropped at once."""
-    seen = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop")).distinct()
-    front = seen
+    seen = front = cut(anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop")).distinct())
+    if depth > 1:
+        pairs = cut(pairs)
     for k in range(1, depth + 1):
         step = front.join(pairs, front["node"] == pairs["src"]).select("anchor", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(k))
+        front = cut(step.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(k)))
         seen = seen.unionByName(front)
     return seen
 
@@ -53,9 +57,11 @@ def siblings(edges: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def retrieval_expansion(edges: DataFrame, anchors: DataFrame, methods: DataFrame, depth: int, top_k: int) -> DataFrame:
     """G3 (with O8): G1; one hop more for anchors with fewer than top_k // 2 neighbours; siblings at 1 where they are absent."""
-    near = expand(edges, anchors, depth, methods)
+    near = cut(expand(edges, anchors, depth, methods))
     counts = near.groupBy("anchor").agg((F.count("*") - 1).alias("n")).where(F.col("n") < top_k // 2).select("anchor")
-    found = near.unionByName(expand(edges, counts, depth + 1, methods)).groupBy("anchor", "node").agg(F.min("hop").alias("hop"))
+    counts = cut(counts)
+    more = near if counts.isEmpty() else near.unionByName(expand(edges, counts, depth + 1, methods))
+    found = more.groupBy("anchor", "node").agg(F.min("hop").alias("hop"))
     beside = siblings(edges, anchors).join(found.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(1))
     return found.unionByName(beside)
 
@@ -72,31 +78,31 @@ def shortest_paths(edges: DataFrame, source: str, target: str, hops: int = MAX_P
     Only steps that lie on a shortest path are followed: those whose distances from the source and to the target add up.
     """
     hops = max(1, min(MAX_PATH_HOPS, hops))
-    steps = _steps(edges, ("CALLS",) if directed else ("CALLS", "CALLED_BY"), directed)
+    steps = cut(_steps(edges, ("CALLS",) if directed else ("CALLS", "CALLED_BY"), directed))
     spark = edges.sparkSession
     one = lambda x: spark.range(1).select(F.lit(x).alias("anchor"))
-    ahead = _reach(steps.select("src", "dst").distinct(), one(source), hops).select(F.col("node").alias("src"), F.col("hop").alias("a"))
-    back = _reach(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), one(target), hops).select(F.col("node").alias("dst"), F.col("hop").alias("b"))
-    length = back.where(F.col("dst") == source).select(F.col("b").alias("length"))
-    # length is one row
-    onto = steps.join(ahead, "src").join(back, "dst").join(F.broadcast(length)).where(F.col("a") + 1 + F.col("b") == F.col("length"))
-    onto = onto.select("a", "src", "dst", F.struct("src", "dst", F.col("edge_type").alias("rel_type"), "direction").alias("e"))
     none = F.array().cast("array<struct<src:string,dst:string,rel_type:string,direction:string>>")
-    paths = length.select(F.array(F.lit(source)).alias("nodes"), none.alias("edges"), "length")
-    done = paths.where("length = 0")
-    for k in range(hops):
+    back = _reach(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), one(target), hops).select(F.col("node").alias("dst"), F.col("hop").alias("b"))
+    row = back.where(F.col("dst") == source).first()
+    if row is None:
+        return spark.createDataFrame([], "nodes array<string>, edges array<struct<src:string,dst:string,rel_type:string,direction:string>>, length int")
+    length = row["b"]
+    ahead = _reach(steps.select("src", "dst").distinct(), one(source), length).select(F.col("node").alias("src"), F.col("hop").alias("a"))
+    onto = steps.join(ahead, "src").join(back, "dst").where(F.col("a") + 1 + F.col("b") == length)
+    onto = cut(onto.select("a", "src", "dst", F.struct("src", "dst", F.col("edge_type").alias("rel_type"), "direction").alias("e")))
+    paths = spark.range(1).select(F.array(F.lit(source)).alias("nodes"), none.alias("edges"))
+    for k in range(length):
         grown = paths.join(onto.where(F.col("a") == k), F.element_at("nodes", -1) == F.col("src"))
-        paths = grown.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"), "length")
-        done = done.unionByName(paths.where(F.col("length") == k + 1))
+        paths = grown.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
     text = F.concat_ws("\n", F.array_join("nodes", "\n"), F.to_json("edges"))
-    return done.orderBy("length", text).limit(cap)
+    return paths.withColumn("length", F.lit(length)).orderBy(text).limit(cap)
 
 
 def path_or_undirected(edges: DataFrame, source: str, target: str, hops: int = MAX_PATH_HOPS, cap: int = PATHS) -> DataFrame:
     """Directed paths, else undirected ones."""
-    found = shortest_paths(edges, source, target, hops, cap).withColumn("directed", F.lit(True))
-    other = shortest_paths(edges, source, target, hops, cap, directed=False).withColumn("directed", F.lit(False))
-    return found.unionByName(other.join(found.select(F.lit(1).alias("x")).limit(1), how="left_anti"))
+    found = shortest_paths(edges, source, target, hops, cap)
+    directed = not found.isEmpty()
+    return (found if directed else shortest_paths(edges, source, target, hops, cap, directed=False)).withColumn("directed", F.lit(directed))
 
 
 def paths_from_anchor(edges: DataFrame, anchor: str, targets: DataFrame, hops: int = MAX_PATH_HOPS) -> DataFrame:
@@ -106,11 +112,11 @@ def paths_from_anchor(edges: DataFrame, anchor: str, targets: DataFrame, hops: i
     """
     hops = max(1, min(MAX_PATH_HOPS, hops))
     steps = by_type(edges, "CALLS").select("src", "dst").distinct()
-    front = edges.sparkSession.range(1).select(F.lit(anchor).alias("node"), F.array(F.lit(anchor)).alias("path"))
-    seen = front
+    steps = cut(steps)
+    seen = front = cut(edges.sparkSession.range(1).select(F.lit(anchor).alias("node"), F.array(F.lit(anchor)).alias("path")))
     for _ in range(hops):
         step = front.join(steps, front["node"] == steps["src"]).groupBy("dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        front = step.withColumnRenamed("dst", "node").join(seen.select("node"), "node", "left_anti")
+        front = cut(step.withColumnRenamed("dst", "node").join(seen.select("node"), "node", "left_anti"))
         seen = seen.unionByName(front)
     return seen.join(targets.select(F.col("chunk_id").alias("node")).distinct(), "node", "left_semi")
 
@@ -155,6 +161,8 @@ def call_chain(edges: DataFrame, anchors: DataFrame, depth: int, callers: bool =
     region = near.join(steps, near["node"] == steps["src"]).select("anchor", "src", "dst")
     region = anchors.select("anchor").distinct().join(region, "anchor", "left")
 
+    ship(edges.sparkSession)
+
     def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
         children = {s: sorted(g) for s, g in pdf.dropna().groupby("src")["dst"]}
         seen, rows, todo = set(), [], [(key[0], 0)]

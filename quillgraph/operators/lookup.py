@@ -35,7 +35,7 @@ def find_methods(chunks: DataFrame, wanted: DataFrame, dotted: bool = False) ->
 
 
 def find_classes(classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(identifier, fq_name, rule). Rules: 1 the full name; 2 the simple name; 3 a path's end, for *.java only; 4 the end of the full name."""
+    """(identifier, fq_name, rule). Rules: 1 the full name; 2 the simple name; 3 a path's end (whole steps of it), for *.java only; 4 the end of the full name."""
     c = classes.select("fq_name", "simple_name", "file_path")
     ask = wanted.select("identifier").distinct()
     keep = lambda df, k: df.select("identifier", "fq_name", F.lit(k).alias("rule"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, canonical_id
 from ..operators import boilerplate
+from .tables import cut, ship
 
 _LEX = re.compile(
     r'(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<text>"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')'
@@ -554,6 +555,8 @@ def read_listed(spark: SparkSession, files: list[str]) -> DataFrame:
 def scan(files: DataFrame, budget: int = 512) -> DataFrame:
     """One row for each file (FILE). Files are independent, so this is one pass without a shuffle."""
 
+    ship(files.sparkSession)
+
     def run(frames):
         for pdf in frames:
             rows = []
@@ -571,6 +574,7 @@ class Tables:
     """The tables of a scanned tree: types, chunks, classes, fields, packages, edges (before admission), calls, errors."""
 
     def __init__(self, scanned: DataFrame):
+        scanned = cut(scanned)
         self.errors = scanned.where("error is not null").select("file_path", "error")
         pkg = F.coalesce("package_name", F.lit(""))
         fq = lambda name: F.when(F.col("pkg") == "", name).otherwise(F.concat("pkg", F.lit("."), name))
@@ -578,11 +582,11 @@ class Tables:
         self.packages = scanned.where("package_name <> ''").select(F.col("package_name").alias("name")).distinct()
         known = self.types.select("fq_name", F.col("t.name").alias("simple_name"), "pkg").distinct()
         self.known = known
-        self.classes = self._classes()
+        self.classes = cut(self._classes())
         self.fields = self.types.select("fq_name", F.explode("t.fields").alias("f")).select(F.concat("fq_name", F.lit("."), "f.name").alias("fq_name"), F.col("f.name").alias("name"), F.col("f.declaration").alias("declaration"), F.col("f.type").alias("type"), F.col("fq_name").alias("owning_class_fqn"))
-        self.methods = self._methods()
-        self.calls = self._calls()
-        self.chunks = self._chunks()
+        self.methods = cut(self._methods())
+        self.calls = cut(self._calls())
+        self.chunks = cut(self._chunks())
 
     def resolve(self, rows: DataFrame, written: str) -> DataFrame:
         """Adds `resolved` to rows (pkg, imports, written type): an import, the same package, or null. Generics are erased."""
@@ -670,7 +674,7 @@ class Tables:
         out = from_chunks(kept, info)
         for e in (imports, inner, contains, supers, has):
             out = out.unionByName(e)
-        return out.distinct()
+        return cut(out.distinct())
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """The admitted edges and the stub types."""
@@ -683,6 +687,8 @@ class Tables:
 def parsed_methods(blocks: DataFrame) -> DataFrame:
     """For diffs: the methods of code blocks (block, code): a whole file, types, or bare methods. A block that doesn't scan gives one row with parse_error."""
 
+    ship(blocks.sparkSession)
+
     def run(frames):
         for pdf in frames:
             rows = []
@@ -691,8 +697,10 @@ def parsed_methods(blocks: DataFrame) -> DataFrame:
                     rows += [{"block": block, **m} for m in methods_of(code or "")]
                 except (ScanError, IndexError, KeyError):
                     rows.append({"block": block, "parse_error": True})
-            yield pd.DataFrame(rows, columns=["block", "class_name", "method_name", "return_type", "params", "visibility", "throws", "calls", "annotations", "body", "signature", "code", "parse_error"])
+            rows = [{c: r.get(c) for c in columns} for r in rows]
+            yield pd.DataFrame(rows, columns=columns)
 
+    columns = ["block", "class_name", "method_name", "return_type", "params", "visibility", "throws", "calls", "annotations", "body", "signature", "code", "parse_error"]
     kind = dict(blocks.dtypes)["block"]
     return blocks.select("block", "code").mapInPandas(run, f"block {kind}, class_name string, method_name string, return_type string, params array<string>, visibility string, throws array<string>, calls array<string>, annotations array<string>, body string, signature string, code string, parse_error boolean")
 

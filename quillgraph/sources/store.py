@@ -81,6 +81,9 @@ def embed(chunks: DataFrame, embedder) -> DataFrame:
     import pandas as pd
 
     from ..functions.text import embedding_text
+    from .tables import ship
+
+    ship(chunks.sparkSession)
 
     def run(frames):
         own = embedder()
