@@ -73,5 +73,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+_W, _BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _rules_sql() -> str:
+    phrases = " OR ".join(f"contains(lower(line), {_text(p)})" for p in quality_rules.BOILERPLATE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS w FROM d),
+k AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 3)),
+c AS (SELECT doc_id, x FROM k GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat FROM k JOIN c USING (doc_id, x), (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
+s AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+l AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_W}')) AS n, length(regexp_replace(line, '{_BLANK}', '', 'g')) AS chars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+  length(line) - length(replace(line, '|', '')) AS bars, len(regexp_extract_all(line, '!!(?:[\\x20\\x09-\\x0D]|$)')) AS shouted FROM s),
+b AS (SELECT *, n > 0 AND (symbols * 100 > n * {quality_rules.MAX_SYMBOL_PERCENT} OR (bars >= {quality_rules.MENU_BARS} AND bars * 3 >= n) OR (contains(line, '!!') AND shouted * 100 >= n * {quality_rules.MAX_SHOUT_PERCENT})
+  OR (n <= {quality_rules.BOILER_WORDS} AND ({phrases}))) AS bad FROM l),
+g AS (SELECT doc_id, coalesce(sum(chars) FILTER (bad), 0) AS lost, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, lost
+  FROM w JOIN g USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost * 100 <= word_chars * {quality_rules.MAX_LOST_PERCENT} AS kept FROM a
+"""
+
+
+_VECTORS_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {vector_graph.COSINE}),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, root FROM reach JOIN l ON l.a = node),
+c AS (SELECT node, min(root) AS root FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
+def _licences_sql() -> str:
+    hint = _text(licences.HINT)
+    fixed = ", ".join(f"({i}, {_text(n)}, {_text(t)})" for i, (n, t) in enumerate(licences.TEMPLATES))
+    return f"""
+WITH d AS (SELECT doc_id, text, source || '/' || lang AS dir, source || '/' || lang || '/' || CASE WHEN len(string_split(text, chr(10))) <= {NOTICE_LINES} AND regexp_matches(text, {hint}) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
+s AS (SELECT doc_id, path, segment FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS segment FROM d) WHERE regexp_matches(segment, {hint}) UNION SELECT doc_id, path, text FROM d WHERE contains(path, '/LICENSE-') AND contains(text, chr(10))),
+t(template, license, text) AS (VALUES {fixed}), u AS (SELECT DISTINCT segment FROM s),
+o AS (SELECT segment, term, count(*) AS tf FROM (SELECT segment, unnest(regexp_extract_all(lower(segment), '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
+k AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
+f AS (SELECT term, ln((1 + (SELECT count(*) FROM u) + (SELECT count(*) FROM t))::DOUBLE / (1 + count(*))::DOUBLE) + 1 AS idf FROM (SELECT term FROM o UNION ALL SELECT term FROM k) GROUP BY term),
+ow AS (SELECT segment, term, tf * idf AS w FROM o JOIN f USING (term)), kw AS (SELECT template, license, term, tf * idf AS w FROM k JOIN f USING (term)),
+q AS (SELECT segment, license, round(sum(ow.w * kw.w) / (any_value(x.n) * any_value(y.n)), 9) AS score FROM ow JOIN kw USING (term) JOIN (SELECT segment, sqrt(sum(w * w)) AS n FROM ow GROUP BY ALL) x USING (segment)
+  JOIN (SELECT template, sqrt(sum(w * w)) AS n FROM kw GROUP BY ALL) y USING (template) GROUP BY segment, license, template),
+m AS (SELECT s.doc_id, s.path, license, score, row_number() OVER (PARTITION BY s.doc_id ORDER BY score DESC, license) AS r FROM s JOIN q USING (segment) WHERE score >= {licences.COSINE}),
+own AS (SELECT doc_id, path, license, score FROM m WHERE r = 1),
+i AS (SELECT dir, license AS dir_license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own.path, license) AS r FROM own JOIN d USING (doc_id) WHERE contains(own.path, '/LICENSE-'))
+SELECT d.doc_id, d.path, own.license AS own_license, score, CASE WHEN own.license IS NULL THEN dir_license END AS inherited_license, CASE WHEN own.license IS NULL AND dir_license IS NOT NULL THEN d.dir END AS inherited_from, coalesce(own.license, dir_license) AS license
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN (FROM i WHERE r = 1) i ON i.dir = d.dir
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the whole result; it is slow on large tables for vectors."""
+    return {"op3_line_rules": _rules_sql(), "op6_vector_graph": _VECTORS_SQL, "op9_licences": _licences_sql()}
