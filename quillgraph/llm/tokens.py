@@ -50,14 +50,16 @@ class WordEncoder:
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, ids, strict=True)}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain, out = [w for w in words if _PLAIN.fullmatch(w)], {}
-        if len(plain) < len(words):
-            out = self._single([w for w in words if not _PLAIN.fullmatch(w)])
+        plain, other, out = [], [], {}
+        for w in words:
+            (plain if _PLAIN.fullmatch(w) else other).append(w)
+        if other:
+            out = self._single(other)
         chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids])
-            parts = np.cumsum([len(_PARTS.findall(w)) for w in chunk])
+            parts = np.cumsum([1 if w.isalpha() else 2 if w[:-1].isalpha() else len(_PARTS.findall(w)) for w in chunk])
             if len(ends) != parts[-1] or ends[-1] != len(ids) - 1:
                 out |= self._single(chunk)
                 continue
@@ -68,44 +70,51 @@ class WordEncoder:
         return out
 
     @staticmethod
-    def _words(text: str | None) -> list[str]:
-        """Small letters where that is sure to be what the tokenizer does: in Latin-1 texts."""
+    def _clean(text: str | None) -> str:
+        """Small letters where that is sure to be what the tokenizer does: in Latin-1 texts. Newlines become spaces."""
         text = text or ""
         if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return text.replace("\n", " ").split(" ")
-        return ("<|" in text and text or text.lower()).replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last. A null text is empty."""
-        words = [self._words(t) for t in texts]
-        get = self.memory.get
-        found = [list(map(get, w)) for w in words]
-        open_ = [i for i, f in enumerate(found) if None in f]
-        if open_:
-            gaps = [list(_gaps(found[i])) for i in open_]
-            known = self._learn(list({words[i][j] for i, at in zip(open_, gaps, strict=True) for j in at}))
-            for i, at in zip(open_, gaps, strict=True):
-                for j in at:
-                    found[i][j] = known[words[i][j]]
-            short = {w: b for w, b in known.items() if len(w) <= MEMORY_CHARS}
+                return text.replace("\n", " ")
+        return (text if "<|" in text else text.lower()).replace("\n", " ")
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, learning those that are new."""
+        found = list(map(self.memory.get, words))
+        gaps = [i for i, f in enumerate(found) if f is None]
+        if gaps:
+            learnt = self._learn([words[i] for i in gaps])
+            for i in gaps:
+                found[i] = learnt[words[i]]
+            short = {w: b for w, b in learnt.items() if len(w) <= MEMORY_CHARS}
             if len(self.memory) + len(short) > MEMORY_WORDS:
-                self.memory.clear()
-                self.memory[""] = b""
+                self.memory = {"": b""}
             self.memory.update(short)
-        return [b"".join(f) + self.end for f in found]
+        return found
 
-
-def _gaps(row: list):
-    at = -1
-    while True:
-        try:
-            at = row.index(None, at + 1)
-        except ValueError:
-            return
-        yield at
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, the end id last. A null text is empty.
+
+        Arrow parts the texts and numbers their distinct words; only those are looked up.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array([self._clean(t) for t in texts], pa.string()), " ")
+        distinct = parts.flatten().dictionary_encode()
+        numbers, found = distinct.indices.to_numpy(), self._known(distinct.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        first, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), dtype="<u4")
+        n = sizes[numbers]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[numbers] - (ends - n), n) + np.arange(int(n.sum()))]
+        bounds = (np.r_[0, ends][parts.offsets.to_numpy()] * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] + self.end for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
@@ -115,7 +124,7 @@ def encoder(path: str, end_id: int) -> WordEncoder:
     return _encoders[path, end_id]
 
 
-def groups(texts: list, chars: int = 2_000_000):
+def groups(texts: list, chars: int = 8_000_000):
     """Ranges of positions whose texts hold about so many characters."""
     at = size = 0
     for i, t in enumerate(texts):
