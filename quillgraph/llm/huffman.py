@@ -102,9 +102,15 @@ def encode(documents: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray)
     inside = np.cumsum(n) - n
     inside -= np.repeat(inside[starts], block_ids)
     at = inside + np.repeat(block_at * 8, block_ids)
-    value = codes[ids].astype(np.int64) << (32 - n - (at & 7))
-    place, total = at >> 3, int(block_bytes.sum())
-    out = sum(np.bincount(place + k, weights=(value >> (24 - 8 * k)) & 255, minlength=total + 3) for k in range(3))[:total].astype(np.uint8)
+    # codes lie in text order: those that begin in one 32-bit word are summed, and what runs over goes to the next word
+    word, total = at >> 5, int(block_bytes.sum())
+    value = codes[ids].astype(np.uint64) << (64 - n - (at & 31)).astype(np.uint64)
+    begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    sums, word = np.bitwise_or.reduceat(value, begin), word[begin]
+    words = np.zeros(total // 4 + 3, dtype=np.uint32)
+    words[word] = sums >> np.uint64(32)
+    words[word + 1] |= (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = words.astype(">u4").view(np.uint8)[:total]
     number = np.arange(len(ids)) - np.repeat(starts, block_ids)
     marks = inside[number % STRIDE == 0].astype("<u4")
     packed, b, m, at = [], 0, 0, 0
@@ -232,19 +238,25 @@ def read_shard(folder: str, name: str, table: np.ndarray, limit: int = LIMIT):
 
 
 def _tokens(path: str, end_id: int):
-    """(id, n, ids): little-endian ids of two bytes where the vocabulary allows, else four."""
+    """(id, n, ids, counts): little-endian ids of two bytes where the vocabulary allows, else four; at the end of each task one row
+    with n = 0 and the counts of all its ids as 64-bit numbers."""
 
     def run(frames):
         own = encoder(path, end_id)
-        narrow = max(own.tokenizer.get_vocab_size(), end_id) < 1 << 16
+        width = max(own.tokenizer.get_vocab_size(), end_id + 1)
+        total = np.zeros(width, dtype="<i8")
         for pdf in frames:
             ids, texts = pdf["id"], pdf["text"].tolist()
             for a, b in groups(texts):
                 data = own.encode(texts[a:b])
                 n = [len(x) // 4 for x in data]
-                if narrow:
-                    data = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in data]
-                yield pd.DataFrame({"id": ids.iloc[a:b].astype("Int64").to_numpy(), "n": n, "ids": data})
+                flat = np.frombuffer(b"".join(data), dtype="<u4")
+                total += np.bincount(flat, minlength=width)
+                if width <= 1 << 16:
+                    narrow, ends = flat.astype("<u2").tobytes(), (np.cumsum(n) * 2).tolist()
+                    data = [narrow[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                yield pd.DataFrame({"id": ids.iloc[a:b].astype("Int64").to_numpy(), "n": n, "ids": data, "counts": None})
+        yield pd.DataFrame({"id": pd.array([None], dtype="Int64"), "n": [0], "ids": [None], "counts": [total.tobytes()]})
 
     return run
 
@@ -254,17 +266,15 @@ def _ids(data, n: int) -> np.ndarray:
 
 
 def _counted(frames):
-    total = np.zeros(0, dtype=np.int64)
+    """The counts of many tasks as one row for each id."""
+    total = None
     for pdf in frames:
-        for data, n in zip(pdf["ids"], pdf["n"].tolist(), strict=True):
-            c = np.bincount(_ids(data, n))
-            if len(c) > len(total):
-                c[: len(total)] += total
-                total = c
-            else:
-                total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"token": at, "n": total[at]})
+        for data in pdf["counts"]:
+            c = np.frombuffer(data, dtype="<i8")
+            total = c if total is None else total + c
+    if total is not None:
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"token": at, "n": total[at]})
 
 
 def _batches(sizes: list[int], most: int = 1_000_000):
@@ -333,14 +343,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id: str
     """Writes codebook and shards into a new folder that all executors reach; gives the manifest (part, number, name, docs, ids, start)."""
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    tokens = saved(source.mapInPandas(_tokens(tokenizer, end_id), "id long, n long, ids binary"), "tokens")
-    counts = tokens.select("n", "ids").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n")).collect()
+    tokens = saved(source.mapInPandas(_tokens(tokenizer, end_id), "id long, n long, ids binary, counts binary"), "tokens")
+    counts = tokens.where("n = 0").select("counts").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n")).collect()
     total = np.zeros(max((t for t, _ in counts), default=-1) + 1, dtype=np.int64)
     for t, n in counts:
         total[t] = n
     lengths = code_lengths(total)
     write_codebook(folder, lengths)
-    coded = saved(tokens.mapInPandas(_coded(lengths), "id long, n long, coded binary"), "coded")
+    coded = saved(tokens.where("n > 0").select("id", "n", "ids").mapInPandas(_coded(lengths), "id long, n long, coded binary"), "coded")
     discard(tokens)
     size = coded.agg(F.sum(F.length("coded"))).first()[0] or 0
     dealt = coded.repartitionByRange(max(1, -(-size // shard)), "id", "n").sortWithinPartitions("id", "n", "coded")
