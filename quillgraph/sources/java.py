@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, canonical_id
+from ..functions.text import TOKEN
 from ..operators import boilerplate
 from .tables import cut, ship
 
@@ -720,4 +720,4 @@ def methods_of(code: str) -> list[dict]:
     return out
 
 
-__all__ = ["Scanner", "Tables", "canonical_id", "methods_of", "parsed_methods", "read_files", "read_listed", "read_roots", "scan", "scan_source"]
+__all__ = ["Scanner", "Tables", "methods_of", "parsed_methods", "read_files", "read_listed", "read_roots", "scan", "scan_source"]
