@@ -28,9 +28,12 @@ class WordEncoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model without normalizer and pre-tokenizer, for plain ASCII words that are cut here
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.end = np.uint32(end_id).tobytes()
         self.memory: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
@@ -42,6 +45,8 @@ class WordEncoder:
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         if whole("one two\nthree  FOUR's 5") != [i for w in ("one", "two", "three", "four's", "5") for i in whole(w)]:
             raise ValueError("this tokenizer can't be applied word by word in small letters")
+        if self.bare.encode("one ,-( two 3 4", add_special_tokens=False).ids != whole("one,-(TWO 34"):
+            raise ValueError("this tokenizer's model can't be given words that are cut already")
         if self.ends[whole("one,two 34")].sum() != 5:
             raise ValueError("this tokenizer doesn't mark the ends of words")
 
@@ -50,21 +55,26 @@ class WordEncoder:
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, ids, strict=True)}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain, other, out = [], [], {}
+        ascii_, latin, other = [], [], []
         for w in words:
-            (plain if _PLAIN.fullmatch(w) else other).append(w)
-        if other:
-            out = self._single(other)
-        chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids])
-            parts = np.cumsum([1 if w.isalpha() else 2 if w[:-1].isalpha() else len(_PARTS.findall(w)) for w in chunk])
-            if len(ends) != parts[-1] or ends[-1] != len(ids) - 1:
+            (other if not _PLAIN.fullmatch(w) else ascii_ if w.isascii() else latin).append(w)
+        out = self._single(other) if other else {}
+        out |= self._joined(self.tokenizer, latin, latin, [len(_PARTS.findall(w)) for w in latin])
+        cut = [w if w.isalpha() else f"{w[:-1]} {w[-1]}" if w[:-1].isalpha() else " ".join(_PARTS.findall(w)) for w in map(str.lower, ascii_)]
+        return out | self._joined(self.bare, ascii_, cut, [c.count(" ") + 1 for c in cut])
+
+    def _joined(self, tokenizer, words: list[str], texts: list[str], parts: list[int]) -> dict[str, bytes]:
+        """Encodes JOINED texts at a time; parts: the number of parts of each, which part the ids again."""
+        out = {}
+        starts = range(0, len(words), JOINED)
+        for i, e in zip(starts, tokenizer.encode_batch_fast([" ".join(texts[i : i + JOINED]) for i in starts], add_special_tokens=False), strict=True):
+            chunk, ids = words[i : i + JOINED], np.asarray(e.ids, dtype="<u4")
+            ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(parts[i : i + JOINED])
+            if len(ends) != last[-1] or ends[-1] != len(ids) - 1:
                 out |= self._single(chunk)
                 continue
             data, at = ids.tobytes(), 0
-            for w, to in zip(chunk, ((ends[parts - 1] + 1) * 4).tolist(), strict=True):
+            for w, to in zip(chunk, ((ends[last - 1] + 1) * 4).tolist(), strict=True):
                 out[w] = data[at:to]
                 at = to
         return out
