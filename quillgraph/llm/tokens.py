@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words remembered in one Python worker, and the longest of them. Plain words are learnt JOINED at a time.
-MEMORY_WORDS, MEMORY_CHARS, JOINED = 500_000, 48, 200
+MEMORY_WORDS, MEMORY_CHARS, JOINED, BATCH = 400_000, 48, 200, 50
 #: Words of Latin-1 letters, digits and most ASCII marks, and their parts as the pre-tokenizer cuts them.
 _LETTERS, _MARKS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF", r"!-&(-/:;=-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
@@ -66,17 +66,18 @@ class WordEncoder:
     def _joined(self, tokenizer, words: list[str], texts: list[str], parts: list[int]) -> dict[str, bytes]:
         """Encodes JOINED texts at a time; parts: the number of parts of each, which part the ids again."""
         out = {}
-        starts = range(0, len(words), JOINED)
-        for i, e in zip(starts, tokenizer.encode_batch_fast([" ".join(texts[i : i + JOINED]) for i in starts], add_special_tokens=False), strict=True):
-            chunk, ids = words[i : i + JOINED], np.asarray(e.ids, dtype="<u4")
-            ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(parts[i : i + JOINED])
-            if len(ends) != last[-1] or ends[-1] != len(ids) - 1:
-                out |= self._single(chunk)
-                continue
-            data, at = ids.tobytes(), 0
-            for w, to in zip(chunk, ((ends[last - 1] + 1) * 4).tolist(), strict=True):
-                out[w] = data[at:to]
-                at = to
+        for first in range(0, len(words), BATCH * JOINED):  # an encoding is large: few at a time
+            starts = range(first, min(first + BATCH * JOINED, len(words)), JOINED)
+            for i, e in zip(starts, tokenizer.encode_batch_fast([" ".join(texts[i : i + JOINED]) for i in starts], add_special_tokens=False), strict=True):
+                chunk, ids = words[i : i + JOINED], np.asarray(e.ids, dtype="<u4")
+                ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(parts[i : i + JOINED])
+                if len(ends) != last[-1] or ends[-1] != len(ids) - 1:
+                    out |= self._single(chunk)
+                    continue
+                data, at = ids.tobytes(), 0
+                for w, to in zip(chunk, ((ends[last - 1] + 1) * 4).tolist(), strict=True):
+                    out[w] = data[at:to]
+                    at = to
         return out
 
     @staticmethod
@@ -134,7 +135,7 @@ def encoder(path: str, end_id: int) -> WordEncoder:
     return _encoders[path, end_id]
 
 
-def groups(texts: list, chars: int = 8_000_000):
+def groups(texts: list, chars: int = 3_000_000):
     """Ranges of positions whose texts hold about so many characters."""
     at = size = 0
     for i, t in enumerate(texts):
