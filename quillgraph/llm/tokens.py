@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words remembered in one Python worker, and the longest of them. Plain words are learnt JOINED at a time.
-MEMORY_WORDS, MEMORY_CHARS, JOINED, BATCH = 400_000, 48, 200, 50
+MEMORY_WORDS, MEMORY_CHARS, JOINED, BATCH = 900_000, 48, 200, 50
 #: Words of Latin-1 letters, digits and most ASCII marks, and their parts as the pre-tokenizer cuts them.
 _LETTERS, _MARKS = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF", r"!-&(-/:;=-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
@@ -135,7 +135,7 @@ def encoder(path: str, end_id: int) -> WordEncoder:
     return _encoders[path, end_id]
 
 
-def groups(texts: list, chars: int = 3_000_000):
+def groups(texts: list, chars: int = 5_000_000):
     """Ranges of positions whose texts hold about so many characters."""
     at = size = 0
     for i, t in enumerate(texts):
