@@ -8,9 +8,8 @@ are candidates; a banded alignment of their words verifies them: a link has an e
 Words are runs of letters, digits and underscores in lower case; a text that has none takes its white-space words. Exact copies
 (equal words) meet by a digest of all words and stand behind one representative. Within a bucket every text is compared with the
 most popular one (that whose buckets are largest: in a group of near copies, the one nearest to all); then every two texts of a bucket that links don't join yet. Where such a bucket has over SMALL texts (they share a
-passage), its texts are sketched again with more k-mers a table, and every two texts that share a finer sketch are compared, block
-by block, unless their lengths or their bags of words already rule a link out; so no bucket has a cap. Groups are connected
-components.
+passage), its texts meet block by block, in the first bucket that two of them share, and are aligned unless their lengths or their
+bags of words already rule a link out, by exact bounds; so no bucket has a cap or loses a link. Groups are connected components.
 
 Edge cases: null, empty and blank texts have no words and each stays alone; a text of fewer than five words has one k-mer of all
 its words; very long texts are sketched whole, some tables at a time; ties between hashes go to the earlier place; a repeated
@@ -30,10 +29,10 @@ from .components import components
 K, SIMILARITY = 5, 0.8
 #: At 3 k-mers and 40 tables, texts that share 0.5 of their labelled k-mers meet with probability 0.995, 0.65 with 0.999997.
 PICKED, TABLES = 3, 40
-#: The finer sketch meets at 0.7 shared with probability 0.9995, at 0.3 with 0.008.
-FINE_PICKED, FINE_TABLES, SMALL = 8, 128, 16
-#: Texts of a block that meet those of another in one task; buckets of words in a bag.
-BLOCK, BAG = 1000, 512
+#: Above this size the texts of a bucket meet block by block, with bags, instead of in a join.
+SMALL = 16
+#: Texts of a block that meet those of another in one task; buckets of words in a bag, and in the coarse bag that is looked at before.
+BLOCK, BAG, COARSE = 1000, 512, 32
 SEED = 20_240_501
 _WORDS_KEPT = 150_000
 
@@ -194,26 +193,31 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(more, 0).sum(axis=-1, dtype=np.int32), np.maximum(-more, 0).sum(axis=-1, dtype=np.int32))
 
 
-def _finer(frames):
+def _bags(frames):
     for pdf in frames:
-        codes = [np.frombuffer(x, dtype=np.uint64) for x in pdf["codes"]]
-        yield pdf[["id", "n", "c"]].assign(sketch=[sketch(x, FINE_PICKED, FINE_TABLES) for x in codes], bag=[bag(x).tobytes() for x in codes])
+        yield pdf[["id", "n", "c", "sketch"]].assign(bag=[bag(np.frombuffer(x, dtype=np.uint64)).tobytes() for x in pdf["codes"]])
 
 
 def _possible(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a bucket (of two of its blocks) that no link joins, at the first table they share, if lengths and bags allow a link."""
-    _, i, j, table = key
-    pdf = pdf.sort_values("id").reset_index(drop=True)
+    _, table, i, j = key
+    pdf = pdf.sort_values(["n", "id"]).reset_index(drop=True)
+    block = pdf["block"].to_numpy()
+    signs, bags = np.stack(pdf["sketch"].to_numpy())[:, :table], np.stack([np.frombuffer(x, dtype=np.int16) for x in pdf["bag"]])
+    # merged buckets give a lower bound of the distance of the bags
+    coarse = bags.reshape(len(bags), COARSE, -1).sum(axis=2, dtype=np.int32)
     ids, n, c = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["c"].to_numpy()
-    signs, bags = np.stack(pdf["sketch"].to_numpy()), np.stack([np.frombuffer(x, dtype=np.int16) for x in pdf["bag"]])
-    left, right = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in (i, j))
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    lengths = n[right]
     found: list[tuple[int, int]] = []
     for x in left.tolist():
-        y = right[(ids[right] > ids[x]) if i == j else slice(None)]
-        longest = np.maximum(n[x], n[y])
-        y = y[(c[y] != c[x]) & (np.minimum(n[x], n[y]) >= longest * SIMILARITY - 1e-6)]
-        y = y[~(signs[y, :table] == signs[x, :table]).any(axis=1)]
-        y = y[bag_distance(bags[x], bags[y]) <= np.maximum(n[x], n[y]) * (1 - SIMILARITY) + 1e-6]
+        y = right[np.searchsorted(lengths, n[x] * SIMILARITY - 1e-6) : np.searchsorted(lengths, (n[x] + 1e-6) / SIMILARITY, "right")]
+        y = y[(c[y] != c[x]) & ((y > x) | (i != j))]
+        most = np.maximum(n[x], n[y]) * (1 - SIMILARITY) + 1e-6
+        for own in (coarse, bags):
+            near = bag_distance(own[x], own[y]) <= most
+            y, most = y[near], most[near]
+        y = y[~(signs[y] == signs[x]).any(axis=1)]
         found += [(min(ids[x], z), max(ids[x], z)) for z in ids[y].tolist()]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
@@ -249,7 +253,7 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     own = saved(source.where("id is not null").mapInPandas(_sketches, "id long, n int, d1 long, d2 long, sketch array<long>"), "sketches")
     reps = own.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    buckets = saved(reps.select(F.explode("sketch").alias("s"), "id", "n"), "buckets")
+    buckets = saved(reps.select(F.posexplode("sketch").alias("t", "s"), "id", "n"), "buckets")
     sizes = buckets.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
     shared = saved(buckets.join(sizes, "s"), "shared")
     popular = shared.groupBy("id").agg(F.sum("k").alias("p"))
@@ -261,19 +265,19 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     codes = saved(source.join(involved, "id").mapInPandas(_codes, "id long, codes binary").dropDuplicates(["id"]), "codes")
     links = saved(_verify(first, codes), "links")
     joined = saved(components(links), "joined")
-    placed = members.join(joined, members["id"] == joined["node"], "left").select("s", "id", "n", F.coalesce("component", "id").alias("c"))
+    placed = members.join(joined, members["id"] == joined["node"], "left").select("s", "t", "id", "n", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("s", "k")
     rest = saved(placed.join(split, "s"), "split")
-    crowd = rest.where(F.col("k") > SMALL).select("id", "n", "c").distinct()
+    crowd = rest.where(F.col("k") > SMALL)
+    # of buckets with the same texts one is enough, that of the first table; equal sets are told by 128 bits
+    alike = crowd.groupBy("s", "t").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("k"))
+    alike = alike.groupBy("x", "y", "k").agg(F.min(F.struct("t", "s")).alias("m")).select("m.s", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     # dealt by id: the texts of one crowd lie together in `codes`
-    finer = codes.join(crowd, "id").repartition(shuffle_width(docs.sparkSession), "id").mapInPandas(_finer, "id long, n int, c long, sketch array<long>, bag binary")
-    finer = saved(finer, "finer")
-    # dealt again: a read of the small table would give many texts to one task
-    signs = finer.repartition(shuffle_width(docs.sparkSession), "id").select("id", "c", F.posexplode("sketch").alias("t", "s"))
-    mixed = signs.groupBy("s", "t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("c0 <> c1")
-    met = signs.select("s", "id").join(mixed.select("s", "t", "blocks"), "s").join(finer, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    texts = codes.join(crowd.select("id", "n", "c").distinct(), "id").join(reps.select("id", "sketch"), "id").repartition(shuffle_width(docs.sparkSession), "id")
+    bags = saved(texts.mapInPandas(_bags, "id long, n int, c long, sketch array<long>, bag binary"), "bags")
+    met = crowd.select("s", "t", "id").join(alike, "s").join(bags, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    possible = met.groupBy("s", "i", "j", "t").applyInPandas(_possible, "a long, b long")
+    possible = met.groupBy("s", "t", "i", "j").applyInPandas(_possible, "a long, b long")
     second = _across(rest.where(F.col("k") <= SMALL)).union(possible).distinct().join(first, ["a", "b"], "left_anti")
     more = saved(_verify(saved(second, "pairs"), codes), "links")
     final = components(links.union(more))

@@ -493,6 +493,17 @@ def test_near_duplicates(spark):
     assert order_minhash.apply(docs(spark, [])).count() == 0
 
 
+def test_crowded_bucket_keeps_every_link(spark):
+    """Pairs at an edit similarity of 0.93 that share nothing but a passage of all texts: every own 5-word window differs."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(rng.choice(words, 90))
+    own = [rng.choice(words, 45).tolist() for _ in range(300)]
+    own += [[f"x{k}" if i % 5 == 2 else w for i, w in enumerate(own[k])] for k in range(8)]
+    rows = order_minhash.apply(docs(spark, [passage + " " + " ".join(w) for w in own])).collect()
+    assert groups(rows) == {i: i - 300 if i >= 300 else i for i in range(308)}
+
+
 # The pipeline
 
 
