@@ -39,10 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0, 1 or 2 times)."""
-    drawn = mixing.apply(docs.select("doc_id", "text", "source")).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    drawn = drawn.groupBy("id").agg(F.max("copies").alias("copies"))
-    out = docs.select(COLUMNS).join(drawn, F.col("doc_id") == F.col("id")).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return out.select(COLUMNS)
+    # a key made for this stage and written: ids may be null or repeated
+    keyed = saved(docs.select(F.monotonically_increasing_id().alias("key"), *COLUMNS), "keyed")
+    drawn = mixing.apply(keyed.select("key", "doc_id", "text", "source"), key="key").where("copies > 0").select("key", "copies")
+    return keyed.join(drawn, "key").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

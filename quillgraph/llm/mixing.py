@@ -9,7 +9,7 @@ imbalance of words, then of documents.
 
 Edge cases: null text has size 0; null is a source of its own, the last; documents of size 0 take 0 words whatever is drawn; a
 source without words has target 0; repeated rows are drawn one by one; an empty table gives an empty table; only the named
-columns are read. The draws are seeded by the block, so reruns agree.
+columns are read. The draws are seeded by the block, so reruns agree; of rows with equal id and size the text's hash decides.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def fly(sizes: np.ndarray, probabilities: np.ndarray, rng, land: bool) -> np.nda
 
 def _flight(step: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id", "p"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+        by = ["size", "id", "p", *(["tie"] if "tie" in pdf else [])]
+        pdf = pdf.sort_values(by, ascending=[c != "size" for c in by], kind="stable", na_position="last").reset_index(drop=True)
         rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{step}|{key[0]}|{key[1]}".encode())))
         pdf["p"] = fly(pdf["size"].to_numpy(), pdf["p"].to_numpy(), rng, bool(pdf["blocks"].iloc[0] == 1))
         return pdf
@@ -99,28 +100,33 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return weighed.select("source", "n", "words", F.least(F.col("most"), F.col("w") * F.lit(level)).alias("target"))
 
 
-def apply(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """(id, size, source_size, target, taken, source, copies) of every row; taken = size * copies."""
+def apply(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, key: str | None = None) -> DataFrame:
+    """(id, size, source_size, target, taken, source, copies) of every row; taken = size * copies.
+
+    key: a column of unique values that tells rows of null or repeated ids apart; it comes last.
+    """
     ship(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = saved(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size")), "sized")
+    told = [F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tie")] if key else []
+    carried = ["key", "tie"] if key else []
+    sized = saved(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), *told), "sized")
     goals = targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")), weights, share, cap)
     goals = saved(goals.withColumnRenamed("source", "goal"), "goals")
     ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
     whole = F.floor(ratio + _NEAR).cast("double")
     left = sized.join(goals, sized["source"].eqNullSafe(goals["goal"])).select(
-        "id", "source", "size", F.col("words").alias("source_size"), "target", whole.alias("base"), F.greatest(ratio - whole, F.lit(0.0)).alias("p"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+        "id", "source", "size", F.col("words").alias("source_size"), "target", whole.alias("base"), F.greatest(ratio - whole, F.lit(0.0)).alias("p"), F.ceil(F.col("n") / block).cast("long").alias("blocks"), *carried)
     done, step = None, 0
     while True:
-        key = F.pmod(F.xxhash64("id", "size", F.lit(step)), "blocks").alias("block")
-        flown = saved(left.groupBy("source", key).applyInPandas(_flight(step), left.schema), "flown")
+        dealt = F.pmod(F.xxhash64("id", "size", F.lit(step)), "blocks").alias("block")
+        flown = saved(left.groupBy("source", dealt).applyInPandas(_flight(step), left.schema), "flown")
         fixed = flown.where("p = 0 or p = 1")
         done = fixed if done is None else done.union(fixed)
         rest = flown.where("p > 0 and p < 1")
         if rest.isEmpty():
             break
         n = rest.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / block).cast("long").alias("b"))
-        left = rest.join(n, rest["source"].eqNullSafe(n["s"])).select("id", "source", "size", "source_size", "target", "base", "p", F.col("b").alias("blocks"))
+        left = rest.join(n, rest["source"].eqNullSafe(n["s"])).select("id", "source", "size", "source_size", "target", "base", "p", F.col("b").alias("blocks"), *carried)
         step += 1
     copies = (F.col("base") + F.col("p")).cast("long")
-    return done.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.col("source").alias(source), copies.alias("copies"))
+    return done.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.col("source").alias(source), copies.alias("copies"), *([F.col("key").alias(key)] if key else []))

@@ -528,6 +528,18 @@ def test_pipeline(spark):
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed)
 
 
+def test_mix_stage_tells_rows_apart(spark):
+    """Rows of null or repeated ids are taken as often as they were drawn, each for itself; all targets lie above one copy."""
+    import corpus_pipeline as p
+
+    texts = [f"t{i} " + "w " * (i % 7) for i in range(90)]
+    rows = [((None, 5, i)[i % 3], t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    mixed = [r.text for r in p.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()]
+    words = lambda ts: sum(len(t.split()) for t in ts)
+    assert set(mixed) == set(texts) and set(Counter(mixed).values()) == {1, 2}
+    assert abs(words(mixed) - 1.5 * words(texts)) <= 7
+
+
 @pytest.mark.parametrize("name", ["op1_balanced_mix", "op3_line_rules", "op6_vector_graph", "op8_url_models", "op9_licences"])
 def test_queries_give_contract_columns(spark, name):
     want = {
