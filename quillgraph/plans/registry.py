@@ -313,6 +313,40 @@ def s8_s9_w11_hydrate(spark, sf_dir):
     return rows.join(lookup.stored_embeddings(demo.embeddings(spark, sf_dir), ids), "chunk_id").select("chunk_id", F.size("embedding").alias("dims"))
 
 
+# The SQL of g7, j2, j4, j14 and hydrate asks for a part of the ids; these ask for all.
+
+
+@query("SELECT 'CALLS' AS edge_type, src, dst FROM calls", True)
+def g7_induced_all(spark, sf_dir):
+    return graph.induced(demo.edges(spark, sf_dir), demo.chunks(spark, sf_dir))
+
+
+@query("SELECT DISTINCT a.chunk_id AS anchor, b.chunk_id AS node FROM e a JOIN e b ON a.fq = b.fq AND a.chunk_id <> b.chunk_id", True)
+def j4_siblings_all(spark, sf_dir):
+    return graph.siblings(demo.edges(spark, sf_dir), demo.chunks(spark, sf_dir).select(F.col("chunk_id").alias("anchor")))
+
+
+@query("SELECT 'C' || label || '#m' || vec_id AS identifier, chunk_id, 2 AS rule, 1::BIGINT AS candidates FROM e UNION ALL SELECT 'm' || vec_id, chunk_id, 3, 1 FROM e UNION ALL SELECT chunk_id, chunk_id, 1, 1 FROM e UNION ALL SELECT 'C' || label, min(chunk_id), 4, count(*) FROM e GROUP BY label", True)
+def j2_a4_find_methods_all(spark, sf_dir):
+    c = demo.chunks(spark, sf_dir)
+    asked = c.select(F.concat("class_name", F.lit("#"), "method_name").alias("identifier")).union(c.select("method_name")).union(c.select("chunk_id")).union(c.select("class_name").distinct())
+    return lookup.find_methods(c, asked)
+
+
+@query("SELECT vec_id::INT AS query_id, chunk_id FROM e", True)
+def j14_w8_query_anchor_all(spark, sf_dir):
+    c = demo.chunks(spark, sf_dir)
+    asked = c.select(F.col("vec_id").cast("int").alias("query_id"), F.concat(F.lit("Refactor the NoSuch.Thing and "), "class_name", F.lit("#"), "method_name", F.lit(" to async, please")).alias("query"))
+    return lookup.query_anchor(c, asked)
+
+
+@query("SELECT e.chunk_id, len(embedding)::INT AS dims FROM e", True)
+def s8_s9_w11_hydrate_all(spark, sf_dir):
+    ids = demo.chunks(spark, sf_dir).select("chunk_id")
+    rows = lookup.hydrate(demo.chunks(spark, sf_dir), ids)
+    return rows.join(lookup.stored_embeddings(demo.embeddings(spark, sf_dir), ids), "chunk_id").select("chunk_id", F.size("embedding").alias("dims"))
+
+
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC)::INT AS age FROM conversations QUALIFY age <= 3")
 def l14_last_messages(spark, sf_dir):
     return lookup.last_messages(table(spark, sf_dir, "conversations"), 3)
