@@ -3,9 +3,10 @@
 A page is cut into blocks (runs of text between block-level tags). Blocks of one root-to-block tag path are taken together: text
 length and punctuation for each block of the path are its two ratios. Both are smoothed over the blocks in page order, fused by
 their product, and the blocks over a threshold (a share of the page's weighted mean) are content. The smallest element that holds
-nearly all of their score is the article; what it holds beside them (titles, short paragraphs, lists) belongs to it. Parts that
-tags, roles, ids or classes name as menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles
-never count.
+nearly all of their score is the article, or all marked articles are; what it holds beside them (titles, short paragraphs, lists)
+belongs to it, and so do blocks elsewhere whose own path scores as content. Parts that tags or roles name as menus, headers, footers,
+sidebars, forms, scripts or styles never count. Ids and classes of such names don't cut a marked article within, a heading, a part
+that holds nearly all text, nor a part of a marked article whose paths score as content in spite of a penalty.
 
 Edge cases: null and empty html give empty text; unclosed and stray tags are repaired as browsers do it for paragraphs, list items
 and table cells; text without any tag is one block; a page of any length is one row; ties take the earlier element; repeated rows
@@ -25,6 +26,8 @@ from .base import ship
 
 #: Share of the score that the article holds; threshold as a share of the mean; blocks on each side that smooth a block.
 HOLDS, THRESHOLD, REACH = 0.9, 0.3, 1
+#: What is left of the score of a named part.
+PENALTY = 0.5
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?(?P<odd>[a-zA-Z][^\s/>]*)[^>]*>",
@@ -45,6 +48,9 @@ _NOISE_WORDS = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+_MARKED = frozenset(("article", "main"))
+#: Elements whose names say nothing.
+_UNNAMED = frozenset("body html h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -54,17 +60,21 @@ def _words(value: str) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("name", "noise", "parent", "path")
+    __slots__ = ("inside", "name", "noise", "parent", "path", "soft")
 
-    def __init__(self, name: str, parent: _Element | None, noise: bool, label: str):
+    def __init__(self, name: str, parent: _Element | None, noise: bool, label: str, named: bool = False):
         self.name, self.parent, self.noise, self.path = name, parent, noise, (parent.path if parent else "") + "/" + label
+        #: In a marked article; the outermost element around this one that names call no part of an article.
+        self.inside = parent is not None and (parent.inside or parent.name in _MARKED)
+        above = parent.soft if parent else None
+        self.soft = None if above and name in _MARKED and not named else above or (self if named and name not in _MARKED else None)
 
 
-def _is_noise(name: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is no part of an article, and its label in tag paths."""
-    label = name
+def _is_noise(name: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether tag or role, and whether names, say that an element is no part of an article; its label in tag paths."""
+    label, named = name, False
     if name in _NOISE_TAGS or name == "header" and not inside:
-        return True, label
+        return True, named, label
     if "=" in attrs:
         for m in _ATTR.finditer(attrs):
             key = m[1].lower()
@@ -73,9 +83,10 @@ def _is_noise(name: str, attrs: str, inside: bool) -> tuple[bool, str]:
                 words = _words(value)
                 if key == "class":
                     label += "." + value.strip()
-                if key == "role" and words & _NOISE_ROLES or key != "itemprop" and words & _NOISE_WORDS and name not in ("body", "html", "article", "main"):
-                    return True, label
-    return False, label
+                if key == "role" and words & _NOISE_ROLES:
+                    return True, named, label
+                named = named or key != "itemprop" and bool(words & _NOISE_WORDS) and name not in _UNNAMED
+    return False, named, label
 
 
 def blocks(page: str) -> list[tuple[_Element, str]]:
@@ -134,17 +145,39 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
             elif stack[-1].name == "p":
                 stack.pop()
             top = stack[-1]
-            noise, label = _is_noise(name, m["attrs"] or "", any(e.name in ("article", "main") for e in stack))
+            noise, named, label = _is_noise(name, m["attrs"] or "", any(e.name in _MARKED for e in stack))
             if not (m["attrs"] or "").endswith("/"):
-                stack.append(_Element(name, top, top.noise or noise, label))
+                stack.append(_Element(name, top, top.noise or noise, label, named))
         holder = stack[-1]
     flush()
     return out
 
 
+def _unnamed(found: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
+    """The blocks without those of named parts, unless a part holds nearly all text, or is in an article and scores as content."""
+    if not any(e.soft for e, _ in found):
+        return found
+    own: dict[str, list[float]] = {}
+    for e, t in found:
+        s = own.setdefault(e.path, [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + len(t), s[1] + len(_PUNCTUATION.findall(t)), s[2] + 1
+    score = {k: a / n * (1 + b / n) for k, (a, b, n) in own.items()}
+    plain = [(score[e.path], len(t)) for e, t in found if e.soft is None]
+    mean = sum(f * n for f, n in plain) / sum(n for _, n in plain) if plain else 0.0
+    parts: dict[int, list[int]] = {}
+    for e, t in found:
+        if e.soft:
+            s = parts.setdefault(id(e.soft), [0, 0])
+            s[0] += len(t)
+            s[1] += len(t) if PENALTY * score[e.path] >= THRESHOLD * mean else 0
+    total = sum(len(t) for _, t in found)
+    back = {id(e.soft) for e, _ in found if e.soft and (parts[id(e.soft)][0] >= HOLDS * total or plain and e.soft.inside and 2 * parts[id(e.soft)][1] >= parts[id(e.soft)][0])}
+    return [(e, t) for e, t in found if e.soft is None or id(e.soft) in back]
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, joined by an empty line."""
-    found = blocks(page or "")
+    found = _unnamed(blocks(page or ""))
     if not found:
         return ""
     sums: dict[str, list[float]] = {}
@@ -173,13 +206,13 @@ def extract(page: str | None) -> str:
             for x in chain:
                 score[id(x)] = score.get(id(x), 0.0) + n
     best = max((x for chain in chains for x in chain if score.get(id(x), 0.0) >= HOLDS * total), key=lambda x: x.path.count("/"))
-    inner = {x.name for chain in chains for x in chain}
-    if best.name in ("#", "html", "body") and ("article" in inner or "main" in inner):
-        marked = [x for chain in chains for x in chain if x.name in ("article", "main")]
-        best = max(marked, key=lambda x: (score.get(id(x), 0.0), -x.path.count("/")))
-    while best.name in ("p", "li", "td", "th", "tr", "tbody", "blockquote", "pre", "h1", "h2", "h3", "dd", "dt", "ul", "ol", "dl", "table", "section") and best.parent is not None:
+    marked = {id(x) for chain in chains for x in chain if x.name in _MARKED and id(x) in score}
+    kept = marked if best.name in ("#", "html", "body") else set()
+    while not kept and best.name in ("p", "li", "td", "th", "tr", "tbody", "blockquote", "pre", "h1", "h2", "h3", "dd", "dt", "ul", "ol", "dl", "table", "section") and best.parent is not None:
         best = best.parent
-    return "\n\n".join(t for (_, t), chain in zip(found, chains, strict=True) if any(x is best for x in chain))
+    kept = kept or {id(best)}
+    content = [r[0] * (1 + r[1]) >= THRESHOLD * mean for r in ratios]
+    return "\n\n".join(t for (_, t), chain, c in zip(found, chains, content, strict=True) if c or any(id(x) in kept for x in chain))
 
 
 def _extracted(frames):

@@ -225,6 +225,23 @@ def test_html():
     assert len(html_extract.extract("<p>" + "word " * 200_000)) == 999_999
 
 
+def test_html_keeps_named_and_parted_articles():
+    prose = [f"Sentence {i} of the text, plain and long enough, goes on and ends here. " * 4 for i in range(12)]
+    prose = [p.strip() for p in prose]
+    paragraphs = lambda ps: "".join(f"<p>{p}</p>" for p in ps)
+    text = "\n\n".join
+    nav = "<nav>Home About</nav>"
+    assert html_extract.extract(f'<body>{nav}<div class="page has-sidebar"><article>{paragraphs(prose)}</article></div></body>') == text(prose)
+    assert html_extract.extract(f'<body>{nav}<div class="page has-sidebar"><div>{paragraphs(prose)}</div></div></body>') == text(prose)
+    for name in ("related-work", "discussion"):
+        assert html_extract.extract(f'<article>{paragraphs(prose[:8])}<section id="{name}">{paragraphs(prose[8:])}</section></article>') == text(prose)
+    assert html_extract.extract(f'<article><h1 class="entry-header">Title</h1>{paragraphs(prose)}</article>') == text(["Title", *prose])
+    assert html_extract.extract(f"<body>{nav}<article>{paragraphs(prose[:7])}</article><article>{paragraphs(prose[7:])}</article></body>") == text(prose)
+    assert html_extract.extract(f'<body>{nav}<div class="lead"><p>{prose[0]}</p></div><div class="rest">{paragraphs(prose[1:])}</div></body>') == text(prose)
+    short = '<div class="related"><a>One</a> <a>Two</a></div>'
+    assert html_extract.extract(f"<article>{paragraphs(prose)}{short}</article>") == text(prose)
+
+
 def test_html_pages(spark):
     import html as h
     import re
