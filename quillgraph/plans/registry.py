@@ -433,9 +433,10 @@ def f17_k3_prompts(spark, sf_dir):
 def _responses(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("text is not null")
     n = F.col("conv_id") * 31 + F.col("turn")
-    word = F.regexp_replace(F.substring("text", 1, 20), r"[^A-Za-z ]", "")
-    js = F.to_json(F.struct(F.when(n % 2 == 0, "SAFE").otherwise("UNSAFE").alias("verdict"), ((n % 11) / 10.0).alias("confidence"), F.array(F.struct(word.alias("description"), F.when(n % 5 == 0, "HIGH").otherwise("low").alias("severity"))).alias("risks"), F.array(F.lit("none"), F.concat(F.lit("A.b"), n)).alias("needs"), word.alias("feedback")))
-    text = F.concat(F.lit("CONFIDENCE: 0."), n % 10, F.lit("\nVERDICT: "), F.when(n % 2 == 0, "SAFE").otherwise("UNSAFE"), F.lit("\nRISKS:\n- breaking "), word, F.lit("\nNEEDS:\n- X.y\n\nFEEDBACK: "), word)
+    # escaped as in JSON, so that the plain form has one line, no fence and no further heading
+    line = F.replace(F.replace(F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":"(.*)"\}$', 1), F.lit("`"), F.lit("\\u0060")), F.lit(":"), F.lit("\\u003a"))
+    js = F.to_json(F.struct(F.when(n % 2 == 0, "SAFE").otherwise("UNSAFE").alias("verdict"), ((n % 11) / 10.0).alias("confidence"), F.array(F.struct(F.col("text").alias("description"), F.when(n % 5 == 0, "HIGH").otherwise("low").alias("severity"))).alias("risks"), F.array(F.lit("none"), F.concat(F.lit("A.b"), n)).alias("needs"), F.col("text").alias("feedback")))
+    text = F.concat(F.lit("CONFIDENCE: 0."), n % 10, F.lit("\nVERDICT: "), F.when(n % 2 == 0, "SAFE").otherwise("UNSAFE"), F.lit("\nRISKS:\n- breaking "), line, F.lit("\nNEEDS:\n- X.y\n\nFEEDBACK: "), line)
     return c.select("conv_id", "turn", F.when(n % 3 == 0, F.concat(F.lit("Here:\n```json\n"), js, F.lit("\n```\n"))).when(n % 3 == 1, js).otherwise(text).alias("response"))
 
 

@@ -35,3 +35,13 @@ def test_texts_beyond_ascii(spark, tmp_path):
     assert sorted(map(tuple, q["f4_pack_lines_all"](spark, sf).collect())) == want
     want = {i: re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ") for i, t in enumerate(texts)}
     assert dict(map(tuple, q["f9_squeeze_all"](spark, sf).collect())) == want
+
+
+def test_responses_hold_whole_texts(spark, tmp_path):
+    """Two turns of one conversation with an equal start and other ends are two risks, in each of the three forms."""
+    text = 'An equal start of both turns, {"a": "b"}\n```\nRISKS:\n- and end '
+    rows = [(c, t, "user", text + str(t)) for c in range(3) for t in (3, 6)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = registry._responses(spark, str(tmp_path)).withColumn("v", registry.V.safety_verdict(registry.F.col("response")))
+    found = [(x.conv_id, x.v.risks[0].description) for x in r.collect()]
+    assert len(found) == len(set(found)) == 6 and all("and end" in d for _, d in found)
