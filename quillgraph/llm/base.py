@@ -20,9 +20,11 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; set here only where it is unset."""
+    """The folder that spark.checkpoint.dir names; set here only where it is unset and all runs on one machine."""
     got = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = f"file://{LOCAL_SHARED}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -69,6 +71,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def whole(id: str) -> Column:
+    """An id column as text, for Python: pandas makes doubles of longs beside a null, which are not exact over 2 ** 53."""
+    return F.col(f"`{id}`").cast("long").cast("string")
+
+
+def with_long(df: DataFrame, name: str = "id") -> DataFrame:
+    """Turns whole() back, in place."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

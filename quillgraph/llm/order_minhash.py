@@ -1,19 +1,22 @@
 """Operator 10, near-duplicates by Order MinHash.
 
-Sketch: five-word k-mers are labelled with their occurrence number; each of TABLES hash orders picks the PICKED least labelled
-k-mers and keeps them in text order, so that a shared sketch means shared words in a shared order. Texts with an equal sketch
-are candidates; a banded alignment of their words verifies them: a link has an edit distance in words of at most
-(1 - SIMILARITY) of the longer text.
+Sketch: k-mers of words are labelled with their occurrence number; each hash order picks the PICKED least labelled k-mers and keeps
+them in text order, so that a shared sketch means shared words in a shared order. Two families of orders: k-mers of five words, which
+hardly ever agree by chance, and of SHORT words of LETTERS letters or more, which edits spread evenly over a text can't all break.
+Texts with an equal sketch are candidates; a banded alignment of their words verifies them: a link has an edit distance in words of
+at most (1 - SIMILARITY) of the longer text.
 
 Words are runs of letters, digits and underscores in lower case; a text that has none takes its white-space words. Exact copies
 (equal words) meet by a digest of all words and stand behind one representative. Within a bucket every text is compared with the
-most popular one (that whose buckets are largest: in a group of near copies, the one nearest to all); then every two texts of a bucket that links don't join yet. Where such a bucket has over SMALL texts (they share a
-passage), its texts meet block by block, in the first bucket that two of them share, and are aligned unless their lengths or their
-bags of words already rule a link out, by exact bounds; so no bucket has a cap or loses a link. Groups are connected components.
-
-Edge cases: null, empty and blank texts have no words and each stays alone; a text of fewer than five words has one k-mer of all
-its words; very long texts are sketched whole, some tables at a time; ties between hashes go to the earlier place; a repeated
-row is an exact copy; rows with a null id get a null group and stay; further columns don't matter; an empty table gives no rows.
+most popular one (that whose buckets are largest: in a group of near copies, the one nearest to all); then every two texts of a
+bucket that links don't join yet. Where such a bucket has over SMALL texts (they share a passage), its texts meet block by block, in
+the first bucket that two of them share, and are aligned unless their lengths or their bags of words already rule a link out, by exact
+bounds; so no bucket has a cap or loses a link. Groups are connected components.
+
+Edge cases: null, empty and blank texts have no words and each stays alone; a text of fewer words than a k-mer has one k-mer of all
+its words; very long texts are sketched whole, some tables at a time; ties between hashes go to the earlier place; of repeated rows
+(one id, equal words) one is kept; texts that differ under one id are one node of the links, and each of them is kept if the id is;
+rows with a null id get a null group and stay; further columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +30,13 @@ from .base import saved, ship, shuffle_width
 from .components import components
 
 K, SIMILARITY = 5, 0.8
-#: At 3 k-mers and 40 tables, texts that share 0.5 of their labelled k-mers meet with probability 0.995, 0.65 with 0.999997.
-PICKED, TABLES = 3, 40
+#: Words of a short k-mer, and the least letters of each; all words count where fewer than a third are so long.
+SHORT, LETTERS = 2, 4
+#: K-mers of a sketch, and orders of each family. An order of texts that share a part J of their labelled k-mers agrees with J ** 3.
+#: At an edit similarity of 0.81 with evenly spread edits J is 0.45 for short k-mers: 0.97 of such pairs meet.
+PICKED, TABLES, SHORT_TABLES = 3, 16, 36
+#: Tasks that deal a digest shared by very many rows.
+SALTS = 16
 #: Above this size the texts of a bucket meet block by block, with bags, instead of in a join.
 SMALL = 16
 #: Texts of a block that meet those of another in one task; buckets of words in a bag, and in the coarse bag that is looked at before.
@@ -54,16 +62,29 @@ _memory = _Memory()
 _word = None
 
 
-def word_codes(text: str | None) -> np.ndarray:
-    """Codes of a text's normalised words, in order."""
+def normalised(text: str | None) -> list[str]:
     global _word
     import re
 
     _word = _word or re.compile(r"\w+")
-    words = _word.findall((text or "").lower()) or (text or "").split()
+    return _word.findall((text or "").lower()) or (text or "").split()
+
+
+def _coded(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_memory.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def word_codes(text: str | None) -> np.ndarray:
+    """Codes of a text's normalised words, in order."""
+    return _coded(normalised(text))
+
+
+def _long_words(words: list[str], codes: np.ndarray) -> np.ndarray:
+    """The codes that short k-mers are made of."""
+    long = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) >= LETTERS
+    return codes[long] if 3 * np.count_nonzero(long) >= len(codes) else codes
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -93,12 +114,11 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return _mix(hashes + number * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketch(codes: np.ndarray, picked: int = PICKED, tables: int = TABLES) -> list[int]:
-    """One hash a table: of the least `picked` labelled k-mers, in text order."""
-    base = kmers(codes)
-    own = labelled(base)
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    odd = rng.integers(0, 2**63, size=tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _family(codes: np.ndarray, k: int, picked: int, tables: int) -> list[int]:
+    base = kmers(codes, k)
+    own = (labelled(base) >> np.uint64(32)).astype(np.uint32)
+    rng = np.random.Generator(np.random.PCG64(SEED + k))
+    odd = rng.integers(0, 2**31, size=tables, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     picked = min(picked, len(own))
     out: list[int] = []
     step = max(1, 4_000_000 // len(own))
@@ -108,15 +128,20 @@ def sketch(codes: np.ndarray, picked: int = PICKED, tables: int = TABLES) -> lis
         rows = np.arange(len(values))
         for j in range(picked):
             places[:, j] = values.argmin(axis=1)
-            values[rows, places[:, j]] = np.uint64(2**64 - 1)
+            values[rows, places[:, j]] = np.uint32(2**32 - 1)
         places.sort(axis=1)
-        sign = np.full(len(values), 0, dtype=np.uint64) + (np.arange(at, at + len(values), dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
+        sign = (np.arange(at, at + len(values), dtype=np.uint64) + np.uint64(1 + 1000 * k)) * np.uint64(0xA0761D6478BD642F)
         for j in range(picked):
             sign = _mix(sign * np.uint64(0xE7037ED1A0B428DB) + base[places[:, j]])
         out.extend(sign.view(np.int64).tolist())
     return out
 
 
+def sketch(codes: np.ndarray, long: np.ndarray | None = None) -> list[int]:
+    """One hash an order: of the least PICKED labelled k-mers, in text order. long: codes of the long words, if not all are."""
+    return _family(codes, K, PICKED, TABLES) + _family(codes if long is None else long, SHORT, PICKED, SHORT_TABLES)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if at most `most`, else most + 1: bit-parallel dynamic programming over a band of 2 * most + 1."""
     if abs(len(a) - len(b)) > most:
@@ -161,19 +186,24 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     most = int(longest * (1 - similarity) + 1e-9)
-    return edit_distance(a, b, most) <= most
+    return abs(len(a) - len(b)) <= most and bag_distance(bag(a), bag(b)) <= most and edit_distance(a, b, most) <= most
 
 
-def _sketches(frames):
+def _digest(codes: np.ndarray) -> tuple[int, int]:
     import xxhash
 
+    d = xxhash.xxh3_128_intdigest(codes.tobytes())
+    return (d >> 64) - 2**63, (d & 2**64 - 1) - 2**63
+
+
+def _sketches(frames):
+    """A row for each text; one without words has n = 0."""
     for pdf in frames:
         rows = []
         for doc, text in zip(pdf["id"], pdf["text"], strict=True):
-            codes = word_codes(text)
-            if len(codes):
-                d = xxhash.xxh3_128_intdigest(codes.tobytes())
-                rows.append((doc, len(codes), (d >> 64) - 2**63, (d & 2**64 - 1) - 2**63, sketch(codes)))
+            words = normalised(text)
+            codes = _coded(words)
+            rows.append((doc, len(codes), *_digest(codes), sketch(codes, _long_words(words, codes)) if words else []))
         yield pd.DataFrame(rows, columns=["id", "n", "d1", "d2", "sketch"])
 
 
@@ -251,7 +281,8 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, group_id, copy_of, kept) of every row: group_id is the least id of its group, copy_of that of its exact copies."""
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    own = saved(source.where("id is not null").mapInPandas(_sketches, "id long, n int, d1 long, d2 long, sketch array<long>"), "sketches")
+    every = saved(source.where("id is not null").mapInPandas(_sketches, "id long, n int, d1 long, d2 long, sketch array<long>"), "sketches")
+    own = every.where("n > 0")
     reps = own.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     buckets = saved(reps.select(F.posexplode("sketch").alias("t", "s"), "id", "n"), "buckets")
     sizes = buckets.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
@@ -262,7 +293,7 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     members = saved(shared.drop("k").join(centres, "s"), "members")
     first = saved(members.where("id <> cid").where(_near("n", "cn")).select(F.col("cid").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = members.select("id").distinct()
-    codes = saved(source.join(involved, "id").mapInPandas(_codes, "id long, codes binary").dropDuplicates(["id"]), "codes")
+    codes = saved(source.join(involved, "id").mapInPandas(_codes, "id long, codes binary").dropDuplicates(["id", "codes"]), "codes")
     links = saved(_verify(first, codes), "links")
     joined = saved(components(links), "joined")
     placed = members.join(joined, members["id"] == joined["node"], "left").select("s", "t", "id", "n", F.coalesce("component", "id").alias("c"))
@@ -281,7 +312,31 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     second = _across(rest.where(F.col("k") <= SMALL)).union(possible).distinct().join(first, ["a", "b"], "left_anti")
     more = saved(_verify(saved(second, "pairs"), codes), "links")
     final = components(links.union(more))
-    found = own.join(reps.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"]).select("id", "rep")
-    grouped = found.join(final, found["rep"] == final["node"], "left").select("id", F.coalesce("component", "rep").alias("group_id"), F.col("rep").alias("copy_of"))
-    alone = source.select("id").join(grouped.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("copy_of"))
-    return grouped.union(alone).select(F.col("id").alias(id), "group_id", "copy_of", F.coalesce(F.col("id") == F.col("group_id"), F.lit(True)).alias("kept"))
+    # a digest may be that of a third of all rows: it is dealt by salts, and only salts that it has are joined to it
+    rows = own.groupBy("d1", "d2", "id").agg(F.count("*").alias("copies")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    least = own.groupBy("d1", "d2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).agg(F.min("id").alias("least"))
+    least = least.join(least.groupBy("d1", "d2").agg(F.min("least").alias("rep")), ["d1", "d2"]).drop("least")
+    found = rows.join(least, ["d1", "d2", "salt"]).select("id", "copies", "rep")
+    grouped = found.join(final, found["rep"] == final["node"], "left").select("id", F.coalesce("component", "rep").alias("group_id"), F.col("rep").alias("copy_of"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    alone = every.where("n = 0").select("id").union(source.where("id is null").select("id")).select("id", F.col("id").alias("group_id"), F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("copy"))
+    kept = F.coalesce(F.col("id") == F.col("group_id"), F.lit(True)) & (F.col("copy") == 1)
+    return grouped.union(alone).select(F.col("id").alias(id), "group_id", "copy_of", kept.alias("kept"))
+
+
+def _digests(texts: pd.Series) -> pd.DataFrame:
+    codes = [word_codes(t) for t in texts]
+    return pd.DataFrame([(len(c), *_digest(c)) for c in codes], columns=["n", "d1", "d2"])
+
+
+def select(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, as they are; of repeated rows one."""
+    verdict = saved(apply(docs, id, text).select(F.col(f"`{id}`").alias("_id"), "group_id", "kept"), "verdicts")
+    own, columns = F.col(f"`{id}`").cast("long"), [F.col(f"`{c}`") for c in docs.columns]
+    rest = docs.join(verdict.where("_id <> group_id").select("_id").distinct(), own == F.col("_id"), "left_anti")
+    twice = verdict.where("_id = group_id and not kept").select("_id").distinct()
+    if twice.isEmpty():
+        return rest
+    digest = F.pandas_udf(_digests, "n int, d1 long, d2 long")
+    again = rest.join(twice, own == F.col("_id"), "left_semi").select(F.struct(*columns).alias("row"), digest(F.col(f"`{text}`")).alias("d"))
+    one = again.where("d.n > 0").groupBy(F.col(f"row.`{id}`"), "d.d1", "d.d2").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return rest.join(twice, own == F.col("_id"), "left_anti").unionByName(one).unionByName(again.where("d.n = 0").select("row.*"))

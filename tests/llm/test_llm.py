@@ -565,3 +565,69 @@ def test_queries_give_contract_columns(spark, name):
     }
     df = queries.queries()[name](spark, SF)
     assert df.columns[: len(want[name])] == want[name] and df.count() > 0
+
+
+# Ids and repeated rows
+
+
+def test_big_ids_beside_null(spark):
+    """Ids over 2 ** 53 come out whole although one is null."""
+    big = [2**60 + 1, 2**60 + 3, None]
+    d = spark.createDataFrame([(i, f"text {k} of it", "en", "s", 1) for k, i in enumerate(big)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    p = spark.createDataFrame([(i, f"http://h{k}.org/", "<p>x</p>") for k, i in enumerate(big)], "page_id long, url string, html string").coalesce(1)
+    want = sorted(big, key=str)
+    for out, name in (
+        (mixing.apply(d), "doc_id"), (packing.apply(d, path()), "doc_id"), (huffman.apply(d, path()), "doc_id"), (html_extract.apply(p), "page_id"), (url_lm.apply(p), "page_id"),
+        (order_minhash.apply(d), "doc_id"), (quality_rules.apply(d), "doc_id"), (licences.apply(d.withColumn("path", F.lit("a/b")), id="doc_id"), "doc_id"),
+    ):
+        assert sorted((r[name] for r in out.collect()), key=str) == want and dict(out.dtypes)[name] == "bigint"
+
+
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    one, other = ("the first text of some words " * 5 + "a", "a wholly different set of terms " * 6 + "b")
+    rows = [(1, one, "x"), (1, one, "x"), (2, one + " more", "x"), (3, other, "x"), (3, other, "x"), (3, "words that only this text under the id has", "x"), (4, None, "x"), (4, None, "x"), (None, one, "x"), (None, one, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    out = order_minhash.apply(d).collect()
+    assert len(out) == len(rows)
+    assert Counter((r.doc_id, r.kept) for r in out) == {(1, True): 1, (1, False): 1, (2, False): 1, (3, True): 2, (3, False): 1, (4, True): 2, (None, True): 2}
+    kept = Counter((r.doc_id, r.text) for r in order_minhash.select(d).collect())
+    assert kept == {(1, one): 1, (3, other): 1, (3, rows[5][1]): 1, (4, None): 2, (None, one): 2}
+
+
+def test_repeated_vectors(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 0, [0.0, 1.0]), (3, 0, [0.0, 1.0]), (4, None, [1.0, 0.0]), (None, 0, [1.0, 0.0])]
+    out = vector_graph.apply(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0) for r in out)) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3), (4, 0, 4)]
+
+
+def test_recall_at_the_threshold():
+    """Pairs that the alignment accepts meet in a sketch: words replaced at random or evenly spread places."""
+    rng, lowest = np.random.default_rng(8), 1.0
+    words = lambda n: rng.integers(0, 2**62, n).astype(np.uint64)
+    for n in (30, 100, 300):
+        for even in (False, True):
+            for share in (0.02, 0.05, 0.1, 0.15, 0.19):
+                m, hits = int(n * share), 0
+                for _ in range(100):
+                    a = words(n)
+                    b = a.copy()
+                    b[(np.arange(m) * n / max(m, 1) + n / max(m, 1) / 2).astype(int) if even else rng.choice(n, m, replace=False)] = words(m)
+                    assert order_minhash.similar(a, b)
+                    hits += any(x == y for x, y in zip(order_minhash.sketch(a), order_minhash.sketch(b), strict=True))
+                print(f"{n} words, {share:.0%} replaced {'evenly' if even else 'at random'}: recall {hits / 100}")
+                lowest = min(lowest, hits / 100)
+    assert lowest >= 0.9
+
+
+def test_bucket_size_does_not_matter(spark):
+    """16 and 17 texts around one passage: the edited pair among them is linked either way."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(4000)]
+    passage = " ".join(rng.choice(words, 60))
+    own = [" ".join(rng.choice(words, 40)) for _ in range(40)]
+    pair = own[0].split()
+    for i in range(3, 40, 5):
+        pair[i] = f"other{i}"
+    for n in (16, 17, 40):
+        texts = [f"{passage} {t}" for t in own[: n - 1]] + [f"{passage} {' '.join(pair)}"]
+        assert groups(order_minhash.apply(docs(spark, texts)).collect()) == {i: 0 if i == n - 1 else i for i in range(n)}
