@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ship
+from .base import ship, whole, with_long
 
 #: Share of the score that the article holds; threshold as a share of the mean; blocks on each side that smooth a block.
 HOLDS, THRESHOLD, REACH = 0.9, 0.3, 1
@@ -218,11 +218,11 @@ def extract(page: str | None) -> str:
 def _extracted(frames):
     for pdf in frames:
         texts = [extract(h) for h in pdf["html"]]
-        yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def apply(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     ship(pages.sparkSession)
-    source = pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{page}`").alias("html"))
-    return source.mapInPandas(_extracted, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id, "url": url})
+    source = pages.select(whole(id).alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{page}`").alias("html"))
+    return with_long(source.mapInPandas(_extracted, "id string, url string, text string, n_chars long")).withColumnsRenamed({"id": id, "url": url})

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import discard, saved, scratch, ship
+from .base import discard, saved, scratch, ship, whole, with_long
 from .tokens import encoder, groups
 
 LIMIT, BLOCK, STRIDE = 16, 8192, 512
@@ -255,8 +255,8 @@ def _tokens(path: str, end_id: int):
                 if width <= 1 << 16:
                     narrow, ends = flat.astype("<u2").tobytes(), (np.cumsum(n) * 2).tolist()
                     data = [narrow[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-                yield pd.DataFrame({"id": ids.iloc[a:b].astype("Int64").to_numpy(), "n": n, "ids": data, "counts": None})
-        yield pd.DataFrame({"id": pd.array([None], dtype="Int64"), "n": [0], "ids": [None], "counts": [total.tobytes()]})
+                yield pd.DataFrame({"id": ids.iloc[a:b], "n": n, "ids": data, "counts": None})
+        yield pd.DataFrame({"id": [None], "n": [0], "ids": [None], "counts": [total.tobytes()]})
 
     return run
 
@@ -295,7 +295,7 @@ def _coded(lengths: np.ndarray):
             sizes, data = pdf["n"].tolist(), pdf["ids"].tolist()
             for a, b in _batches(sizes):
                 documents = [_ids(x, n) for x, n in zip(data[a:b], sizes[a:b], strict=True)]
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].astype("Int64").to_numpy(), "n": sizes[a:b], "coded": encode(documents, lengths, codes)})
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b], "n": sizes[a:b], "coded": encode(documents, lengths, codes)})
 
     return run
 
@@ -311,8 +311,8 @@ def _sharded(folder: str, most: int):
             return pd.DataFrame({"part": [part], "number": [number], "name": [name], "docs": [len(rows)], "ids": [sum(r[1] for r in rows)]})
 
         for pdf in frames:
-            for doc, n, coded in zip(pdf["id"].astype("Int64"), pdf["n"].tolist(), pdf["coded"], strict=True):
-                rows.append((None if doc is pd.NA else int(doc), n, bytes(coded)))
+            for doc, n, coded in zip(pdf["id"], pdf["n"].tolist(), pdf["coded"], strict=True):
+                rows.append((None if doc is None else int(doc), n, bytes(coded)))
                 size += len(coded)
                 if size >= most:
                     yield flush()
@@ -330,11 +330,9 @@ def _read(folder: str):
             for name, start in zip(pdf["name"], pdf["start"].tolist(), strict=True):
                 rows = []
                 for doc, ids in read_shard(folder, name, table):
-                    rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+                    rows.append((None if doc is None else str(doc), start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
-                out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
-                out["id"] = pd.array([r[0] for r in rows], dtype="Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -342,19 +340,19 @@ def _read(folder: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """Writes codebook and shards into a new folder that all executors reach; gives the manifest (part, number, name, docs, ids, start)."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    tokens = saved(source.mapInPandas(_tokens(tokenizer, end_id), "id long, n long, ids binary, counts binary"), "tokens")
+    source = docs.select(whole(id).alias("id"), F.col(f"`{text}`").alias("text"))
+    tokens = saved(source.mapInPandas(_tokens(tokenizer, end_id), "id string, n long, ids binary, counts binary"), "tokens")
     counts = tokens.where("n = 0").select("counts").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n")).collect()
     total = np.zeros(max((t for t, _ in counts), default=-1) + 1, dtype=np.int64)
     for t, n in counts:
         total[t] = n
     lengths = code_lengths(total)
     write_codebook(folder, lengths)
-    coded = saved(tokens.where("n > 0").select("id", "n", "ids").mapInPandas(_coded(lengths), "id long, n long, coded binary"), "coded")
+    coded = saved(with_long(tokens.where("n > 0").select("id", "n", "ids").mapInPandas(_coded(lengths), "id string, n long, coded binary")), "coded")
     discard(tokens)
     size = coded.agg(F.sum(F.length("coded"))).first()[0] or 0
     dealt = coded.repartitionByRange(max(1, -(-size // shard)), "id", "n").sortWithinPartitions("id", "n", "coded")
-    manifest = saved(dealt.mapInPandas(_sharded(folder, 2 * shard), "part int, number int, name string, docs long, ids long"), "manifest")
+    manifest = saved(dealt.select(whole("id").alias("id"), "n", "coded").mapInPandas(_sharded(folder, 2 * shard), "part int, number int, name string, docs long, ids long"), "manifest")
     # a row for each shard
     return manifest.withColumn("start", F.sum("ids").over(Window.orderBy("part", "number")) - F.col("ids"))
 
@@ -363,7 +361,8 @@ def read(manifest: DataFrame, folder: str, id: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every stored document, from the files."""
     ship(manifest.sparkSession)
     n = max(1, manifest.count())
-    return manifest.select("name", "start").repartition(n).mapInPandas(_read(folder), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id)
+    rows = manifest.select("name", "start").repartition(n).mapInPandas(_read(folder), "id string, start long, n_tokens long, ids_crc32 long")
+    return with_long(rows).withColumnRenamed("id", id)
 
 
 def apply(docs: DataFrame, tokenizer: str, end_id: int = 1, id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:

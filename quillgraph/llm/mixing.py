@@ -9,7 +9,8 @@ imbalance of words, then of documents.
 
 Edge cases: null text has size 0; null is a source of its own, the last; documents of size 0 take 0 words whatever is drawn; a
 source without words has target 0; repeated rows are drawn one by one; an empty table gives an empty table; only the named
-columns are read. The draws are seeded by the block, so reruns agree; of rows with equal id and size the text's hash decides.
+columns are read. The draws are seeded by the block, so reruns agree; of rows with equal id and size the text's hash decides, then
+the number among equal rows.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def fly(sizes: np.ndarray, probabilities: np.ndarray, rng, land: bool) -> np.nda
 
 def _flight(step: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        by = ["size", "id", "p", *(["tie"] if "tie" in pdf else [])]
+        by = ["size", "id", "p", "tie", "key"]
         pdf = pdf.sort_values(by, ascending=[c != "size" for c in by], kind="stable", na_position="last").reset_index(drop=True)
         rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{step}|{key[0]}|{key[1]}".encode())))
         pdf["p"] = fly(pdf["size"].to_numpy(), pdf["p"].to_numpy(), rng, bool(pdf["blocks"].iloc[0] == 1))
@@ -107,9 +108,14 @@ def apply(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str
     """
     ship(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    told = [F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("tie")] if key else []
-    carried = ["key", "tie"] if key else []
-    sized = saved(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), *told), "sized")
+    told, kind = [F.col(f"`{key}`").alias("key")] if key else [], docs.select(F.col(f"`{id}`")).schema[0].dataType
+    # ids go through Python as text: pandas makes doubles of longs beside a null
+    sized = docs.select(F.col(f"`{id}`").cast("string").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), *told)
+    if not key:
+        # equal rows are numbered, so that they are drawn one by one and dealt to many blocks
+        equal = sized.groupBy("id", "source", "size", "tie").agg(F.count("*").alias("n"))
+        sized = equal.select("id", "source", "size", "tie", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("key"))
+    sized, carried = saved(sized, "sized"), ["tie", "key"]
     goals = targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")), weights, share, cap)
     goals = saved(goals.withColumnRenamed("source", "goal"), "goals")
     ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
@@ -118,7 +124,7 @@ def apply(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str
         "id", "source", "size", F.col("words").alias("source_size"), "target", whole.alias("base"), F.greatest(ratio - whole, F.lit(0.0)).alias("p"), F.ceil(F.col("n") / block).cast("long").alias("blocks"), *carried)
     done, step = None, 0
     while True:
-        dealt = F.pmod(F.xxhash64("id", "size", F.lit(step)), "blocks").alias("block")
+        dealt = F.pmod(F.xxhash64("id", "size", "tie", *([] if key else ["key"]), F.lit(step)), "blocks").alias("block")
         flown = saved(left.groupBy("source", dealt).applyInPandas(_flight(step), left.schema), "flown")
         fixed = flown.where("p = 0 or p = 1")
         done = fixed if done is None else done.union(fixed)
@@ -129,4 +135,4 @@ def apply(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str
         left = rest.join(n, rest["source"].eqNullSafe(n["s"])).select("id", "source", "size", "source_size", "target", "base", "p", F.col("b").alias("blocks"), *carried)
         step += 1
     copies = (F.col("base") + F.col("p")).cast("long")
-    return done.select(F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.col("source").alias(source), copies.alias("copies"), *([F.col("key").alias(key)] if key else []))
+    return done.select(F.col("id").cast(kind).alias(id), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.col("source").alias(source), copies.alias("copies"), *([F.col("key").alias(key)] if key else []))

@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import saved, ship
+from .base import saved, ship, whole, with_long
 from .tokens import encoder, groups
 
 CAPACITY = 4096
 #: Pieces of one length that one task ranks.
-PART = 200_000
+PART = 20_000
 _BIG = 1 << 48
 
 
@@ -103,9 +103,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                     for at in range(0, len(data), 4 * capacity):
                         part = data[at : at + 4 * capacity]
                         rows.append((doc, at // (4 * capacity), at // 4, len(part) // 4, zlib.crc32(part)))
-                out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-                out["id"] = out["id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -120,7 +118,6 @@ def _placed(runs: np.ndarray):
             inside = rank - r[:, 1]
             pdf["sequence_id"] = r[:, 2] + inside // r[:, 3]
             pdf["offset"] = r[:, 4] + inside % r[:, 3] * length
-            pdf["id"] = pdf["id"].astype("Int64")
             yield pdf.drop(columns=["rank"])
 
     return run
@@ -129,8 +126,8 @@ def _placed(runs: np.ndarray):
 def apply(docs: DataFrame, tokenizer: str, end_id: int = 1, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece. tokenizer: a file that all executors have."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    pieces = saved(source.mapInPandas(_pieces(tokenizer, end_id, capacity), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    source = docs.select(whole(id).alias("id"), F.col(f"`{text}`").alias("text"))
+    pieces = saved(with_long(source.mapInPandas(_pieces(tokenizer, end_id, capacity), "id string, piece int, start long, length long, ids_crc32 long")), "pieces")
     counts = dict(pieces.groupBy("length").count().collect())
     runs = plan(counts, capacity)
     salts = max(1, -(-max(counts.values(), default=1) // part))
@@ -139,5 +136,5 @@ def apply(docs: DataFrame, tokenizer: str, end_id: int = 1, id: str = "doc_id",
     before = before.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("base"))
-    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(_placed(runs), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id)
+    out = ranked.select(whole("id").alias("id"), "piece", "start", "length", "ids_crc32", "rank").mapInPandas(_placed(runs), "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return with_long(out).withColumnRenamed("id", id)

@@ -14,8 +14,8 @@ bounded number of vectors, whatever a label or a ball of near copies holds, and
 components do. Components of the whole come from these.
 
 Edge cases: rows whose label is null or whose vector is null, empty, zero or has null or non-finite components link with nothing and
-are their own component; vectors of different lengths don't compare; -0.0 equals 0.0; repeated rows are copies; a row with a null id
-links with nothing; an empty table gives no rows; only the named columns are read.
+are their own component; vectors of different lengths don't compare; -0.0 equals 0.0; a repeated row is the same vector, so it is no
+link of itself; a row with a null id links with nothing; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ ALPHA, DEGREE, POOL, BACK = 1.2, 24, 96, 4
 #: Greedy steps, nodes expanded in each, entry points, and how far below the limit the range search goes on.
 STEPS, WIDTH, MEDOIDS, SLACK = 5, 8, 8, 0.04
 AUDIT, RECALL, SEED = 200, 0.99, 11
+#: Tasks that deal a vector shared by very many rows.
+SALTS = 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -276,9 +278,16 @@ def apply(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", lab
     fine = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("raw", lambda x: x != 0)
     usable = source.where("id is not null and label is not null and raw is not null").where(fine)
     vtype = source.schema["raw"].dataType.simpleString()
-    # vectors of one label and of one length compare
+    # vectors of one label and of one length compare; equal vectors are told by 128 bits
     keyed = usable.select("id", F.concat_ws(":", F.size("raw"), "label").alias("label"), F.transform("raw", lambda x: x + F.lit(0.0).cast(x_type(vtype))).alias("v"))
-    reps = saved(keyed.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("label", "id", "copies", "v"), "reps")
+    keyed = keyed.select("*", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(SEED), "v").alias("i"))
+    # a vector may be that of a third of all rows: its copies are dealt by salts, and only salts that it has are joined to it
+    rows = saved(keyed.groupBy("label", "h", "i", "id").agg(F.count("*").alias("rows")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), "rows")
+    salted = rows.groupBy("label", "h", "i", "salt").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    first = salted.groupBy("label", "h", "i").agg(F.min("least").alias("rep"), F.sum("copies").alias("copies"))
+    own = keyed.select("id", "v", "h", "i", "label").join(first.select(F.col("rep").alias("id"), "label", "h", "i", "copies"), ["id", "label", "h", "i"])
+    # several vectors may stand under one id: they are one node, and each of them is compared
+    reps = saved(own.dropDuplicates(["id", "label", "h", "i"]).select("label", "id", "copies", "v"), "reps")
     sizes = reps.groupBy("label").count().where(F.col("count") > 2 * cell).orderBy(F.desc("count"), "label").limit(PIVOTS).collect()
     pivots = fit_pivots(reps, [(r[0], r[1]) for r in sizes], cell, 0)
     probes, margin = PROBES, MARGIN
@@ -289,9 +298,11 @@ def apply(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", lab
         probes, margin = 2 * probes, 2 * margin
     links = hits.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(hits.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = reps.join(links, "id", "left").join(joined, F.col("id") == F.col("node"), "left").select("label", "v", F.col("id").alias("rep"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    linked = keyed.join(classes, ["label", "v"]).select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    alone = source.select("id").join(keyed.select(F.col("id").alias("k")).distinct(), F.col("id") == F.col("k"), "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    classes = first.join(links, F.col("rep") == F.col("id"), "left").join(joined, F.col("rep") == F.col("node"), "left").select("label", "h", "i", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    classes = salted.select("label", "h", "i", "salt").join(classes, ["label", "h", "i"])
+    linked = rows.join(classes, ["label", "h", "i", "salt"]).select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_row")).drop("_row")
+    ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("raw").isNotNull() & fine
+    alone = source.where(~F.coalesce(ok, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
