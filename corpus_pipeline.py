@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, packing.
+
+All stages: a null or empty text has no words, so the rules reject it; null ids stay as they are and are never joined; repeated rows
+are one document for the near-duplicates, before them each is judged for itself; ties are broken as the operators say; an empty table
+gives an empty table; columns beside those of documents are dropped, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -27,18 +32,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
+    """Documents that importance resampling draws. A document without words has no ratio and goes; without labels all others stay."""
     return importance.select(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    out = order_minhash.apply(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(COLUMNS).join(out, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document of each group of near-duplicates: the one with the least id, and of its repeated rows one."""
+    return order_minhash.select(docs.select(COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0, 1 or 2 times)."""
+    """Each document as often as the mix takes it (0, 1 or 2 times). A null source is a source; rows of null or equal ids are told apart."""
     # a key made for this stage and written: ids may be null or repeated
     keyed = saved(docs.select(F.monotonically_increasing_id().alias("key"), *COLUMNS), "keyed")
     drawn = mixing.apply(keyed.select("key", "doc_id", "text", "source"), key="key").where("copies > 0").select("key", "copies")
@@ -46,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix in sequences of at most 4096 tokens."""
+    """The pieces of the mix in sequences of at most 4096 tokens; a document taken twice is packed twice."""
     return packing.apply(docs.select("doc_id", "text"), tokenizer())
 
 
