@@ -631,3 +631,26 @@ def test_bucket_size_does_not_matter(spark):
     for n in (16, 17, 40):
         texts = [f"{passage} {t}" for t in own[: n - 1]] + [f"{passage} {' '.join(pair)}"]
         assert groups(order_minhash.apply(docs(spark, texts)).collect()) == {i: 0 if i == n - 1 else i for i in range(n)}
+
+
+def test_html_wrappers_parts_and_depth():
+    import time
+
+    s = "A sentence of the text, plain and long enough, goes on and ends here."
+    body = lambda k=6: "".join(f"<p>{s} {i}.</p>" for i in range(k))
+    text = lambda k=6: "\n\n".join(f"{s} {i}." for i in range(k))
+    cases = [
+        (f'<body><form id="aspnetForm"><div class="nav">Home About</div>{body()}</form></body>', text()), (f'<body><div class="site has-sidebar">{body()}</div></body>', text()),
+        ('<body><div class="with-nav"><p>Hi.</p></div></body>', "Hi."), (f'<article><div class="article-header"><h1>Title</h1></div>{body()}</article>', "Title\n\n" + text()),
+        (f"<body><article>{body(6)}</article><article>{body(4)}</article></body>", text(6) + "\n\n" + text(4)), (f"<article>{body()}</article><textarea>leak this", text()),
+        ('<div class="menu">Home About</div>', ""), ("<form>Name <input> <button>Go</button></form>", ""), (f'<article>{body(3)}<section class="comments"><p>{s} {s}</p></section></article>', text(3)),
+        (f'<div class="layout-sidebar"><div class="content">{body(9)}</div><div class="sidebar"><p>{s}</p></div></div>', text(9)), (f'<article><p>{s}</p></article><div class="comments">{body(20)}</div>', s),
+        (f'<div class="cookie-banner"><p>{s} {s}</p></div><div class="main">{body(4)}</div>', text(4)), (f"<article><p>{s} <svg><text>no</text></svg> 0.</p>{body(3)}</article>", f"{s} 0.\n\n" + text(3)),
+    ]
+    for page, want in cases:
+        assert html_extract.extract(page) == want
+    start = time.process_time()
+    assert html_extract.extract("<div>" * 100_000 + body() + "</div>" * 100_000) == text()
+    assert html_extract.extract(f"<article>{body(3)}" + "<svg>" * 50_000) == text(3)
+    html_extract.extract("<ul><li>" + "<div>" * 20_000 + "x<li>" * 20_000 + "<!" * 20_000)
+    assert time.process_time() - start < 5
