@@ -110,19 +110,25 @@ SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS
 
 
 def _licences_sql() -> str:
-    hint = _text(licences.HINT)
-    fixed = ", ".join(f"({i}, {_text(n)}, {_text(t)})" for i, (n, t) in enumerate(licences.TEMPLATES))
+    hint, cut = _text(licences.HINT), "chr(1)"
+    fixed = ", ".join("({}, {}, {})".format(i, _text(n), _text(t.replace("\n", " "))) for i, (n, t) in enumerate(licences.TEMPLATES))
+    marks = ", ".join(f"({_text(n)}, {_text(needed)}, {_text(other)})" for n, (needed, other) in licences.MARKS.items())
+    runs = lambda inside: f"string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, {_text(inside)}) THEN x ELSE {cut} END), ' '), {cut})"
     return f"""
 WITH d AS (SELECT doc_id, text, source || '/' || lang AS dir, source || '/' || lang || '/' || CASE WHEN len(string_split(text, chr(10))) <= {NOTICE_LINES} AND regexp_matches(text, {hint}) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
-s AS (SELECT doc_id, path, segment FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS segment FROM d) WHERE regexp_matches(segment, {hint}) UNION SELECT doc_id, path, text FROM d WHERE contains(path, '/LICENSE-') AND contains(text, chr(10))),
-t(template, license, text) AS (VALUES {fixed}), u AS (SELECT DISTINCT segment FROM s),
+n AS (SELECT *, string_split(text, chr(10)) AS lines FROM d WHERE regexp_matches(text, {hint})),
+s AS (SELECT DISTINCT doc_id, path, trim(segment, ' ') AS segment FROM (SELECT doc_id, path, unnest(list_concat(lines, list_concat({runs(licences.COMMENT)}, {runs(licences.TERM)}))) AS segment FROM n) WHERE regexp_matches(segment, {hint})
+  UNION SELECT doc_id, path, trim(text, ' ') FROM n WHERE contains(path, '/LICENSE-')),
+t(template, license, text) AS (VALUES {fixed}), x(license, needed, other) AS (VALUES {marks}), u AS (SELECT DISTINCT segment FROM s),
 o AS (SELECT segment, term, count(*) AS tf FROM (SELECT segment, unnest(regexp_extract_all(lower(segment), '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
 k AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
 f AS (SELECT term, ln((1 + (SELECT count(*) FROM u) + (SELECT count(*) FROM t))::DOUBLE / (1 + count(*))::DOUBLE) + 1 AS idf FROM (SELECT term FROM o UNION ALL SELECT term FROM k) GROUP BY term),
 ow AS (SELECT segment, term, tf * idf AS w FROM o JOIN f USING (term)), kw AS (SELECT template, license, term, tf * idf AS w FROM k JOIN f USING (term)),
-q AS (SELECT segment, license, round(sum(ow.w * kw.w) / (any_value(x.n) * any_value(y.n)), 9) AS score FROM ow JOIN kw USING (term) JOIN (SELECT segment, sqrt(sum(w * w)) AS n FROM ow GROUP BY ALL) x USING (segment)
-  JOIN (SELECT template, sqrt(sum(w * w)) AS n FROM kw GROUP BY ALL) y USING (template) GROUP BY segment, license, template),
-m AS (SELECT s.doc_id, s.path, license, score, row_number() OVER (PARTITION BY s.doc_id ORDER BY score DESC, license) AS r FROM s JOIN q USING (segment) WHERE score >= {licences.COSINE}),
+q AS (SELECT segment, license, round(sum(ow.w * kw.w) / (any_value(a.n) * any_value(b.n)), 9) AS score FROM ow JOIN kw USING (term) JOIN (SELECT segment, sqrt(sum(w * w)) AS n FROM ow GROUP BY ALL) a USING (segment)
+  JOIN (SELECT template, sqrt(sum(w * w)) AS n FROM kw GROUP BY ALL) b USING (template) GROUP BY segment, license, template),
+g AS (SELECT q.segment, q.license, q.score, array_to_string(regexp_extract_all(lower(q.segment), '[a-z0-9]+'), ' ') AS words, needed, other FROM q JOIN x USING (license) WHERE score >= {licences.COSINE}),
+m AS (SELECT s.doc_id, s.path, g.license, score, row_number() OVER (PARTITION BY s.doc_id ORDER BY score DESC, g.license) AS r FROM s JOIN g USING (segment)
+  WHERE regexp_matches(words, needed) AND NOT regexp_matches(words, other) AND NOT regexp_matches(words, {_text(licences.DENIED)})),
 own AS (SELECT doc_id, path, license, score FROM m WHERE r = 1),
 i AS (SELECT dir, license AS dir_license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own.path, license) AS r FROM own JOIN d USING (doc_id) WHERE contains(own.path, '/LICENSE-'))
 SELECT d.doc_id, d.path, own.license AS own_license, score, CASE WHEN own.license IS NULL THEN dir_license END AS inherited_license, CASE WHEN own.license IS NULL AND dir_license IS NOT NULL THEN d.dir END AS inherited_from, coalesce(own.license, dir_license) AS license

@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and edge cases."""
 
+import textwrap
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillgraph.llm import html_extract, huffman, importance, licences, mixing, order_minhash, packing, quality_rules, queries, tokens, url_lm, vector_graph
+from quillgraph.llm import html_extract, huffman, importance, licence_texts, licences, mixing, order_minhash, packing, quality_rules, queries, tokens, url_lm, vector_graph
 from quillgraph.llm.base import kth_largest, ranked
 from quillgraph.llm.components import components
 
@@ -410,17 +411,19 @@ def brute_licences(segments):
     import math
     import re
 
-    terms = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
-    own, known = {s: terms(s) for s in segments}, [(n, terms(t)) for n, t in licences.TEMPLATES]
+    terms = lambda t: re.findall("[a-z0-9]+", t.lower())
+    own, known = {s: Counter(terms(s)) for s in segments}, [(n, Counter(terms(t))) for n, t in licences.TEMPLATES]
     df = Counter(w for c in [*own.values(), *(c for _, c in known)] for w in c)
     n = len(own) + len(known)
     weigh = lambda c: {w: k * (math.log((1 + n) / (1 + df[w])) + 1) for w, k in c.items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    out = {}
+    known, out = [(name, weigh(t)) for name, t in known], {}
     for s, c in own.items():
-        v = weigh(c)
-        scores = [(-round(sum(v.get(w, 0) * x for w, x in t.items()) / (size(v) * size(t)), 9), name) for name, t in ((name, weigh(t)) for name, t in known)] if v else []
-        if scores and -min(scores)[0] >= licences.COSINE:
+        v, words = weigh(c), " ".join(terms(s))
+        scores = [(-round(sum(v.get(w, 0) * x for w, x in t.items()) / (size(v) * size(t)), 9), name) for name, t in known] if v else []
+        fits = lambda name, words=words: re.search(licences.MARKS[name][0], words) and not re.search(licences.MARKS[name][1], words) and not re.search(licences.DENIED, words)
+        scores = [x for x in scores if -x[0] >= licences.COSINE and fits(x[1])]
+        if scores:
             out[s] = (min(scores)[1], -min(scores)[0])
     return out
 
@@ -429,19 +432,42 @@ def test_licences(spark):
     files = [
         (1, "a/LICENSE", "Copyright 2020\nReleased under the MIT License."), (2, "a/b/c/x.py", "code\nmore"), (3, "a/b/LICENSE.txt", "Licensed under CC BY-NC 4.0."), (4, "a/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"),
         (5, "z/q.py", None), (6, None, "This work is licensed under the GNU General Public License, version 3."), (7, "top.py", ""), (8, "a/b/c/x2.py", "licence unknown terms of another kind"), (8, "a/b/c/x2.py", "licence unknown terms of another kind"),
+        (9, "w/LICENSE", None), (10, "w/v.py", "word " * 200_000 + "\nReleased under the MIT License."), (None, "a/b/n.py", "text"),
     ]
-    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("license", F.lit("x"))
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumns({"license": F.lit("x"), "h": F.lit("x"), "salt": F.lit("x")})
     rows = licences.apply(df, id="doc_id").collect()
     got = {r.doc_id: (r.own_license, r.inherited_license, r.inherited_from, r.license) for r in rows}
-    assert len(rows) == 9
-    assert got[2] == got[8] == (None, "CC-BY-NC-4.0", "a/b", "CC-BY-NC-4.0") and got[1][0] == "MIT" and got[4] == ("Apache-2.0", None, None, "Apache-2.0")
-    assert got[5] == got[7] == (None, None, None, None) and got[6][3] == "GPL-3.0"
-    found = licences.segments(df.withColumnRenamed("doc_id", "id")).select("segment").distinct()
-    want = brute_licences([r.segment for r in found.collect()])
-    assert {r.segment: (r.license, pytest.approx(r.score, abs=1e-8)) for r in licences.matched(found).collect()} == want
+    assert len(rows) == 12
+    assert got[2] == got[8] == got[None] == (None, "CC-BY-NC-4.0", "a/b", "CC-BY-NC-4.0") and got[1][0] == got[10][0] == "MIT" and got[4] == ("Apache-2.0", None, None, "Apache-2.0")
+    assert got[5] == got[7] == got[9] == (None, None, None, None) and got[6][3] == "GPL-3.0"
+    found = licences.segments(df.withColumnRenamed("doc_id", "id")).select("segment", F.xxhash64("segment").alias("h"), F.lit(0).alias("i")).distinct()
+    text = {r.h: r.segment for r in found.collect()}
+    want = brute_licences(list(text.values()))
+    assert {text[r.h]: (r.license, pytest.approx(r.score, abs=1e-8)) for r in licences.matched(found).collect()} == want
     assert licences.apply(df.limit(0), id="doc_id").count() == 0
 
 
+def test_licence_texts_and_variants(spark):
+    """Notices, headers over several lines, and full texts that no template holds word for word; variants and denials."""
+    t = licence_texts
+    wrap = lambda text, mark: "".join(f"{mark} {line}\n" for line in textwrap.wrap(text, 60))
+    gnu = lambda name, version: t._gnu(name, version, "program", "")[0].replace("; you", ": you")
+    full = lambda text: "Copyright (c) 2021 Some Author and others\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(x, 70) for x in text.split("\n"))
+    cases = [
+        ("GPL-2.0", wrap(gnu(t._GENERAL, "2"), "#") + "import x"), ("GPL-3.0", wrap(gnu(t._GENERAL, "3"), "//") + "int x;"), ("AGPL-3.0", wrap(gnu(t._AFFERO, "3"), " *")), ("LGPL-2.1", gnu(t._LESSER, "2.1").replace("program", "library")),
+        ("MPL-2.0", wrap(t._MPL, "#") + "x = 1\n"), ("Apache-2.0", "/*\n" + wrap(t._APACHE, " *") + " */\npackage x;"), ("MIT", "The MIT License (MIT)\n\n" + full(t._MIT)), ("ISC", full(t._ISC)),
+        ("BSD-2-Clause", full(t._BSD_START + t._BSD_END)), ("BSD-3-Clause", full(t._BSD_START + t._BSD_THIRD + t._BSD_END)), ("Unlicense", full(t._UNLICENSE)),
+        ("GPL-3.0", "      GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy\n\nPreamble"),
+        ("CC-BY-SA-4.0", "This text is licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"), ("ISC", "ISC License"), ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("GPL-2.0", "Licensed under the GNU General Public License v2.0"),
+        (None, "Not released under the MIT License."), (None, "Licensed under CC BY 3.0"), (None, "The copyright of this text is held by its author."), (None, "A licence to fish in this river costs ten crowns."),
+        (None, "This is no longer distributed under the Apache License, Version 2.0."),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/{'LICENSE' if 'reserved.' in text else 'f.txt'}", text) for i, (_, text) in enumerate(cases)], "id long, path string, text string")
+    got = {r.id: r.license for r in licences.apply(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for want, _ in cases]
+
+
 # 10
 
 
