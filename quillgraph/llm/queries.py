@@ -81,22 +81,27 @@ def _text(x: str) -> str:
 
 
 def _rules_sql() -> str:
-    phrases = " OR ".join(f"contains(lower(line), {_text(p)})" for p in quality_rules.BOILERPLATE)
+    q = quality_rules
+    phrases = " OR ".join(f"contains(lower(line), {_text(p)})" for p in q.BOILERPLATE)
+    count = lambda pattern: f"len(regexp_extract_all(line, {_text(pattern)}))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS w FROM d),
 k AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 3)),
 c AS (SELECT doc_id, x FROM k GROUP BY ALL HAVING count(*) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat FROM k JOIN c USING (doc_id, x), (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
-s AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-l AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_W}')) AS n, length(regexp_replace(line, '{_BLANK}', '', 'g')) AS chars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
-  length(line) - length(replace(line, '|', '')) AS bars, len(regexp_extract_all(line, '!!(?:[\\x20\\x09-\\x0D]|$)')) AS shouted FROM s),
-b AS (SELECT *, n > 0 AND (symbols * 100 > n * {quality_rules.MAX_SYMBOL_PERCENT} OR (bars >= {quality_rules.MENU_BARS} AND bars * 3 >= n) OR (contains(line, '!!') AND shouted * 100 >= n * {quality_rules.MAX_SHOUT_PERCENT})
-  OR (n <= {quality_rules.BOILER_WORDS} AND ({phrases}))) AS bad FROM l),
+s AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+l AS (SELECT doc_id, i, line, {count(_W)} AS n, length(regexp_replace(line, '{_BLANK}', '', 'g')) AS chars, {count(q.SYMBOLS)} AS symbols, {count("[|]")} AS bars, {count(q.BULLETS)} AS bullets, {count(q.LINK)} AS links,
+  len(regexp_extract_all(line, '!!(?:[\\x20\\x09-\\x0D]|$)')) AS shouted FROM s),
+e AS (SELECT *, n BETWEEN 1 AND {q.MENU_WORDS} AND NOT contains({_text(q.ENDS)}, right(rtrim(line, {_text(q.BLANK)}), 1)) AS entry FROM l),
+f AS (SELECT *, sum(entry::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS {q.MENU_RUN - 1} PRECEDING) AS before, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS copy FROM e),
+b AS (SELECT *, n > 0 AND (symbols * 100 > n * {q.MAX_SYMBOL_PERCENT} OR (bars >= {q.MENU_BARS} AND bars * 3 >= n) OR (bullets >= {q.MENU_BULLETS} AND bullets * 3 >= n) OR (links > 0 AND links * 100 >= n * {q.MAX_LINK_PERCENT})
+  OR (contains(line, '!!') AND shouted * 100 >= n * {q.MAX_SHOUT_PERCENT}) OR (n <= {q.BOILER_WORDS} AND ({phrases})) OR copy > {q.COPIES}
+  OR (entry AND max(before) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {q.MENU_RUN - 1} FOLLOWING) = {q.MENU_RUN})) AS bad FROM f),
 g AS (SELECT doc_id, coalesce(sum(chars) FILTER (bad), 0) AS lost, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM b GROUP BY doc_id),
 a AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, lost
   FROM w JOIN g USING (doc_id) LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost * 100 <= word_chars * {quality_rules.MAX_LOST_PERCENT} AS kept FROM a
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost * 100 <= word_chars * {q.MAX_LOST_PERCENT} AS kept FROM a
 """
 
 

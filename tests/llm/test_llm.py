@@ -206,6 +206,24 @@ def test_rules_lines(spark):
     assert out[1].n_removed_lines == 20 and not out[1].kept
 
 
+def test_rules_navigation_and_copies(spark):
+    """Menus with an entry a line, bullets, links and repeated lines go; headings, verse ends and two copies stay."""
+    prose = [" ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(12)]
+    cases = {
+        "menu": (["Home", "About us", "All products", "Contact"], 4), "three short lines": (["Home", "About us", "All products"], 0), "short sentences": (["Yes.", "No!", "Why?", "So it is."], 0), "heading": (["A heading of the text"], 0),
+        "bullets": (["Home › Products › Shoes"], 1), "links": (["http://a.example/x www.b.example", "see http://a.example for all the rest of it"], 1), "copies": (["Only today in all shops of the town."] * 5, 3), "two": (["It comes twice in a text."] * 2, 0),
+    }
+    texts = ["\n".join([*(f"{k}: {x}" for x in prose), *lines]) for k, (lines, _) in cases.items()]
+    df = docs(spark, texts).withColumn("a.text with space", F.col("text"))
+    for column in ("text", "a.text with space"):
+        out = {r.doc_id: r for r in quality_rules.apply(df, column).collect()}
+        assert [out[i].n_removed_lines for i in range(len(texts))] == [n for _, n in cases.values()]
+        assert all(out[i].kept for i in range(len(texts))) and all(x in out[0].clean_text for x in prose) and "Home" not in out[0].clean_text
+    long = docs(spark, ["\n".join(["Same line here."] * 60_000), "w " * 300_000 + "\n" + "\n".join(f"a{i}" for i in range(30_000))])
+    got = {r.doc_id: r for r in quality_rules.apply(long).collect()}
+    assert got[0].n_removed_lines == 59_998 and got[1].n_removed_lines == 30_000
+
+
 def test_rules_on_labels(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = quality_rules.apply(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").where("not base_failed")
