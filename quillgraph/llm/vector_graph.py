@@ -8,7 +8,8 @@ Only vectors of one label are compared. Equal vectors of a label stand behind on
   search  every representative is a query in the PROBES nearest cells and all within MARGIN of the nearest; a greedy search starts at
           the medoids of the cell and at the query itself, then expands everything in range until no more is found;
   verify  hits are counted where they are at home, so once, if their cosine is at least COSINE;
-  audit   AUDIT sampled queries are compared with all rows; below RECALL of their links the search is repeated over more cells.
+  audit   AUDIT sampled queries and as many that have links are compared with all rows; where less than RECALL of a query's links is
+          found in the mean, the search is repeated over more cells; if even all cells don't suffice, without the graph, which is exact.
 A cell of over SHARD members is parted by hash and a query goes to every part; queries of a cell are parted too. So a task holds a
 bounded number of vectors, whatever a label or a ball of near copies holds, and no pair leaves its task: only counts and local
 components do. Components of the whole come from these.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .base import saved, ship
 from .components import components
 
-COSINE, CELL, SHARD, QUERIES = 0.93, 500, 4000, 8000
+COSINE, CELL, SHARD, QUERIES = 0.93, 3000, 8000, 8000
 PIVOTS, SAMPLE = 8192, 32_768
 PROBES, MARGIN, OVERLAP = 4, 0.1, 2
 ALPHA, DEGREE, POOL, BACK = 1.2, 24, 96, 4
@@ -152,7 +153,13 @@ def _build(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "to": [ids[x].tolist() for x in lists]})
 
 
-def _searched(cosine: float):
+def _all(queries: np.ndarray, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """What search gives, from every pair."""
+    found = [(r + at, m) for at in range(0, len(queries), 256) for r, m in [np.nonzero(queries[at : at + 256] @ x.T >= cosine - 1e-3)]]
+    return np.concatenate([r for r, _ in found]), np.concatenate([m for _, m in found])
+
+
+def _searched(cosine: float, exact: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         members = pdf[pdf["query"] == 0].sort_values("id").reset_index(drop=True)
         asks = pdf[pdf["query"] == 1].sort_values("id").reset_index(drop=True)
@@ -160,15 +167,7 @@ def _searched(cosine: float):
         if not len(members) or not len(asks):
             return empty
         ids, v, qv = members["id"].to_numpy(), _stack(members["v"]), _stack(asks["v"])
-        place = pd.Series(np.arange(len(ids)), index=ids)
-        width = max(1, max((len(t) for t in members["to"] if t is not None), default=1))
-        table = np.full((len(ids), width), -1, dtype=np.int64)
-        for i, to in enumerate(members["to"]):
-            if to is not None and len(to):
-                known = place.reindex(np.asarray(to)).dropna().to_numpy().astype(np.int64)
-                table[i, : len(known)] = known
-        own = place.reindex(asks["id"].to_numpy()).fillna(-1).to_numpy().astype(np.int64)
-        q, m = search(_unit(qv), own, _unit(v), table, cosine)
+        q, m = _all(_unit(qv), _unit(v), cosine) if exact else walked(members, asks, ids, v, qv)
         ask_ids = asks["id"].to_numpy()
         ok = members["home"].to_numpy()[m] & (ask_ids[q] != ids[m])
         q, m = q[ok], m[ok]
@@ -182,6 +181,17 @@ def _searched(cosine: float):
         hit = np.flatnonzero(links)
         return pd.concat([pd.DataFrame({"id": ask_ids[hit], "links": links[hit], "root": ask_ids[hit]}), pd.DataFrame({"id": every, "links": 0, "root": root})])
 
+    def walked(members: pd.DataFrame, asks: pd.DataFrame, ids: np.ndarray, v: np.ndarray, qv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = pd.Series(np.arange(len(ids)), index=ids)
+        width = max(1, max((len(t) for t in members["to"] if t is not None), default=1))
+        table = np.full((len(ids), width), -1, dtype=np.int64)
+        for i, to in enumerate(members["to"]):
+            if to is not None and len(to):
+                known = place.reindex(np.asarray(to)).dropna().to_numpy().astype(np.int64)
+                table[i, : len(known)] = known
+        own = place.reindex(asks["id"].to_numpy()).fillna(-1).to_numpy().astype(np.int64)
+        return search(_unit(qv), own, _unit(v), table, cosine)
+
     return run
 
 
@@ -228,7 +238,7 @@ def _placed(pivots: dict, probes: int, margin: float):
     return run
 
 
-def _rounds(reps: DataFrame, pivots: dict, cosine: float, probes: int, margin: float, vtype: str) -> DataFrame:
+def _rounds(reps: DataFrame, pivots: dict, cosine: float, probes: int, margin: float, vtype: str, exact: bool) -> DataFrame:
     """(id, links, root): links found in each task, and local components."""
     placed = saved(reps.mapInPandas(_placed(pivots, probes, margin), f"label string, id long, copies long, v {vtype}, home int, overlap array<int>, probed array<int>"), "placed")
     sizes = placed.select("label", F.explode("overlap").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
@@ -241,12 +251,15 @@ def _rounds(reps: DataFrame, pivots: dict, cosine: float, probes: int, margin: f
     shard = members.join(graph, "id", "left").select("label", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "copies", "v", "to", (F.col("home") == F.col("cell")).alias("home"), F.lit(0).alias("query"))
     asks = placed.select("label", "id", "copies", "v", F.explode("probed").alias("cell")).join(cells, ["label", "cell"])
     asks = asks.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(2)), "turns").cast("int").alias("turn"), "id", "copies", "v", F.lit(None).cast("array<long>").alias("to"), F.lit(False).alias("home"), F.lit(1).alias("query"))
-    return saved(shard.union(asks).groupBy("label", "cell", "part", "turn").applyInPandas(_searched(cosine), "id long, links long, root long"), "hits")
+    return saved(shard.union(asks).groupBy("label", "cell", "part", "turn").applyInPandas(_searched(cosine, exact), "id long, links long, root long"), "hits")
 
 
-def audit(reps: DataFrame, hits: DataFrame, cosine: float = COSINE, sample: int = AUDIT) -> float:
-    """Share of the true links of sampled queries, counted against all rows, that hits has; 1 if there are none."""
-    asks = reps.orderBy(F.xxhash64("id", F.lit(SEED + 1)), "id").limit(sample).select("label", "id", "v").toPandas()
+def audit(reps: DataFrame, hits: DataFrame, cosine: float, sample: int) -> float:
+    """Mean share of the true links of a query, counted against all rows, that hits has: over `sample` queries and as many with links,
+    of which those that have true links count; 1 if there are none."""
+    order = [F.xxhash64("id", F.lit(SEED + 1)), F.col("id")]
+    linked = reps.join(hits.where("links > 0").select("id").distinct(), "id", "left_semi")
+    asks = reps.orderBy(*order).limit(sample).union(linked.select(reps.columns).orderBy(*order).limit(sample)).select("label", "id", "v").toPandas().drop_duplicates("id")
     if not len(asks):
         return 1.0
     by_label = {label: (part["id"].to_numpy(), _stack(part["v"])) for label, part in asks.groupby("label")}
@@ -267,12 +280,12 @@ def audit(reps: DataFrame, hits: DataFrame, cosine: float = COSINE, sample: int
     true = {r[0]: r[1] for r in reps.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
     ids = asks[["id"]]
     found = {r[0]: r[1] for r in hits.join(F.broadcast(reps.sparkSession.createDataFrame(ids)), "id").groupBy("id").agg(F.sum("links")).collect()}
-    whole = sum(true.values())
-    return sum(min(found.get(i, 0), n) for i, n in true.items()) / whole if whole else 1.0
+    shares = [min(found.get(i, 0), n) / n for i, n in true.items() if n]
+    return float(np.mean(shares)) if shares else 1.0
 
 
-def apply(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, cell: int = CELL) -> DataFrame:
-    """(id, n_links, component_id, kept) of every row."""
+def apply(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, cell: int = CELL, report: dict | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept) of every row. report gets the audited recall and how it was reached."""
     ship(vectors.sparkSession)
     source = vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").alias("raw"))
     fine = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("raw", lambda x: x != 0)
@@ -290,12 +303,17 @@ def apply(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", lab
     reps = saved(own.dropDuplicates(["id", "label", "h", "i"]).select("label", "id", "copies", "v"), "reps")
     sizes = reps.groupBy("label").count().where(F.col("count") > 2 * cell).orderBy(F.desc("count"), "label").limit(PIVOTS).collect()
     pivots = fit_pivots(reps, [(r[0], r[1]) for r in sizes], cell, 0)
-    probes, margin = PROBES, MARGIN
+    most = max((len(p) for p in pivots.values()), default=1)
+    probes, margin, exact = PROBES, MARGIN, False
     while True:
-        hits = _rounds(reps, pivots, cosine, probes, margin, vtype)
-        if audit(reps, hits, cosine) >= RECALL or probes >= max((len(p) for p in pivots.values()), default=1):
+        hits = _rounds(reps, pivots, cosine, probes, margin, vtype, exact)
+        recall = audit(reps, hits, cosine, AUDIT)
+        if recall >= RECALL or exact:
             break
-        probes, margin = 2 * probes, 2 * margin
+        exact = probes >= most
+        probes, margin = min(2 * probes, most), 2 * margin
+    if report is not None:
+        report |= {"recall": recall, "cells probed at least": probes, "exact": exact}
     links = hits.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(hits.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = first.join(links, F.col("rep") == F.col("id"), "left").join(joined, F.col("rep") == F.col("node"), "left").select("label", "h", "i", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -340,6 +341,19 @@ def test_vectors(spark):
     assert vector_graph.apply(df.limit(0)).count() == 0
 
 
+def test_vectors_end_exactly(spark, monkeypatch):
+    """A search that finds nothing fails its audit, and the exact end finds all."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 8))
+    v = np.vstack([base, base[:60] + rng.normal(scale=0.05, size=(60, 8))]).astype(np.float32)
+    rows = [(i, 0, [float(x) for x in r]) for i, r in enumerate(v)]
+    df, said = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"), {}
+    monkeypatch.setattr(vector_graph, "_searched", (lambda real: lambda cosine, exact: real(cosine, True) if exact else lambda key, pdf: pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64"))(vector_graph._searched))
+    monkeypatch.setattr(vector_graph, "AUDIT", 360)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_graph.apply(df, cell=60, report=said).collect()}
+    assert got == brute_vectors(rows) and said["exact"] and said["recall"] == 1
+
+
 def test_robust_prune_reaches_all():
     x = vector_graph._unit(np.random.default_rng(0).normal(size=(300, 8)))
     lists = vector_graph.robust_prune(x)
