@@ -1,9 +1,11 @@
 """Operator 5, quality classifier by importance resampling.
 
 Hashed uni- and bigrams of words and punctuation give two generative models: of the labelled good texts (a bounded sample) and of
-all raw texts. A document's weight is its mean log-ratio of the two, taken as if it had EVEN n-grams so that long documents don't
-outweigh short ones; Gumbel noise on it and a cut at the k-th largest draw k documents without replacement. k is the number of
-documents at least as near the target as a threshold that separates the labelled sample best.
+all raw texts. A document's log-weight is the sum of the log-ratios of its n-grams; Gumbel noise on it and a cut at the k-th largest
+draw k documents without replacement, in proportion to their weights. Two parameters temper this: `even`, if given, is the number of
+n-grams that every document is weighed as having (the mean ratio counts `even` times), so that long documents don't outweigh short
+ones; the smaller it is, the more the draw is by chance. `k` is the number of documents; if it isn't given, as many are drawn as are
+at least as near the target as a threshold that separates the labelled sample best.
 
 Edge cases: null, empty and blank texts have no n-grams, a null ratio, and are rejected; without good labelled rows all ratios
 are 0 and every text with n-grams is kept; without bad ones the threshold is the target's lowest percentile; ties at the cut all
@@ -66,29 +68,28 @@ def _counts(frames):
 class Model:
     """Log-ratios of the buckets, the threshold and the k-th largest score."""
 
-    def __init__(self, ratios: np.ndarray):
-        self.ratios, self.threshold, self.cut = ratios, None, None
+    def __init__(self, ratios: np.ndarray, even: float | None = EVEN):
+        self.ratios, self.even, self.threshold, self.cut = ratios, even, None, None
 
     def ratio(self, text: Column) -> Column:
-        """Mean log-ratio of a text; null if it has no n-grams."""
+        """(mean, n): mean log-ratio of a text's n-grams, null if it has none, and their number."""
         ratios = self.ratios
 
-        def mean(texts: pd.Series) -> pd.Series:
-            out = np.full(len(texts), np.nan)
+        def mean(texts: pd.Series) -> pd.DataFrame:
+            out, n = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
             for i, t in enumerate(texts):
                 f = features(t)
                 if len(f):
-                    out[i] = ratios[f].mean()
-            return pd.Series(out)
+                    out[i], n[i] = ratios[f].mean(), len(f)
+            return pd.DataFrame({"mean": out, "n": n})
 
-        got = F.pandas_udf(mean, "double")(text)
-        return F.when(F.isnan(got), None).otherwise(got)
+        return F.pandas_udf(mean, "mean double, n long")(text)
 
-    @staticmethod
-    def score(ratio: Column, id: Column, seed: int = SEED) -> Column:
-        """The weight's logarithm with Gumbel noise."""
+    def score(self, ratio: Column, n: Column, id: Column, seed: int = SEED) -> Column:
+        """The weight's logarithm with Gumbel noise; null without n-grams."""
         u = (F.shiftrightunsigned(F.xxhash64(id, F.lit(seed)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-        return ratio * EVEN - F.log(-F.log(u))
+        weight = ratio * (n if self.even is None else F.lit(float(self.even)))
+        return F.when(n > 0, weight - F.log(-F.log(u)))
 
     def keeps(self, score: Column) -> Column:
         return F.coalesce(score >= F.lit(self.cut), F.lit(False)) if self.cut is not None else F.lit(False)
@@ -113,7 +114,7 @@ def _threshold(rows: list[tuple[float, bool]]) -> float:
     return float(best[len(best) // 2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, k: int | None = None, even: float | None = EVEN) -> tuple[Model, DataFrame]:
     """The model, and (id, log_ratio, score) of every row."""
     ship(docs.sparkSession)
     known = _labelled(labels, sample)
@@ -127,22 +128,23 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if not good.any():
         good = raw
     smooth = lambda n: np.log((n + SMOOTH) / (n.sum() + SMOOTH * BUCKETS))
-    model = Model(smooth(good) - smooth(raw))
-    ratio = saved(marked.select("id", "good", model.ratio(F.col("text")).alias("log_ratio")), "ratios")
-    scored = ratio.withColumn("score", Model.score(F.col("log_ratio"), F.col("id")))
-    model.threshold = _threshold([(r, bool(g)) for r, g in ratio.where("good is not null and log_ratio is not null").select("log_ratio", "good").limit(2 * sample).collect()])
-    model.cut = kth_largest(scored, "score", scored.where(F.col("log_ratio") >= F.lit(model.threshold)).count())
-    return model, scored.drop("good")
-
-
-def apply(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(id, log_ratio, score, kept) of every row."""
-    model, scored = fit(docs, labels, id, text, sample)
+    model = Model(smooth(good) - smooth(raw), even)
+    ratio = marked.select("id", "good", model.ratio(F.col("text")).alias("r")).select("id", "good", F.when(F.col("r.n") > 0, F.col("r.mean")).alias("log_ratio"), F.col("r.n").alias("n"))
+    scored = saved(ratio, "ratios").withColumn("score", model.score(F.col("log_ratio"), F.col("n"), F.col("id")))
+    model.threshold = _threshold([(r, bool(g)) for r, g in scored.where("good is not null and log_ratio is not null").select("log_ratio", "good").limit(2 * sample).collect()])
+    k = scored.where(F.col("log_ratio") >= F.lit(model.threshold)).count() if k is None else k
+    model.cut = kth_largest(scored, "score", k)
+    return model, scored.drop("good", "n")
+
+
+def apply(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, k: int | None = None, even: float | None = EVEN) -> DataFrame:
+    """(id, log_ratio, score, kept) of every row. even: None for plain sums."""
+    model, scored = fit(docs, labels, id, text, sample, k, even)
     return scored.select(F.col("id").alias(id), "log_ratio", "score", model.keeps(F.col("score")).alias("kept"))
 
 
-def select(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, k: int | None = None, even: float | None = EVEN) -> DataFrame:
     """The rows of docs that are kept, as they are. Scores are computed again, so that no text is shuffled."""
-    model, _ = fit(docs, labels, id, text, sample)
-    score = Model.score(model.ratio(F.col(f"`{text}`")), F.col(f"`{id}`").cast("long"))
-    return docs.where(model.keeps(score))
+    model, _ = fit(docs, labels, id, text, sample, k, even)
+    weighed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), model.ratio(F.col(f"`{text}`")).alias("r"))
+    return weighed.where(model.keeps(model.score(F.col("r.mean"), F.col("r.n"), F.col(f"row.`{id}`").cast("long")))).select("row.*")

@@ -294,6 +294,38 @@ def test_importance(spark):
     assert score.where(F.col("score") >= cut).count() == len(kept)
 
 
+def brute_importance(texts, good, even, k):
+    """Scores and the kept ids, by plain loops; texts: (id, text), good: ids."""
+    import math
+    import struct
+
+    import xxhash
+
+    grams = {i: importance.features(t).tolist() for i, t in texts}
+    raw, target = Counter(b for g in grams.values() for b in g), Counter(b for i in good for b in grams[i])
+    log = lambda counts, b: math.log((counts[b] + importance.SMOOTH) / (sum(counts.values()) + importance.SMOOTH * importance.BUCKETS))
+    ratio = {b: log(target, b) - log(raw, b) for b in raw}
+    scores = {}
+    for i, g in grams.items():
+        if g:
+            h = xxhash.xxh64(struct.pack("<i", importance.SEED), seed=xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()).intdigest()
+            total = sum(ratio[b] for b in g)
+            scores[i] = (total if even is None else even * total / len(g)) - math.log(-math.log(((h >> 11) + 0.5) * 2.0**-53))
+    return scores, set(sorted(scores, key=lambda i: -scores[i])[:k])
+
+
+@pytest.mark.parametrize("even", [None, 5.0, importance.EVEN])
+def test_importance_equals_brute_force(spark, documents, even):
+    few = documents.where("doc_id < 60").select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in few.collect()]
+    good = [i for i, _ in texts if i % 3 == 0]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    scores, kept = brute_importance(texts, good, even, 20)
+    out = {r.doc_id: r for r in importance.apply(few, labels, k=20, even=even).collect()}
+    assert {i: r.score for i, r in out.items() if r.score is not None} == pytest.approx(scores, abs=1e-6) and {i for i, r in out.items() if r.kept} == kept
+    assert {r.doc_id for r in importance.select(few, labels, k=20, even=even).collect()} == kept
+
+
 def test_importance_edges(spark):
     labels = "doc_id long, quality int, toxic int"
     odd = docs(spark, [None, "", " ", "plain words here", "plain words here", "word " * 30_000])
