@@ -70,11 +70,20 @@ def short_name(chunk_id: Column) -> Column:
     return F.concat_ws(".", F.substring_index(F.substring_index(head, "#", 1), ".", -1), F.when(F.contains(head, F.lit("#")), F.substring_index(head, "#", -1)))
 
 
+def without_generics(name: Column) -> Column:
+    """The characters outside all angle brackets, at any depth."""
+    pieces = F.split(name, "(?=[<>])", -1)
+    keep = lambda acc, x: F.struct(
+        (acc["depth"] + F.when(F.startswith(x, F.lit("<")), 1).when(F.startswith(x, F.lit(">")), -1).otherwise(0)).alias("depth"),
+        F.when(F.startswith(x, F.lit(">")) & (acc["depth"] == 1), F.concat(acc["out"], F.substring(x, 2, 1 << 30))).when((acc["depth"] == 0) & ~F.startswith(x, F.lit("<")), F.concat(acc["out"], x)).otherwise(acc["out"]).alias("out"),
+    )
+    nested = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), keep, lambda acc: acc["out"])
+    return F.when(F.contains(name, F.lit("<")), nested).otherwise(name)
+
+
 def canonical_id(identifier: Column) -> Column:
     """One spelling for declared and called ids: generics erased, parameter types by simple name, no part suffix."""
-    flat = base_id(identifier)
-    for _ in range(3):
-        flat = F.regexp_replace(flat, r"<[^<>]*>", "")
+    flat = without_generics(base_id(identifier))
     head = F.substring_index(flat, "(", 1)
     inner = F.regexp_extract(flat, r"\((.*)\)$", 1)
     types = F.transform(F.split(inner, r"\s*,\s*"), lambda t: F.substring_index(F.trim(t), ".", -1))
@@ -148,22 +157,20 @@ def import_present(declaration: Column, imports: Column) -> Column:
 def pack_lines(text: Column, budget: int) -> Column:
     """greedy packing of lines into parts of at most `budget` tokens. A longer line stays whole; trailing empty lines are lost.
 
-    The count starts anew with each part, so this is a fold over the lines.
+    The count starts anew with each part, so this is a fold over the lines; it finds where parts begin, and each is cut out once.
     """
-    lines = F.split(F.regexp_replace(text, r"\n+$", ""), "\n", -1)
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def step(acc: Column, line: Column) -> Column:
-        full = F.concat(line, F.lit("\n"))
-        n = token_count(full)
-        flush = (acc["n"] + n > budget) & (acc["open"] != "")
-        return F.struct(
-            F.when(flush, F.concat(acc["parts"], F.array(acc["open"]))).otherwise(acc["parts"]).alias("parts"),
-            F.when(flush, full).otherwise(F.concat(acc["open"], full)).alias("open"),
-            F.when(flush, n).otherwise(acc["n"] + n).alias("n"),
-        )
-
-    return F.aggregate(lines, start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["parts"], F.array(acc["open"]))).otherwise(acc["parts"]))
+    start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        flush = (acc["n"] + x["n"] > budget) & (x["i"] > F.element_at(acc["cuts"], -1))
+        return F.struct(F.when(flush, F.concat(acc["cuts"], F.array(x["i"]))).otherwise(acc["cuts"]).alias("cuts"), (x["n"] + F.when(flush, 0).otherwise(acc["n"])).alias("n"))
+
+    def parted(lines: Column) -> Column:
+        counted = F.transform(lines, lambda x, i: F.struct(i.alias("i"), token_count(x).alias("n")))
+        piece = lambda a, b: F.concat(F.array_join(F.slice(lines, a + 1, F.coalesce(b, F.size(lines)) - a), "\n"), F.lit("\n"))
+        return let(F.aggregate(counted, start, step, lambda acc: acc["cuts"]), lambda cuts: F.zip_with(cuts, F.slice(cuts, 2, F.size(cuts)), piece))
+
+    return let(F.split(F.regexp_replace(text, r"\n+\z", ""), "\n", -1), parted)
 
 
 def split_code(code: Column, budget: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,22 +83,49 @@ _PATHS = """
 """
 
 
+#: A method three calls away: 0 calls 3, 3 calls 24, 24 calls 171, all modulo the number of methods.
+_FAR = "(SELECT chunk_id FROM e, k WHERE vec_id = 171 % n)"
+
+
+def _far(spark, sf_dir) -> str:
+    c = demo.chunks(spark, sf_dir)
+    return c.where(F.col("vec_id") == 171 % c.count()).first()["chunk_id"]
+
+
+def _beside(spark, sf_dir) -> str:
+    """The least method that calls what the anchor calls, but can't be reached from the anchor."""
+    edges, anchor = graph.by_type(demo.edges(spark, sf_dir), "CALLS"), _anchor(spark, sf_dir)
+    reached = graph.paths_from_anchor(edges, anchor, demo.chunks(spark, sf_dir), 6).select("node")
+    called = edges.where(F.col("src") == anchor).select("dst")
+    return edges.join(called, "dst", "left_semi").select(F.col("src").alias("node")).join(reached, "node", "left_anti").orderBy("node").first()["node"]
+
+
+_BESIDE = """
+, far AS (SELECT chunk_id AS node, 0 AS hop FROM e WHERE vec_id = 0 UNION SELECT dst, hop + 1 FROM far JOIN calls ON node = src WHERE hop < 6),
+beside AS (SELECT min(src) AS node FROM calls WHERE dst IN (SELECT dst FROM calls WHERE src = (SELECT chunk_id FROM e WHERE vec_id = 0)) AND src NOT IN (SELECT node FROM far)),
+steps AS (SELECT src, dst, 'OUT' AS direction FROM calls UNION SELECT dst, src, 'IN' FROM calls),
+u AS (SELECT dst AS last, [src, dst] AS nodes, [direction] AS ways, 1 AS length FROM steps WHERE src = (SELECT chunk_id FROM e WHERE vec_id = 0)
+  UNION ALL SELECT s.dst, list_append(nodes, s.dst), list_append(ways, s.direction), length + 1 FROM u JOIN steps s ON u.last = s.src WHERE length < 4 AND NOT list_contains(nodes, s.dst)),
+least AS (SELECT * FROM u WHERE last = (SELECT node FROM beside) QUALIFY length = min(length) OVER ()),
+told AS (SELECT *, list_transform(range(1, length + 1), lambda i: '{"src":"' || nodes[i] || '","dst":"' || nodes[i + 1] || '","rel_type":"CALLS","direction":"' || ways[i] || '"}') AS json FROM least),
+best AS (FROM told ORDER BY array_to_string(nodes, chr(10)) || chr(10) || '[' || array_to_string(json, ',') || ']' LIMIT 3)
+"""
+
+
 @query(
     _PATHS.format(hops=4)
-    + ", t AS (SELECT * FROM w WHERE last = (SELECT chunk_id FROM e WHERE vec_id = 40)) SELECT array_to_string(nodes, ' > ') AS path, length FROM t WHERE length = (SELECT min(length) FROM t) ORDER BY path LIMIT 3",
+    + f", t AS (SELECT * FROM w WHERE last = {_FAR}) SELECT array_to_string(nodes, ' > ') AS path, length FROM t WHERE length = (SELECT min(length) FROM t) ORDER BY path LIMIT 3",
     True,
 )
 def g4_shortest_paths(spark, sf_dir):
-    target = demo.chunks(spark, sf_dir).where("vec_id = 40").first()["chunk_id"]
-    found = graph.shortest_paths(demo.edges(spark, sf_dir), _anchor(spark, sf_dir), target, 4)
+    found = graph.shortest_paths(demo.edges(spark, sf_dir), _anchor(spark, sf_dir), _far(spark, sf_dir), 4)
     return found.select(F.array_join("nodes", " > ").alias("path"), F.col("length").cast("int").alias("length"))
 
 
-@query()
-def g5_undirected_paths(spark, sf_dir):
-    target = demo.chunks(spark, sf_dir).where("vec_id = 41").first()["chunk_id"]
-    found = graph.shortest_paths(demo.edges(spark, sf_dir), _anchor(spark, sf_dir), target, 4, directed=False)
-    return found.select(T.render_path(F.col("nodes"), F.col("edges")).alias("path"), "length")
+@query(_BESIDE + "SELECT nodes[1] || array_to_string(list_transform(range(1, length + 1), lambda i: CASE WHEN ways[i] = 'OUT' THEN ' -[CALLS]-> ' ELSE ' <-[CALLS]- ' END || nodes[i + 1]), '') AS path, length FROM best", True)
+def g5_f16_undirected_paths(spark, sf_dir):
+    found = graph.shortest_paths(demo.edges(spark, sf_dir), _anchor(spark, sf_dir), _beside(spark, sf_dir), 4, directed=False)
+    return found.select(T.render_path(F.col("nodes"), F.col("edges")).alias("path"), F.col("length").cast("int").alias("length"))
 
 
 @query(
@@ -111,12 +139,6 @@ def g6_paths_from_anchor(spark, sf_dir):
     return found.select("node", F.array_join("path", " > ").alias("path"))
 
 
-@query("SELECT 'CALLS' AS edge_type, src, dst FROM calls WHERE src IN (SELECT chunk_id FROM e WHERE label < 3) AND dst IN (SELECT chunk_id FROM e WHERE label < 3)", True)
-def g7_induced(spark, sf_dir):
-    ids = table(spark, sf_dir, "embeddings").where("label < 3").select(demo.method_id(F.col("vec_id"), F.col("label")).alias("chunk_id"))
-    return graph.induced(demo.edges(spark, sf_dir), ids)
-
-
 @query("SELECT DISTINCT dst AS node, 'CALLS' AS edge_type, 'OUT' AS direction FROM calls WHERE src = (SELECT chunk_id FROM e WHERE vec_id = 0) UNION SELECT src, 'CALLS', 'IN' FROM calls WHERE dst = (SELECT chunk_id FROM e WHERE vec_id = 0)", True)
 def g8_neighbours(spark, sf_dir):
     return graph.neighbours(demo.edges(spark, sf_dir), _anchor(spark, sf_dir))
@@ -132,11 +154,14 @@ def g10_topology(spark, sf_dir):
     return graph.neighbourhood_topology(demo.edges(spark, sf_dir), _anchors(spark, sf_dir), demo.chunks(spark, sf_dir), 1)
 
 
-@query()
+@query(
+    _BESIDE + _PATHS.format(hops=4) + f", t AS (SELECT * FROM w WHERE last = {_FAR}), a AS (SELECT array_to_string(nodes, ' > ') AS path, length FROM t WHERE length = (SELECT min(length) FROM t) ORDER BY path LIMIT 3) "
+    "SELECT 'far' AS target, path, length, true AS directed FROM a UNION ALL SELECT 'beside', array_to_string(nodes, ' > '), length, false FROM best",
+    True,
+)
 def g11_path_or_undirected(spark, sf_dir):
-    target = demo.chunks(spark, sf_dir).where("vec_id = 41").first()["chunk_id"]
-    found = graph.path_or_undirected(demo.edges(spark, sf_dir), _anchor(spark, sf_dir), target)
-    return found.select(F.array_join("nodes", " > ").alias("path"), "length", "directed")
+    found = lambda name, target: graph.path_or_undirected(demo.edges(spark, sf_dir), _anchor(spark, sf_dir), target, 4).select(F.lit(name).alias("target"), F.array_join("nodes", " > ").alias("path"), F.col("length").cast("int").alias("length"), "directed")
+    return found("far", _far(spark, sf_dir)).union(found("beside", _beside(spark, sf_dir)))
 
 
 @query(
@@ -149,13 +174,25 @@ def g12_neighbourhood(spark, sf_dir):
     return graph.neighbourhood(demo.edges(spark, sf_dir), _anchors(spark, sf_dir), demo.chunks(spark, sf_dir), 1, 10)
 
 
-@query()
+_SIBLINGS = ", sib AS (SELECT DISTINCT a.chunk_id AS anchor, b.chunk_id AS node, 1 AS hop FROM e a JOIN e b ON a.fq = b.fq AND a.chunk_id <> b.chunk_id WHERE a.vec_id % 50 = 0)"
+
+
+@query(
+    _REACH.format(belongs=_BOTH, depth=2) + _SIBLINGS + " SELECT node, min(hop)::INT AS hop FROM (FROM near UNION ALL FROM sib) WHERE node NOT IN (SELECT chunk_id FROM e WHERE vec_id % 2 = 0) GROUP BY node HAVING min(hop) > 0 ORDER BY hop, node LIMIT 40",
+    True,
+)
 def g13_coverage(spark, sf_dir):
     got = demo.chunks(spark, sf_dir).where("vec_id % 2 = 0").select("chunk_id")
     return graph.coverage(demo.edges(spark, sf_dir), _anchors(spark, sf_dir), demo.chunks(spark, sf_dir), got, 1, 2, 40)
 
 
-@query()
+@query(
+    _REACH.format(belongs=_BOTH, depth=1)
+    + """, first AS (SELECT node, min(struct_pack(request := vec_id, hop := hop)) AS f FROM near JOIN e ON anchor = chunk_id GROUP BY node), counts AS (SELECT f.request AS request, count(*) AS n FROM first GROUP BY ALL),
+begun AS (SELECT request FROM (SELECT request, coalesce(sum(n) OVER (ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts) WHERE before < 30)
+SELECT f.request AS request, node, f.hop AS hop FROM first WHERE f.request IN (FROM begun)""",
+    True,
+)
 def g14_requested_context(spark, sf_dir):
     asked = demo.chunks(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("request"), "chunk_id")
     return graph.requested_context(demo.edges(spark, sf_dir), asked, demo.chunks(spark, sf_dir), 30)
@@ -166,11 +203,6 @@ def g15_a6_hierarchy(spark, sf_dir):
     return graph.hierarchy(demo.chunks(spark, sf_dir)).withColumn("methods", F.array_join("methods", ","))
 
 
-@query("SELECT DISTINCT a.chunk_id AS anchor, b.chunk_id AS node FROM e a JOIN e b ON a.fq = b.fq AND a.chunk_id <> b.chunk_id WHERE a.vec_id % 50 = 0", True)
-def j4_siblings(spark, sf_dir):
-    return graph.siblings(demo.edges(spark, sf_dir), _anchors(spark, sf_dir))
-
-
 @query("SELECT chunk_id, (SELECT count(*) FROM calls WHERE dst = chunk_id) AS fan_in, (SELECT count(*) FROM calls WHERE src = chunk_id) AS fan_out FROM e", True)
 def a1_a2_fans(spark, sf_dir):
     edges, ids = demo.edges(spark, sf_dir), demo.chunks(spark, sf_dir)
@@ -237,17 +269,19 @@ def v3_v8_rerank(spark, sf_dir):
     return r.select("chunk_id", *(F.round(c, 6).alias(c) for c in ("semantic", "graph", "structural", "score")))
 
 
-@query(
+_SELECTED = (
     _RANKED
     + """
 , b AS (SELECT *, CASE WHEN chunk_id = (SELECT chunk_id FROM e WHERE vec_id = 0) THEN 0 WHEN chunk_id IN (SELECT src FROM calls WHERE dst = (SELECT chunk_id FROM e WHERE vec_id = 0)) THEN 1
   WHEN chunk_id IN (SELECT dst FROM calls WHERE src = (SELECT chunk_id FROM e WHERE vec_id = 0)) THEN 2 WHEN fq = (SELECT fq FROM e WHERE vec_id = 0) THEN 3 ELSE 4 END AS bk, row_number() OVER (ORDER BY score DESC, chunk_id) AS rk FROM ranked),
 i AS (SELECT *, row_number() OVER (PARTITION BY bk ORDER BY rk) > [2, 3, 2, 2, 0][bk + 1] AS extra FROM b),
-p AS (SELECT *, row_number() OVER (ORDER BY extra, bk, rk) AS position FROM i)
-SELECT chunk_id, position::INT AS position, ['anchor', 'callers', 'callees', 'type', 'topo'][bk + 1] AS bucket, extra AS topology_only, round(score, 6) AS score FROM p WHERE position <= 10
-""",
-    True,
+p AS (SELECT *, row_number() OVER (ORDER BY extra, bk, rk) AS position FROM i),
+chosen AS (SELECT chunk_id, position::INT AS position, ['anchor', 'callers', 'callees', 'type', 'topo'][bk + 1] AS bucket, extra AS topology_only, round(score, 6) AS score FROM p WHERE position <= 10)
+"""
 )
+
+
+@query(_SELECTED + "FROM chosen", True)
 def v9_selection(spark, sf_dir):
     ranked, anchor = _reranked(spark, sf_dir)
     out = retrieval.select(ranked, demo.edges(spark, sf_dir), demo.chunks(spark, sf_dir), anchor, 10)
@@ -261,7 +295,11 @@ def v11_hybrid_retrieval(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    _SELECTED + _PATHS.format(hops=6) + ", a AS (SELECT chunk_id AS node, [chunk_id] AS nodes, 0 AS length FROM e WHERE vec_id = 0 UNION ALL SELECT last, nodes, length FROM w), "
+    "r AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY node ORDER BY length, nodes) = 1) SELECT chunk_id, position, array_to_string(nodes, ' -> ') AS path FROM chosen LEFT JOIN r ON node = chunk_id",
+    True,
+)
 def v12_enriched(spark, sf_dir):
     chosen = v11_hybrid_retrieval(spark, sf_dir)
     paths, _ = retrieval.enrich(chosen, demo.edges(spark, sf_dir), _anchor(spark, sf_dir))
@@ -274,14 +312,6 @@ def v9_slots(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, bucket string, places int")
 
 
-@query("SELECT 'C' || label || '#m' || vec_id AS identifier, chunk_id, 2 AS rule, 1::BIGINT AS candidates FROM e WHERE vec_id % 7 = 0 UNION ALL SELECT 'm' || vec_id, chunk_id, 3, 1 FROM e WHERE vec_id % 7 = 1 UNION ALL SELECT chunk_id, chunk_id, 1, 1 FROM e WHERE vec_id % 7 = 2 UNION ALL SELECT 'C' || label, min(chunk_id), 4, count(*) FROM e GROUP BY label", True)
-def j2_a4_find_methods(spark, sf_dir):
-    c = demo.chunks(spark, sf_dir)
-    v = F.col("vec_id") % 7
-    asked = c.where(v == 0).select(F.concat("class_name", F.lit("#"), "method_name").alias("identifier")).union(c.where(v == 1).select("method_name")).union(c.where(v == 2).select("chunk_id")).union(c.select("class_name").distinct())
-    return lookup.find_methods(c, asked)
-
-
 def _demo_classes(spark, sf_dir) -> DataFrame:
     return demo.chunks(spark, sf_dir).select(F.col("fq_class_name").alias("fq_name"), F.col("class_name").alias("simple_name"), "file_path", "package_name").distinct()
 
@@ -293,55 +323,38 @@ def j3_find_classes(spark, sf_dir):
     return lookup.find_classes(c, asked)
 
 
-@query("SELECT vec_id::INT AS query_id, chunk_id FROM e WHERE vec_id % 10 = 0", True)
-def j14_w8_query_anchor(spark, sf_dir):
-    c = demo.chunks(spark, sf_dir)
-    asked = c.where("vec_id % 10 = 0").select(F.col("vec_id").cast("int").alias("query_id"), F.concat(F.lit("Refactor the NoSuch.Thing and "), "class_name", F.lit("#"), "method_name", F.lit(" to async, please")).alias("query"))
-    return lookup.query_anchor(c, asked)
-
-
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
 def w7_keyword_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("method_name"), F.col("lang").alias("class_name"), F.col("text").alias("code"), F.col("source").alias("chunk_id"))
     return lookup.search(d, "LICENSE").select("doc_id")
 
 
-@query("SELECT e.chunk_id, len(embedding)::INT AS dims FROM e WHERE vec_id % 3 = 0", True)
-def s8_s9_w11_hydrate(spark, sf_dir):
-    ids = demo.chunks(spark, sf_dir).where("vec_id % 3 = 0").select("chunk_id")
-    rows = lookup.hydrate(demo.chunks(spark, sf_dir), ids)
-    return rows.join(lookup.stored_embeddings(demo.embeddings(spark, sf_dir), ids), "chunk_id").select("chunk_id", F.size("embedding").alias("dims"))
-
-
-# The SQL of g7, j2, j4, j14 and hydrate asks for a part of the ids; these ask for all.
-
-
 @query("SELECT 'CALLS' AS edge_type, src, dst FROM calls", True)
-def g7_induced_all(spark, sf_dir):
+def g7_induced(spark, sf_dir):
     return graph.induced(demo.edges(spark, sf_dir), demo.chunks(spark, sf_dir))
 
 
 @query("SELECT DISTINCT a.chunk_id AS anchor, b.chunk_id AS node FROM e a JOIN e b ON a.fq = b.fq AND a.chunk_id <> b.chunk_id", True)
-def j4_siblings_all(spark, sf_dir):
+def j4_siblings(spark, sf_dir):
     return graph.siblings(demo.edges(spark, sf_dir), demo.chunks(spark, sf_dir).select(F.col("chunk_id").alias("anchor")))
 
 
 @query("SELECT 'C' || label || '#m' || vec_id AS identifier, chunk_id, 2 AS rule, 1::BIGINT AS candidates FROM e UNION ALL SELECT 'm' || vec_id, chunk_id, 3, 1 FROM e UNION ALL SELECT chunk_id, chunk_id, 1, 1 FROM e UNION ALL SELECT 'C' || label, min(chunk_id), 4, count(*) FROM e GROUP BY label", True)
-def j2_a4_find_methods_all(spark, sf_dir):
+def j2_a4_find_methods(spark, sf_dir):
     c = demo.chunks(spark, sf_dir)
     asked = c.select(F.concat("class_name", F.lit("#"), "method_name").alias("identifier")).union(c.select("method_name")).union(c.select("chunk_id")).union(c.select("class_name").distinct())
     return lookup.find_methods(c, asked)
 
 
 @query("SELECT vec_id::INT AS query_id, chunk_id FROM e", True)
-def j14_w8_query_anchor_all(spark, sf_dir):
+def j14_w8_query_anchor(spark, sf_dir):
     c = demo.chunks(spark, sf_dir)
     asked = c.select(F.col("vec_id").cast("int").alias("query_id"), F.concat(F.lit("Refactor the NoSuch.Thing and "), "class_name", F.lit("#"), "method_name", F.lit(" to async, please")).alias("query"))
     return lookup.query_anchor(c, asked)
 
 
 @query("SELECT e.chunk_id, len(embedding)::INT AS dims FROM e", True)
-def s8_s9_w11_hydrate_all(spark, sf_dir):
+def s8_s9_w11_hydrate(spark, sf_dir):
     ids = demo.chunks(spark, sf_dir).select("chunk_id")
     rows = lookup.hydrate(demo.chunks(spark, sf_dir), ids)
     return rows.join(lookup.stored_embeddings(demo.embeddings(spark, sf_dir), ids), "chunk_id").select("chunk_id", F.size("embedding").alias("dims"))
@@ -352,63 +365,44 @@ def l14_last_messages(spark, sf_dir):
     return lookup.last_messages(table(spark, sf_dir, "conversations"), 3)
 
 
-# Token budgets over the texts
+# Token budgets over the texts: null texts count as empty, words and white space are those of ASCII in both dialects
 
+_TOKENS = "len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^\\x20\\x09-\\x0DA-Za-z0-9_]'))"
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'))::INT AS tokens FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+
+def _texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(f"SELECT doc_id, {_TOKENS.format("coalesce(text, '')")}::INT AS tokens FROM documents")
 def f1_token_count(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+    return _texts(spark, sf_dir).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
-@query(
-    """
-WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n+$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n+$', ''), chr(10)), 1) AS i
-  FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-t AS (SELECT *, len(regexp_extract_all(line, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) AS n FROM l),
+def _packed(budget: int) -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n+$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n+$', ''), chr(10)), 1) AS i FROM d),
+t AS (SELECT *, {_TOKENS.format("line")} AS n FROM l),
 f AS (SELECT doc_id, i, 1 AS part, n FROM t WHERE i = 1 UNION ALL
-  SELECT t.doc_id, t.i, CASE WHEN f.n + t.n > 120 THEN part + 1 ELSE part END, CASE WHEN f.n + t.n > 120 THEN t.n ELSE f.n + t.n END FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1)
-SELECT doc_id, part::INT AS part, sum(t.n)::INT AS tokens, string_agg(line || chr(10), '' ORDER BY i) AS text FROM f JOIN t USING (doc_id, i) GROUP BY doc_id, part
+  SELECT t.doc_id, t.i, CASE WHEN f.n + t.n > {budget} THEN part + 1 ELSE part END, CASE WHEN f.n + t.n > {budget} THEN t.n ELSE f.n + t.n END FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1),
+p AS (SELECT doc_id, part::INT AS part, sum(t.n)::INT AS tokens, string_agg(line || chr(10), '' ORDER BY i) AS text FROM f JOIN t USING (doc_id, i) GROUP BY doc_id, part)
 """
-)
+
+
+@query(_packed(120) + "FROM p")
 def f4_pack_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.posexplode(T.pack_lines(F.col("text"), 120)).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("part"), T.token_count(F.col("text")).alias("tokens"), "text")
+    d = _texts(spark, sf_dir).select("doc_id", F.posexplode(T.pack_lines(F.col("text"), 120)).alias("p", "text"))
+    return d.select("doc_id", (F.col("p") + 1).alias("part"), T.token_count(F.col("text")).alias("tokens"), "text")
 
 
-@query()
+@query(_packed(512) + f"SELECT doc_id, CASE WHEN {_TOKENS.format('d.text')} <= 512 THEN 1 ELSE count(*) END::INT AS parts FROM d JOIN p USING (doc_id) GROUP BY doc_id, d.text")
 def f2_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(T.split_code(F.col("text"), 512)).alias("parts"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS text FROM documents")
 def f9_squeeze(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", T.squeeze(F.col("text")).alias("text"))
-
-
-# The SQL of f1, f4 and f9 leaves out texts beyond ASCII; these take every document, null texts as empty ones, with ASCII classes of
-# words and white space. No SQL: DuckDB's classes differ there; tests hold them against brute force.
-
-
-def _texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-
-@query()
-def f1_token_count_all(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
-
-
-@query()
-def f4_pack_lines_all(spark, sf_dir):
-    d = _texts(spark, sf_dir).select("doc_id", F.posexplode(T.pack_lines(F.col("text"), 120)).alias("p", "text"))
-    return d.select("doc_id", (F.col("p") + 1).alias("part"), T.token_count(F.col("text")).alias("tokens"), "text")
-
-
-@query()
-def f9_squeeze_all(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", T.squeeze(F.col("text")).alias("text"))
 
 
@@ -419,7 +413,11 @@ def f5_f6_f7_f21_names(spark, sf_dir):
     return c.select("chunk_id", T.simple_name(F.col("chunk_id")).alias("simple_name"), T.short_name(F.concat("chunk_id", F.lit("#part3"))).alias("short_name"), T.canonical_id(long).alias("canonical"))
 
 
-@query()
+@query(
+    "SELECT chunk_id, repeat('═', 72) || chr(10) || 'Class: C' || label || chr(10) || 'Fully Qualified: ' || fq || chr(10) || 'File: p' || (label % 3) || '/C' || label || '.java' || chr(10) || 'Class Signature: class C' || label || chr(10) || chr(10) || 'Imports:' || chr(10) || "
+    "'  - import java.util.List;' || chr(10) || chr(10) || 'Method:' || chr(10) || '  - void m' || vec_id || '()' || chr(10) || '  Lines: 1-2' || chr(10) || '  Tokens: 4' || chr(10) || chr(10) || 'Code:' || chr(10) || 'void m' || vec_id || '()' || chr(10) AS value FROM e",
+    True,
+)
 def f17_k3_prompts(spark, sf_dir):
     none = F.array().cast("array<string>")
     c = demo.chunks(spark, sf_dir).withColumns({"imports": F.array(F.lit("import java.util.List;"), F.lit("import java.lang.String;")), "class_annotations": none, "field_declarations": none, "method_annotations": none, "calls": none, "called_by": none})
@@ -465,10 +463,14 @@ def a12_json_fidelity(spark, sf_dir):
     return evaluate.json_fidelity(r)
 
 
-@query()
+@query("SELECT conv_id AS run_id, turn AS iteration, coalesce((turn // 2) = lag(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn), false) AS stagnant FROM conversations")
 def l5_stagnation(spark, sf_dir):
-    r = _responses(spark, sf_dir).select(F.col("conv_id").alias("run_id"), F.col("turn").alias("iteration"), V.safety_verdict(F.col("response"))["risks"].alias("risks"))
-    return evaluate.stagnation(r)
+    """Two turns name the same two risks, in other spellings; the next two name others, or fewer."""
+    c, k = table(spark, sf_dir, "conversations"), F.floor(F.col("turn") / 2)
+    risk = lambda x: F.struct(F.when(F.col("turn") % 2 == 0, F.upper(x)).otherwise(x).alias("description"), F.lit("LOW").alias("severity"))
+    risks = F.when(k % 3 == 0, F.array(risk(F.concat(F.lit("breaks "), k)))).otherwise(F.array(risk(F.concat(F.lit("breaks "), k)), risk(F.lit("is slow"))))
+    said = F.to_json(F.struct(F.lit("UNSAFE").alias("verdict"), F.lit(0.5).alias("confidence"), risks.alias("risks")))
+    return evaluate.stagnation(c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("iteration"), V.safety_verdict(said)["risks"].alias("risks")))
 
 
 @query("SELECT conv_id, turn, (conv_id + turn) % 2 = 0 AS safe, 0.5::DOUBLE AS confidence, (conv_id + turn) % 3 <> 0 AS from_json FROM conversations")
@@ -576,10 +578,18 @@ def f28_verdict_score(spark, sf_dir):
     return evaluate.verdict_score(e)
 
 
-@query("SELECT 1 AS code")
+@query("SELECT * FROM (VALUES ('no run', 2), ('nothing retrieved', 2), ('dry run', 0), ('failed self-check', 1), ('error', 1), ('regression', 1), ('fine', 0), ('failed metrics alone', 0)) t(what, code)")
 def a15_exit_code(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, "x").alias("error"), F.lit(1).alias("n_retrieved"))
-    return evaluate.exit_code(runs, _metrics(spark, sf_dir, True))
+    e = table(spark, sf_dir, "events")
+    runs = lambda error, n: e.select(F.when(error, "x").alias("error"), F.lit(n).alias("n_retrieved"))
+    metrics, fine = _metrics(spark, sf_dir, True), F.lit(False)
+    worse = spark.createDataFrame([("WIN",), ("REGRESSION",)], "kind string")
+    codes = {
+        "no run": evaluate.exit_code(runs(fine, 1).limit(0), metrics), "nothing retrieved": evaluate.exit_code(runs(fine, 0), metrics), "dry run": evaluate.exit_code(runs(fine, 0), metrics, dry_run=True),
+        "failed self-check": evaluate.exit_code(runs(fine, 1), metrics, self_check=True), "error": evaluate.exit_code(runs(F.col("event_id") % 11 == 0, 1), metrics), "regression": evaluate.exit_code(runs(fine, 1), metrics, worse),
+        "fine": evaluate.exit_code(runs(fine, 1), metrics.where("status = 'PASS'"), worse.where("kind = 'WIN'"), self_check=True), "failed metrics alone": evaluate.exit_code(runs(fine, 1), metrics),
+    }
+    return functools.reduce(DataFrame.union, (df.select(F.lit(what).alias("what"), "code") for what, df in codes.items()))
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE regexp_matches(s_name, '1$') AND s_nationkey % 2 = 0")
@@ -622,7 +632,19 @@ def f24_v13_w14_w15_diff_score(spark, sf_dir):
     return diff.score(diff.diff(pairs), edges).select("chunk_id", "signature_changed", "body_only", "change_count", F.round("safety", 6).alias("safety"))
 
 
-@query()
+@query(
+    """
+WITH o AS (SELECT p_partkey::VARCHAR AS id, p_brand AS c, p_name AS m FROM part WHERE p_partkey % 10 <> 9), n AS (SELECT p_partkey AS k, p_brand AS c, p_name AS m FROM part WHERE p_partkey % 10 <> 8),
+exact AS (SELECT k, id FROM (SELECT c, m, min(k) AS k FROM n WHERE c <> '' GROUP BY ALL) JOIN (SELECT c, m, max(id) AS id FROM o WHERE c <> '' GROUP BY ALL) USING (c, m)),
+lo AS (SELECT id, m, row_number() OVER (PARTITION BY m ORDER BY id) AS r FROM o WHERE id NOT IN (SELECT id FROM exact)), ln AS (SELECT k, m, row_number() OVER (PARTITION BY m ORDER BY k) AS r FROM n WHERE k NOT IN (SELECT k FROM exact)),
+pairs AS (FROM exact UNION ALL SELECT k, id FROM ln JOIN lo USING (m, r)),
+x AS (SELECT (SELECT count(*) FROM pairs) AS diffs, (SELECT count(*) FROM o WHERE id NOT IN (SELECT id FROM pairs)) AS deleted, (SELECT count(*) FROM n WHERE k NOT IN (SELECT k FROM pairs) AND k % 5 <> 0) AS added,
+  (SELECT count(*) FROM pairs WHERE k % 7 = 0) AS lost, (SELECT count(*) FROM pairs WHERE k % 4 = 0 OR k % 5 = 0) AS signatures,
+  (SELECT min(round(1 - ((k % 5 = 0)::INT * 0.3 + (k % 3 = 0)::INT * 0.05 + (k % 7 = 0)::INT * 0.05), 10)) FROM pairs) AS safety)
+SELECT what, n::DOUBLE AS n FROM (SELECT unnest([{'what': 'diffs', 'n': diffs}, {'what': 'deleted', 'n': deleted}, {'what': 'added', 'n': added}, {'what': 'lost_overrides', 'n': lost},
+  {'what': 'safety', 'n': CASE WHEN deleted + added + lost + signatures > 0 THEN least(safety, 0.3) ELSE safety END}], recursive := true) FROM x)
+"""
+)
 def j16_j17_f25_w16_v14_cross_diff(spark, sf_dir):
     old = _parsed(spark, sf_dir, False).where("cast(chunk_id as int) % 10 <> 9")
     new = _parsed(spark, sf_dir, True).where("cast(chunk_id as int) % 10 <> 8").withColumn("proposal", F.col("chunk_id").cast("long")).drop("chunk_id")
@@ -682,11 +704,18 @@ def j1_reverse_calls(spark, sf_dir):
     return admission.reverse_calls(c).select("id", F.size("called_by").alias("callers"))
 
 
-@query("SELECT p_partkey AS id, p_size % 3 = 0 OR p_size % 3 = 1 AND p_size % 2 = 1 AS plain FROM part")
+#: Method name, first statement, whether it is boilerplate with one statement, and with two.
+_PLAIN = [
+    ("toString", "other", True, True), ("hashCode", "return", True, True), ("builder", "other", True, True), ("getX", "return", True, False), ("getX", "assign", False, False), ("get", "return", False, False), ("setX", "assign", True, False),
+    ("setX", "return", False, False), ("set", "assign", False, False), ("isOpen", "return", True, False), ("hasNext", "return", True, False), ("is", "return", False, False), ("island", "return", True, False), ("work", "return", False, False),
+]
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN [" + ", ".join(str(x[2]) for x in _PLAIN) + "][(p_partkey % 14) + 1] ELSE [" + ", ".join(str(x[3]) for x in _PLAIN) + "][(p_partkey % 14) + 1] END AS plain FROM part")
 def w1_w3_boilerplate(spark, sf_dir):
-    s = F.col("p_size")
-    name = F.when(s % 3 == 0, "toString").when(s % 3 == 1, "getX").otherwise("set")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), boilerplate.is_boilerplate_method(name, F.when(s % 2 == 1, 1).otherwise(2), F.lit("return")).alias("plain"))
+    k = (F.col("p_partkey") % 14 + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _PLAIN)), k)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), boilerplate.is_boilerplate_method(pick(0), F.when(F.col("p_size") % 2 == 1, 1).otherwise(2), pick(1)).alias("plain"))
 
 
 # The whole index build over generated sources: one file for each supplier

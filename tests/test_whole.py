@@ -1,4 +1,4 @@
-"""Queries over whole tables where the SQL of their siblings takes a part, against brute force on small fixtures."""
+"""Queries against brute force: texts beyond ASCII, and walks that SQL has no form for."""
 
 import re
 
@@ -30,11 +30,11 @@ def packed(text, budget=120):
 def test_texts_beyond_ascii(spark, tmp_path):
     sf, q = saved_texts(spark, tmp_path / "sf"), registry.queries()
     texts = [t or "" for t in TEXTS]
-    assert dict(map(tuple, q["f1_token_count_all"](spark, sf).collect())) == {i: count(t) for i, t in enumerate(texts)}
+    assert dict(map(tuple, q["f1_token_count"](spark, sf).collect())) == {i: count(t) for i, t in enumerate(texts)}
     want = [(i, k, count(p), p) for i, t in enumerate(texts) for k, p in enumerate(packed(t), 1)]
-    assert sorted(map(tuple, q["f4_pack_lines_all"](spark, sf).collect())) == want
+    assert sorted(map(tuple, q["f4_pack_lines"](spark, sf).collect())) == want
     want = {i: re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ") for i, t in enumerate(texts)}
-    assert dict(map(tuple, q["f9_squeeze_all"](spark, sf).collect())) == want
+    assert dict(map(tuple, q["f9_squeeze"](spark, sf).collect())) == want
 
 
 def test_responses_hold_whole_texts(spark, tmp_path):
@@ -45,3 +45,43 @@ def test_responses_hold_whole_texts(spark, tmp_path):
     r = registry._responses(spark, str(tmp_path)).withColumn("v", registry.V.safety_verdict(registry.F.col("response")))
     found = [(x.conv_id, x.v.risks[0].description) for x in r.collect()]
     assert len(found) == len(set(found)) == 6 and all("and end" in d for _, d in found)
+
+
+def test_call_chains(spark):
+    """Pre-order walks, each node at its first visit."""
+    from quillgraph.operators import graph
+    from quillgraph.plans import demo
+
+    edges = demo.edges(spark, "/root/testdata/sf0.001").where("edge_type = 'CALLS'")
+    rows = edges.select("src", "dst").collect()
+    anchors = sorted({r.src for r in rows})[:7]
+    for callers in (False, True):
+        to = {}
+        for r in rows:
+            a, b = (r.dst, r.src) if callers else (r.src, r.dst)
+            to.setdefault(a, set()).add(b)
+        want = []
+        for a in anchors:
+            seen = []
+
+            def walk(node, depth, seen=seen):
+                if node in [x for x, _ in seen]:
+                    return
+                seen.append((node, depth))
+                for other in sorted(to.get(node, ())) if depth < 3 else ():
+                    walk(other, depth + 1)
+
+            walk(a, 0)
+            want += [(a, i, n, d) for i, (n, d) in enumerate(seen)]
+        df = spark.createDataFrame([(a,) for a in anchors], "anchor string")
+        assert sorted(map(tuple, graph.call_chain(edges, df, 3, callers).collect())) == sorted(want)
+
+
+def test_generics_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.functions.text import canonical_id
+
+    cases = {"a.B#m(java.util.Map<A<B<C<D>>>>, x.Y<Z>[])#part2": "a.B#m(Map, Y[])", "a.B#m(List<? extends Map<K, List<V>>> , int)": "a.B#m(List, int)", "f": "f", "a.B#m()": "a.B#m()"}
+    df = spark.createDataFrame([(k,) for k in cases], "id string")
+    assert {r.id: r.c for r in df.select("id", canonical_id(F.col("id")).alias("c")).collect()} == cases
