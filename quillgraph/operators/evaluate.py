@@ -20,6 +20,11 @@ def filter_fixtures(fixtures: DataFrame, id_pattern: str | None = None, mode: st
     return out
 
 
+def first_fixtures(fixtures: DataFrame, limit: int | None) -> DataFrame:
+    """The first `limit` by file name, after all filters; 0 or none is no limit."""
+    return fixtures.orderBy("file").limit(limit) if limit and limit > 0 else fixtures.orderBy("file")
+
+
 def fixture_errors(fixtures: DataFrame) -> DataFrame:
     """(id, problem) of fixtures that aren't valid."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""

@@ -748,7 +748,4 @@ def k5_p17_graph(spark, sf_dir):
     return edges.groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def k2_graph_document(spark, sf_dir):
-    t = java.Tables(java.scan(_sources(spark, sf_dir)))
-    return store.graph_document(boilerplate.drop(t.chunks), t.graph()[0])
+from . import builds  # noqa: E402, F401  its queries register themselves

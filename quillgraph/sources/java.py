@@ -377,9 +377,10 @@ class Scanner:
             i = self.close[i] + 1 if i in self.close else i + 1
         return "other"
 
-    def _calls(self, a: int, b: int) -> list[tuple[str, str, int]]:
-        """(written receiver, name, arguments) of each call, in source order; constructors don't count."""
-        out = []
+    def _calls(self, a: int, b: int) -> list[tuple[str, str, int, int | None, list[str]]]:
+        """(written receiver, name, number of arguments, place of the call that is the receiver, arguments) of each call, in source order;
+        constructors don't count."""
+        out, places, opens = [], {}, {v: k for k, v in self.close.items() if a <= k}
         for i in range(a, b - 1):
             t = self.t[i]
             if t.kind != "word" or not self._is(i + 1, "(") or t.text in _NOT_CALLS:
@@ -397,16 +398,19 @@ class Scanner:
             scope = self._receiver(k, a) if self._is(k, ".") else ""
             if scope.startswith("new ") and scope.count("(") == 0:
                 continue
-            n, at, end = 0, i + 2, self.close[i + 1]
+            at, end, begin, given = i + 2, self.close[i + 1], i + 2, []
             while at < end:
-                n = n or 1
                 if self._is(at, ","):
-                    n += 1
+                    given.append((begin, at))
+                    begin = at + 1
                 if self._is(at, "<") and self.t[at - 1].text in (".", "new"):
                     at = self._angle(at)
                     continue
                 at = self.close[at] + 1 if at in self.close else at + 1
-            out.append((scope, t.text, n))
+            given += [(begin, end)] if begin < end else []
+            places[i + 1] = len(out)
+            inner = places.get(opens.get(k - 1)) if scope and self._is(k, ".") else None
+            out.append((scope, t.text, len(given), inner, [" ".join(self._slice(x, y).split()) for x, y in given]))
         return out
 
     def _receiver(self, dot: int, a: int) -> str:
@@ -496,9 +500,11 @@ def split_method(m: dict, budget: int, count=count_tokens) -> list[str]:
     return pack_statements(m["header"], m["statements"], m["code"], budget, count)
 
 
+#: Steps up the types that an inherited method is looked for, and links of a chain of calls.
+SUPERS, CHAIN = 8, 6
 _METHOD = (
     "array<struct<name:string,shown_name:string,return_type:string,param_types:array<string>,params:array<string>,visibility:string,throws:array<string>,annotations:array<string>,signature:string,"
-    "code:string,body:string,start_line:int,end_line:int,n_statements:int,first_kind:string,parts:array<string>,calls:array<struct<scope:string,name:string,args:int>>,"
+    "code:string,body:string,start_line:int,end_line:int,n_statements:int,first_kind:string,parts:array<string>,calls:array<struct<scope:string,name:string,args:int,inner:int,given:array<string>>>,"
     "scope:array<struct<name:string,type:string>>>>"
 )
 FILE = (
@@ -514,7 +520,7 @@ def scan_source(source: str, budget: int, count=count_tokens) -> dict:
         methods = []
         for m in t.methods:
             keep = {k: v for k, v in m.items() if k not in ("statements", "header", "calls", "scope")}
-            keep |= {"parts": split_method(m, budget, count), "calls": [dict(zip(("scope", "name", "args"), c, strict=True)) for c in m["calls"]], "scope": [{"name": n, "type": k} for n, k in m["scope"]]}
+            keep |= {"parts": split_method(m, budget, count), "calls": [dict(zip(("scope", "name", "args", "inner", "given"), c, strict=True)) for c in m["calls"]], "scope": [{"name": n, "type": k} for n, k in m["scope"]]}
             methods.append(keep)
         types.append({
             "kind": t.kind, "name": t.name, "outer": t.outer, "signature": t.signature, "annotations": t.annotations, "extends": t.extends, "implements": t.implements,
@@ -619,17 +625,63 @@ class Tables:
         marks = boilerplate.mark(rules, dtos).groupBy("method_id").agg(F.bool_and("is_boilerplate").alias("is_boilerplate"))
         return m.join(marks, "method_id", "left")
 
+    def _ancestors(self) -> DataFrame:
+        """(fq_name, ancestor, steps) of each type, itself at 0, over extends and implements; at most SUPERS steps."""
+        up = self.supers.select(F.col("fq_name").alias("a"), F.col("target").alias("b")).distinct()
+        seen = front = self.known.select("fq_name", F.col("fq_name").alias("ancestor"), F.lit(0).alias("steps")).distinct()
+        for k in range(1, SUPERS + 1):
+            step = front.join(up, front["ancestor"] == up["a"]).select("fq_name", F.col("b").alias("ancestor")).distinct()
+            front = cut(step.join(seen, ["fq_name", "ancestor"], "left_anti").withColumn("steps", F.lit(k)))
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+        return cut(seen)
+
+    def _declared(self, sites: DataFrame) -> DataFrame:
+        """Adds to sites with an owner the declared method that a call means: that of the nearest ancestor, of overloads the one whose
+        parameters have most types of the arguments, then the least id. Sites without one are left out."""
+        m = self.methods.select(F.col("fq_name").alias("ancestor"), F.col("m.name").alias("name"), F.size("m.param_types").alias("args"), F.col("method_id").alias("d_id"), F.col("m.param_types").alias("d_params"), F.col("m.return_type").alias("d_return"), F.col("pkg").alias("d_pkg"), F.col("imports").alias("d_imports"))
+        near = sites.join(self.ancestors.withColumnRenamed("fq_name", "owner"), "owner").join(m, ["ancestor", "name", "args"])
+        last = lambda t: F.substring_index(F.regexp_replace(t, r"<.*>", ""), ".", -1)
+        fits = F.size(F.filter(F.zip_with("given", "d_params", lambda g, p: F.coalesce(last(g) == last(p), F.lit(False))), lambda x: x))
+        best = F.min(F.struct("steps", (-fits).alias("f"), "d_id", "d_return", "d_pkg", "d_imports")).alias("d")
+        return cut(near.groupBy("method_id", "place").agg(best).select("method_id", "place", "d.d_id", "d.d_return", "d.d_pkg", "d.d_imports"))
+
     def _calls(self) -> DataFrame:
-        """(src, dst, written, resolved): a declared method of the receiver's type with that name and number of parameters, else the written form."""
+        """(src, dst, written, resolved): the declared method that a call means, else the written form.
+
+        The receiver's type is that of a variable or field, of a new object, a type's own name, the class itself (none, this), its
+        superclass (super), or what the call before the dot returns; chains are resolved link by link.
+        """
+        self.ancestors = self._ancestors()
         sites = self.methods.select("method_id", "pkg", "imports", "fq_name", F.col("t.fields").alias("fields"), F.col("m.scope").alias("vars"), F.posexplode("m.calls").alias("place", "c"))
-        sites = sites.select("*", "c.scope", "c.name", "c.args")
-        var = lambda column: F.element_at(F.filter(column, lambda v: v["name"] == F.regexp_replace("scope", r"^this\.", "")), -1)["type"]
-        of_var = F.coalesce(F.when(F.size(F.filter("vars", lambda v: v["name"] == F.col("scope"))) > 0, var("vars")), F.when(F.size(F.filter("fields", lambda v: v["name"] == F.regexp_replace("scope", r"^this\.", ""))) > 0, var("fields")))
-        made = F.when(F.col("scope").rlike(r"^new\s"), F.regexp_extract("scope", r"^new\s+([\w.]+)", 1))
-        kind = F.when(F.col("scope").isin("", "this"), F.col("fq_name")).otherwise(F.coalesce(of_var, made, F.when(F.col("scope").rlike(r"^[A-Z]\w*$|^[a-z][\w.]*\.[A-Z]\w*$"), F.col("scope"))))
-        typed = self.resolve(sites.withColumn("receiver", kind), "receiver").withColumn("owner", F.when(F.col("scope").isin("", "this"), F.col("fq_name")).otherwise(F.col("resolved"))).drop("resolved")
-        declared = self.methods.select(F.col("fq_name").alias("d_owner"), F.col("m.name").alias("d_name"), F.size("m.param_types").alias("d_args"), F.col("method_id").alias("d_id")).groupBy("d_owner", "d_name", "d_args").agg(F.min("d_id").alias("d_id"))
-        joined = typed.join(declared, (F.col("owner") == F.col("d_owner")) & (F.col("name") == F.col("d_name")) & (F.col("args") == F.col("d_args")), "left")
+        named = lambda column, name: F.element_at(F.filter(column, lambda v: v["name"] == name), -1)["type"]
+        has = lambda column, name: F.exists(column, lambda v: v["name"] == name)
+        field = lambda name: F.regexp_replace(name, r"^this\.", "")
+        of_name = lambda name: F.coalesce(F.when(has("vars", name), named("vars", name)), F.when(has("fields", field(name)), named("fields", field(name))))
+        literal = lambda x: (
+            F.when(F.startswith(x, F.lit('"')), "String").when(F.startswith(x, F.lit("'")), "char").when(x.isin("true", "false"), "boolean").when(x.rlike(r"^\d+[lL]$"), "long").when(x.rlike(r"^\d+$"), "int")
+            .when(x.rlike(r"^\d*\.?\d+[fF]$"), "float").when(x.rlike(r"^\d*\.\d+[dD]?$"), "double").when(x.rlike(r"^new\s"), F.regexp_extract(x, r"^new\s+([\w.]+)", 1)).otherwise(of_name(x))
+        )
+        scope = F.col("c.scope")
+        made = F.when(scope.rlike(r"^new\s"), F.regexp_extract(scope, r"^new\s+([\w.]+)", 1))
+        kind = F.coalesce(of_name(scope), made, F.when(scope.rlike(r"^[A-Z]\w*$|^[a-z][\w.]*\.[A-Z]\w*$"), scope))
+        sites = cut(sites.select("method_id", "pkg", "imports", "fq_name", "place", "c.scope", "c.name", "c.args", "c.inner", F.transform("c.given", literal).alias("given"), kind.alias("receiver")))
+        parent = self.supers.where("kind = 'EXTENDS'").groupBy("fq_name").agg(F.min("target").alias("parent"))
+        typed = self.resolve(sites.where("inner is null"), "receiver").join(parent, "fq_name", "left")
+        found = self._declared(typed.withColumn("owner", F.when(F.col("scope").isin("", "this"), F.col("fq_name")).when(F.col("scope") == "super", F.col("parent")).otherwise(F.col("resolved"))))
+        # a plain name may be a method of the type around this one
+        around = self.types.where("outer_fq is not null").groupBy("fq_name").agg(F.min("outer_fq").alias("owner"))
+        outer = sites.where("scope = ''").join(around, "fq_name").join(found.select("method_id", "place"), ["method_id", "place"], "left_anti")
+        found = found.unionByName(self._declared(outer))
+        every, chained = found, sites.where("inner is not null").select("method_id", "place", "inner", "name", "args", "given")
+        for _ in range(CHAIN if not chained.isEmpty() else 0):
+            before = found.select("method_id", F.col("place").alias("inner"), F.col("d_return").alias("receiver"), F.col("d_pkg").alias("pkg"), F.col("d_imports").alias("imports"))
+            found = self._declared(self.resolve(chained.join(before, ["method_id", "inner"]), "receiver").withColumnRenamed("resolved", "owner"))
+            if found.isEmpty():
+                break
+            every = every.unionByName(found)
+        joined = sites.join(every.select("method_id", "place", "d_id"), ["method_id", "place"], "left")
         written = F.concat(F.when(F.col("scope") == "", "this").otherwise(F.col("scope")), F.lit("."), "name", F.lit("("), F.array_join(F.array_repeat(F.lit("..."), F.col("args")), ", "), F.lit(")"))
         return joined.select(F.col("method_id").alias("src"), F.coalesce("d_id", written).alias("dst"), F.col("d_id").isNotNull().alias("resolved")).distinct()
 
@@ -715,7 +767,7 @@ def methods_of(code: str) -> list[dict]:
     for t in types:
         for m in t.methods:
             if m["name"] != "<init>":
-                calls = list(dict.fromkeys(f"{s}.{n}" if s else n for s, n, _ in m["calls"]))
+                calls = list(dict.fromkeys(f"{s}.{n}" if s else n for s, n, *_ in m["calls"]))
                 out.append({"class_name": "" if t.name == "$Bare" else t.name, "method_name": m["name"], "return_type": m["return_type"], "params": m["params"], "visibility": m["visibility"], "throws": m["throws"], "calls": calls, "annotations": m["annotations"], "body": m["body"], "signature": m["signature"], "code": m["code"], "parse_error": False})
     return out
 

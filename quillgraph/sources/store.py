@@ -23,8 +23,10 @@ RULE = "═" * 72
 
 
 class GraphStore:
-    """Parquet tables in one folder; edges are partitioned by edge_type. A table is replaced as a whole by a new version, which the
-    pointer file names once it is complete, so a reader never sees half of one."""
+    """Parquet tables in one folder; edges are partitioned by edge_type. A batch writes new versions of its tables and then one
+    manifest, under the next number, that names the versions of all tables: the batch is in or not, whatever fails in between.
+    Manifests are never changed or replaced; readers take the last one. Versions stay until vacuum(), so that running readers and tasks
+    that are computed again still find their files. There is one writer at a time: of two with the same number the second fails."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -36,35 +38,67 @@ class GraphStore:
     def _fs(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self, name: str) -> str | None:
-        pointer = f"{self.folder}/{name}/CURRENT"
-        path = self._path(pointer)
-        return self.spark.read.text(pointer).first()[0] if self._fs(path).exists(path) else None
+    def _listed(self, pattern: str) -> list[str]:
+        path = self._path(f"{self.folder}/{pattern}")
+        return [f.getPath().getName() for f in self._fs(path).globStatus(path) or []]
+
+    def manifests(self) -> list[int]:
+        return sorted(int(n.rsplit("-", 1)[1]) for n in self._listed("MANIFEST-*") if n.rsplit("-", 1)[1].isdigit())
+
+    def versions(self, number: int | None = None) -> dict[str, str]:
+        """The version of each table in a manifest, the last one by default; none without any."""
+        numbers = self.manifests()
+        if not numbers:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.folder}/MANIFEST-{numbers[-1] if number is None else number:020d}").first()[0])
 
     def exists(self, name: str) -> bool:
-        return self._version(name) is not None
+        return name in self.versions()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/{self._version(name)}")
-
-    def overwrite(self, name: str, df: DataFrame) -> None:
-        """K6, K8, K9: writes a version and then points to it. Rows of one key are reduced to one."""
-        old, version = self._version(name), f"v-{uuid.uuid4().hex}"
-        writer = df.dropDuplicates(list(KEYS[name])).write.option("maxRecordsPerFile", RECORDS)
-        (writer.partitionBy("edge_type") if name == "edges" else writer).parquet(f"{self.folder}/{name}/{version}")
-        pointer, new = self._path(f"{self.folder}/{name}/CURRENT"), self._path(f"{self.folder}/{name}/CURRENT-{version}")
-        fs = self._fs(pointer)
+        return self.spark.read.parquet(f"{self.folder}/{name}/{self.versions()[name]}")
+
+    def replace(self, tables: dict[str, DataFrame]) -> None:
+        """K6, K8, K9: writes versions of the tables and commits them together. Rows of one key are reduced to one."""
+        before, now = self.manifests(), self.versions()
+        for name, df in tables.items():
+            now[name] = f"v-{uuid.uuid4().hex}"
+            writer = df.dropDuplicates(list(KEYS[name])).write.option("maxRecordsPerFile", RECORDS)
+            (writer.partitionBy("edge_type") if name == "edges" else writer).parquet(f"{self.folder}/{name}/{now[name]}")
+        self._commit(before[-1] + 1 if before else 1, now)
+
+    def _commit(self, number: int, versions: dict[str, str]) -> None:
+        new, last = self._path(f"{self.folder}/.{uuid.uuid4().hex}"), self._path(f"{self.folder}/MANIFEST-{number:020d}")
+        fs = self._fs(last)
         out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(new, pointer)
-        if old:
-            fs.delete(self._path(f"{self.folder}/{name}/{old}"), True)
+        if fs.exists(last) or not fs.rename(new, last):
+            fs.delete(new, False)
+            raise RuntimeError(f"another writer has committed batch {number}")
+
+    def overwrite(self, name: str, df: DataFrame) -> None:
+        self.replace({name: df})
+
+    def merged(self, name: str, df: DataFrame) -> DataFrame:
+        """K4, K5, K7: the stored rows with those of df in place of equal keys."""
+        return upsert(self.read(name), df, *KEYS[name]) if self.exists(name) else df
 
     def merge(self, name: str, df: DataFrame) -> None:
-        """K4, K5, K7: upsert by key."""
-        self.overwrite(name, upsert(self.read(name), df, *KEYS[name]) if self.exists(name) else df)
+        self.replace({name: self.merged(name, df)})
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes manifests but the last `keep`, and versions that none of these names. For times without readers of older ones."""
+        numbers = self.manifests()
+        used = {(name, v) for n in numbers[-keep:] for name, v in self.versions(n).items()}
+        for n in numbers[:-keep]:
+            path = self._path(f"{self.folder}/MANIFEST-{n:020d}")
+            self._fs(path).delete(path, False)
+        for name in KEYS:
+            for v in self._listed(f"{name}/v-*"):
+                if (name, v) not in used:
+                    path = self._path(f"{self.folder}/{name}/{v}")
+                    self._fs(path).delete(path, True)
 
     def clean(self) -> None:
         """K8."""

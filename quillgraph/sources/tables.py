@@ -29,13 +29,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, from a table in the folder that spark.checkpoint.dir names (set here only where it is unset)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "")
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses, in the folder that spark.checkpoint.dir names (set here only where it is unset and all runs on
+    one machine)."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = LOCAL_SHARED
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read back."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

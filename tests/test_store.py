@@ -46,12 +46,38 @@ def test_reindex(spark, tmp_path):
     after = rows(g.read("edges").where("edge_type = 'CALLS'"), "src", "dst")
     assert ("p.A#f()", "p.B#g()") in after and not any("log" in s or "log" in d for s, d in after)
     assert g.read("chunks").count() == 5
+    back = rows(g.read("edges").where("edge_type = 'CALLED_BY'"), "src", "dst")
+    assert back == {(d, s) for s, d in after} and g.read("chunks").where("chunk_id = 'p.B#g()'").first()["called_by"] == ["p.A#f()"]
+    # the vector of the deleted method is gone, that of the other one, whose code is as before, is not
+    assert rows(g.read("embeddings"), "chunk_id") == rows(g.read("chunks"), "chunk_id")
     reindex.reindex(g, files(("p/B.java", changed)), "/repo")
     assert rows(g.read("edges").where("edge_type = 'CALLS'"), "src", "dst") == after
     g.clean()
     assert not g.exists("chunks")
 
 
+def test_store_commits_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A batch that dies between its steps leaves the graph whole; old versions stay for readers until vacuum."""
+    g = GraphStore(spark, f"file://{tmp_path}/graph")
+    df = lambda *x: spark.createDataFrame([(i,) for i in x], "name string")
+    g.replace({"packages": df("a", "b", "a")})
+    reader = g.read("packages")
+    fields = spark.createDataFrame([("a.x", "n")], "fq_name string, name string")
+    for step in ("_commit", "versions"):
+        with monkeypatch.context() as m:
+            m.setattr(GraphStore, step, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                g.replace({"fields": fields, "packages": df("c")})
+        assert rows(g.read("packages"), "name") == {("a",), ("b",)} and not g.exists("fields")
+    g.replace({"fields": fields, "packages": df("c")})
+    assert rows(g.read("packages"), "name") == {("c",)} and g.exists("fields") and reader.count() == 2
+    with pytest.raises(RuntimeError):
+        g._commit(2, {})
+    g.replace({"packages": df("d")})
+    g.vacuum(1)
+    assert rows(g.read("packages"), "name") == {("d",)} and g.read("fields").count() == 1 and g.manifests() == [3] and len(g._listed("packages/v-*")) == 1
+
+
 def test_stream(spark, tmp_path):
     g = GraphStore(spark, f"file://{tmp_path}/graph")
     at = datetime(2024, 1, 1)
