@@ -117,6 +117,17 @@ def diff_summary(diffs: DataFrame, runs: DataFrame, base_runs: DataFrame) -> Dat
     return kinds.join(still).join(moved).join(sizes)
 
 
+def diff_report(diffs: DataFrame, runs: DataFrame, base_runs: DataFrame) -> dict:
+    """The summary with its lists: "fixture metric" of regressions, wins and newly wired verifiers, "fixture: old -> new" of changed
+    anchors. The lists hold a row for each metric of an evaluation's fixtures, which are files that people write."""
+    out = diff_summary(diffs, runs, base_runs).first().asDict()
+    named = diffs.where("kind <> 'UNCHANGED'").orderBy("fixture_id", "name").select("kind", F.concat_ws(" ", F.col("fixture_id").cast("string"), "name").alias("what")).collect()
+    lists = {key: [r["what"] for r in named if r["kind"] == kind] for key, kind in (("regressions", "REGRESSION"), ("wins", "WIN"), ("verifierWired", "VERIFIER_WIRED"))}
+    both = runs.select("fixture_id", F.coalesce("anchor", F.lit("none")).alias("a")).join(base_runs.select("fixture_id", F.coalesce("anchor", F.lit("none")).alias("b")), "fixture_id")
+    moved = [f"{r['fixture_id']}: {r['b']} -> {r['a']}" for r in both.where("a <> b").orderBy("fixture_id").collect()]
+    return {"baselineFixtures": out["baseline_fixtures"], "currentFixtures": out["current_fixtures"], "unchanged": out["unchanged"], **lists, "anchorChanges": moved}
+
+
 def exit_code(runs: DataFrame, metrics: DataFrame, regressions: DataFrame | None = None, dry_run: bool = False, self_check: bool = False) -> DataFrame:
     """One row (code): 2 if no run retrieved anything, 1 on a failed self-check, an error or a regression, else 0. runs: error, n_retrieved."""
     r = runs.agg(F.bool_or(F.col("error").isNotNull()).alias("any_error"), F.bool_and(F.col("error").isNull() & (F.col("n_retrieved") == 0)).alias("all_empty"))

@@ -11,6 +11,8 @@ from ..sources.tables import cut, ship
 
 NEIGHBOUR_TYPES = ("CALLS", "CALLED_BY", "BELONGS_TO")
 MAX_PATH_HOPS, MAX_EXPANSION, MAX_CHAIN, PATHS = 6, 3, 4, 3
+#: Hops that one plan holds.
+PLANNED = 2
 
 
 def by_type(edges: DataFrame, *types: str) -> DataFrame:
@@ -25,20 +27,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _reach(pairs: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
-    """(anchor, node, hop): least hops over pairs (src, dst) from each anchor, up to depth. Nodes met again are dropped at once."""
-    seen = front = cut(anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop")).distinct())
-    if depth > 1:
-        pairs = cut(pairs)
+    """(anchor, node, hop): least hops over pairs (src, dst) from each anchor, up to depth. Nodes met again are dropped at once.
+
+    Up to PLANNED hops are one plan; of longer walks each further hop is written down.
+    """
+    seen = front = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop")).distinct()
     for k in range(1, depth + 1):
         step = front.join(pairs, front["node"] == pairs["src"]).select("anchor", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(k)))
+        front = step.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(k))
+        if k >= PLANNED and k < depth:
+            front = cut(front)
         seen = seen.unionByName(front)
     return seen
 
 
 def expand(edges: DataFrame, anchors: DataFrame, depth: int, methods: DataFrame | None = None, types: tuple[str, ...] = NEIGHBOUR_TYPES) -> DataFrame:
     """G1 (with A3, O6): undirected expansion; only methods are returned (if a table with chunk_id is given), the anchor at 0."""
-    pairs = both_ways(by_type(edges, *types)).select("src", "dst").distinct()
+    pairs = both_ways(by_type(edges, *types)).select("src", "dst")
     found = _reach(pairs, anchors, depth)
     return found.join(methods.select(F.col("chunk_id").alias("node")), "node", "left_semi").select("anchor", "node", "hop") if methods is not None else found
 
@@ -59,7 +64,6 @@ def retrieval_expansion(edges: DataFrame, anchors: DataFrame, methods: DataFrame
     """G3 (with O8): G1; one hop more for anchors with fewer than top_k // 2 neighbours; siblings at 1 where they are absent."""
     near = cut(expand(edges, anchors, depth, methods))
     counts = near.groupBy("anchor").agg((F.count("*") - 1).alias("n")).where(F.col("n") < top_k // 2).select("anchor")
-    counts = cut(counts)
     more = near if counts.isEmpty() else near.unionByName(expand(edges, counts, depth + 1, methods))
     found = more.groupBy("anchor", "node").agg(F.min("hop").alias("hop"))
     beside = siblings(edges, anchors).join(found.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(1))

@@ -341,3 +341,34 @@ def a13_distinct_needs(spark, sf_dir):
 
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.array(F.concat(F.lit("N"), F.col("turn") % 4), F.concat(F.lit("M"), F.col("turn") % 3))).alias("all"))
     return c.select("conv_id", F.array_join(distinct_needs(F.col("all"), 4), ",").alias("needs"))
+
+
+@query("SELECT count(*) AS indexed, true AS finds FROM embeddings")
+def k10_vector_index(spark, sf_dir):
+    """Every vector is filed; 0.9 and more of the ten nearest of sampled vectors are found in the probed cells."""
+    from ..operators.vector_index import VectorIndex
+    from . import demo
+
+    index = VectorIndex.build(demo.embeddings(spark, sf_dir), _fresh(spark, "index"), rows=100)
+    asked = [list(r["embedding"]) for r in table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(10).collect()]
+    return index.rows.agg(F.count("*").alias("indexed")).withColumn("finds", F.lit(index.recall(asked, 10) >= 0.9))
+
+
+@query(
+    """
+WITH m AS (SELECT s_suppkey AS id, s_suppkey % 4 AS k FROM supplier)
+SELECT id::VARCHAR || CASE WHEN k = 0 THEN ' a' ELSE ' b' END AS what, ['regressions', 'wins', 'verifierWired'][k + 1] AS list, true AS in_text FROM m WHERE k < 3
+UNION ALL SELECT id || ': none -> x', 'anchorChanges', true FROM m WHERE k = 3 UNION ALL SELECT 'unchanged ' || count(*), 'counts', true FROM m WHERE k = 3
+"""
+)
+def k13_diff_report(spark, sf_dir):
+    """The JSON report of a baseline diff, parsed again; its text form holds the same lines."""
+    k = F.col("s_suppkey") % 4
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fixture_id"), F.when(k == 0, "a").otherwise("b").alias("name"), k.alias("k"))
+    side = lambda before: s.select("fixture_id", "name", F.when((F.col("k") == 0) & F.lit(not before) | (F.col("k") == 1) & F.lit(before), "FAIL").when((F.col("k") == 2) & F.lit(before), "NOT_RUN").otherwise("PASS").alias("status"), F.lit(1.0).alias("value"))
+    runs = lambda before: s.select("fixture_id", F.when((F.col("k") == 3) & F.lit(not before), "x").alias("anchor"))
+    report = evaluate.diff_report(evaluate.baseline_diff(side(False), side(True)), runs(False), runs(True))
+    found, text = json.loads(store.diff_json(report)), store.diff_text(report)
+    rows = [(x, name, f"  {x}\n" in text) for name in ("regressions", "wins", "verifierWired", "anchorChanges") for x in found[name]]
+    rows.append((f"unchanged {found['unchanged']}", "counts", f"unchanged: {found['unchanged']}\n" in text))
+    return spark.createDataFrame(rows, "what string, list string, in_text boolean")

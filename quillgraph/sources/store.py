@@ -172,6 +172,20 @@ def summary_json(rollup: DataFrame, modes: DataFrame) -> str:
     return json.dumps({"fixtureCount": sum(m["fixtures"] for m in by_mode.values()), "byMode": by_mode, "byMetric": by_metric}, indent=2, sort_keys=True)
 
 
+def diff_json(report: dict) -> str:
+    """Of evaluate.diff_report."""
+    return json.dumps(report, indent=2)
+
+
+def diff_text(report: dict) -> str:
+    """Counts, then each list under its name; empty lists are left out."""
+    lines = [f"Baseline: {report['baselineFixtures']} fixtures, current: {report['currentFixtures']}, unchanged: {report['unchanged']}"]
+    for name, title in (("regressions", "Regressions"), ("wins", "Wins"), ("verifierWired", "Verifiers wired"), ("anchorChanges", "Anchor changes")):
+        if report[name]:
+            lines += [f"{title} ({len(report[name])}):", *(f"  {x}" for x in report[name])]
+    return "\n".join(lines) + "\n"
+
+
 def manifest(options: dict, started: datetime, fixtures: int) -> str:
     """K14."""
     return json.dumps({"startedAt": started.astimezone(timezone.utc).isoformat(), "fixtures": fixtures, **options}, indent=2, sort_keys=True)

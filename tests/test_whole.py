@@ -85,3 +85,25 @@ def test_generics_at_any_depth(spark):
     cases = {"a.B#m(java.util.Map<A<B<C<D>>>>, x.Y<Z>[])#part2": "a.B#m(Map, Y[])", "a.B#m(List<? extends Map<K, List<V>>> , int)": "a.B#m(List, int)", "f": "f", "a.B#m()": "a.B#m()"}
     df = spark.createDataFrame([(k,) for k in cases], "id string")
     assert {r.id: r.c for r in df.select("id", canonical_id(F.col("id")).alias("c")).collect()} == cases
+
+
+def test_vector_index(spark, tmp_path):
+    """Rows without a direction are filed but never found; probing all cells gives the exact result; retrieval takes an index."""
+    from quillgraph.operators import retrieval
+    from quillgraph.operators.vector_index import VectorIndex
+    from quillgraph.plans import demo
+
+    sf = "/root/testdata/sf0.001"
+    e = demo.embeddings(spark, sf)
+    odd = spark.createDataFrame([("n", None), ("z", [0.0, 0.0]), ("x", [float("nan"), 1.0])], "chunk_id string, embedding array<float>")
+    index = VectorIndex.build(e.unionByName(odd), f"file://{tmp_path}/index", rows=50)
+    assert index.rows.count() == e.count() + 3 and index.rows.where("cell = -1").count() == 3
+    query = list(e.orderBy("chunk_id").first()["embedding"])
+    exact = [tuple(r) for r in retrieval.nearest(e, query, 12).collect()]
+    assert [tuple(r) for r in index.nearest(query, 12, probes=len(index.centre)).collect()] == exact
+    anchor = exact[0][0]
+    plain, by_index = (retrieval.retrieve(demo.chunks(spark, sf), e, demo.edges(spark, sf), query, anchor, index=i).collect() for i in (None, index))
+    assert sorted(plain) == sorted(by_index)
+    assert retrieval.retrieve(demo.chunks(spark, sf), e, demo.edges(spark, sf), query, None, 5).count() == 5
+    empty = VectorIndex.build(odd.limit(0), f"file://{tmp_path}/none")
+    assert empty.rows.count() == 0
