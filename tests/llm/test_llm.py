@@ -744,3 +744,55 @@ def test_html_wrappers_parts_and_depth():
     assert html_extract.extract(f"<article>{body(3)}" + "<svg>" * 50_000) == text(3)
     html_extract.extract("<ul><li>" + "<div>" * 20_000 + "x<li>" * 20_000 + "<!" * 20_000)
     assert time.process_time() - start < 5
+
+
+def brute_markov(texts, order, text):
+    """Log-likelihood by Witten-Bell interpolation, from plain counts of every context."""
+    import math
+
+    counts = {}
+    for t in texts:
+        t = "\x02" * order + t + "\x03"
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                counts.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    total, t = 0.0, "\x02" * order + text + "\x03"
+    for i in range(order, len(t)):
+        p = 1 / 0x10000
+        for k in range(order + 1):
+            if seen := counts.get(t[i - k : i]):
+                p = (seen[t[i]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        total += math.log(p)
+    return total
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    good, bad = [f"site{i}.org/news/{i * 7}/story" for i in range(40)], [f"x{i}.biz/win?{i}casino" for i in range(40)]
+    asked = ["a.org/news/1", "b.biz/win", "site3.org/casino", "", "Ünïcode.org/é", "x" * 3000]
+    df = spark.createDataFrame([(i, f"http://{t}" if t else None) for i, t in enumerate(asked)], "page_id long, url string")
+    held = lambda x, want: [t for i, t in enumerate(x) if (i % url_lm.HOLD == 0) is want]
+    score = lambda t: (brute_markov(held(good, False), url_lm.ORDER, t) - brute_markov(held(bad, False), url_lm.ORDER, t)) / (len(t) + 1) if t else 0.0
+    threshold = url_lm.Ratio._meet(sorted(map(score, held(good, True))), sorted(map(score, held(bad, True))))
+    for r in url_lm.apply(df, rules=(), training=(good, bad)).collect():
+        t = r.host + r.path
+        assert r.score == pytest.approx(score(t)) and r.verdict == ("allow" if score(t) >= threshold else "block")
+
+
+def test_stages_of_odd_tables(spark):
+    """Nulls in every column, empty, blank, very long and repeated texts, clashing further columns; then no rows at all."""
+    import corpus_pipeline as p
+
+    prose = lambda k, n=80: " ".join(f"word{k}x{i} goes" for i in range(n)) + "."
+    texts = [None, "", " \n ", prose(1), prose(1), prose(2), prose(3, 30_000), "a b c", prose(4)]
+    rows = [(None if i == 8 else 3 if i in (3, 4) else i, t, None if i % 4 == 1 else "en", None if i % 3 == 1 else "s", None, "x", "y", 1.0) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, kept string, copies double")
+    seen = {name: [tuple(r) for r in stage(spark, d, SF).collect()] for name, stage in p.STAGES}
+    for name, _ in p.STAGES[:4]:
+        assert all(len(r) == len(p.COLUMNS) for r in seen[name])
+    ids = lambda name: Counter(r[0] for r in seen[name])
+    assert ids("quality rules") == {3: 2, 5: 1, 6: 1, None: 1} and not {0, 1, 2} & set(ids("quality classifier"))
+    assert ids("near-duplicates") == {0: 1, 1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 1, None: 1}
+    assert set(ids("mixing")) <= {None, 0, 1, 2, 3, 5, 6, 7} and sum(1 for r in seen["packing"] if r[1] == 0) == len(texts)
+    for name, stage in p.STAGES:
+        out = stage(spark, d.limit(0), SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == p.COLUMNS)
