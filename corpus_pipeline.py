@@ -46,7 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a key made for this stage and written: ids may be null or repeated
     keyed = saved(docs.select(F.monotonically_increasing_id().alias("key"), *COLUMNS), "keyed")
     drawn = mixing.apply(keyed.select("key", "doc_id", "text", "source"), key="key").where("copies > 0").select("key", "copies")
-    return keyed.join(drawn, "key").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(COLUMNS)
+    # the draws grow with the data, so they are never broadcast
+    return keyed.join(drawn.hint("merge"), "key").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
