@@ -204,7 +204,7 @@ def _write_texts(spark, rows: DataFrame, column: str) -> None:
         out.close()
 
 
-_FIXTURE = "SELECT s_name AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'retrieval' ELSE 'safeloop' END AS mode, s_suppkey % 5 AS relevant, CASE WHEN s_suppkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags FROM supplier"
+_FIXTURE = "SELECT s_name AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'retrieval' ELSE 'safeloop' END AS mode, (s_suppkey % 5)::INT AS relevant, CASE WHEN s_suppkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags FROM supplier"
 
 
 def _fixture_files(spark, sf_dir, folder: str) -> DataFrame:

@@ -136,6 +136,27 @@ def test_loops(spark):
     assert loops.safe_loop(spark, lambda s, u: 1 / 0, same, "q", lambda n: []).reason == "ERROR"
     assert loops.history_table(spark, {"r": stuck}).count() == 2
 
+    class Fails:
+        def verify(self, code):
+            return ("FAIL", "line 1") if code == "bad" else ("PASS", "")
+
+    codes, asked = iter(["bad", "good"]), []
+    out = loops.safe_loop(spark, lambda s, u: asked.append(u) or next(codes), lambda s, u: '{"verdict":"SAFE","confidence":0.95}', "q", lambda n: [], prepare=lambda q: "near code", verifiers=(Fails(),))
+    assert (out.reason, out.iterations, out.output) == ("SAFE", 2, "good") and "near code" in asked[0] and "line 1" in asked[1]
+    quick = loops.safe_loop(spark, lambda s, u: "c", lambda s, u: '{"verdict":"SAFE","confidence":0.95}', "q", lambda n: [f"id of {x}" for x in n], review=lambda s, u: 'x {"assumptions":[{"needs":["A.b","A.b"]}]}', verifiers=(Fails(),))
+    assert quick.reason == "SAFE" and quick.history[0]["quick"] and len(quick.history) == 1
+    assert loops.review_needs("no json") == loops.review_needs('{"assumptions": 3}') == []
+
+
+def test_planner_loop(spark):
+    said = iter(["what?", '{"tool":"look","args":{"id":"A"}}', '{"tool":"look","args":{"id":"A"}}', '{"tool":"none"}', '{"final":"draft"}', '{"final":"better"}'])
+    out = loops.planner_loop(spark, lambda s, u: next(said), lambda s, u: '{"safe": true, "confidence": 0.95}' if "better" in u else '{"safe": false, "confidence": 0.2, "issues": ["x"]}', {"look": lambda id: f"code of {id}"}, "q")
+    assert (out.reason, out.output, out.iterations) == ("SAFE", "better", 2)
+    assert [h["result"] for h in out.history if "tool" in h][:2] == ["code of A", "already called; see above"] and out.history[2]["result"].startswith("failed: KeyError")
+    assert loops.planner_loop(spark, lambda s, u: "no", lambda s, u: "", {}, "q", most=1, steps=2).reason == "MAX_ITERATIONS"
+
+
+def test_loops_around_judges(spark):
     class Task:
         def worker_prompt(self, last, feedback, k):
             return f"{feedback}"
