@@ -9,7 +9,8 @@ element that holds nearly all of their score, or all marked articles where only
 Elements whose tag or role is a menu, footer, sidebar, dialog or script never count. A form, and an element whose id or class names
 such a part, doesn't count either, unless
   it has a name of the page's layout and holds nearly all text of the page (a wrapper), prose for the most part, and its articles;
-  its name may be a topic too, it is inside a marked article, and its paths are over the threshold in spite of a penalty;
+  only its id names it, with a word that may be a topic too, it is inside a marked article, and its paths are over the threshold in
+  spite of a penalty;
   a marked article within holds half of the page's text; or nothing else is left of the page and it is prose.
 Names after has, with or no ("has-sidebar") and headers of an article or entry name nothing.
 
@@ -59,8 +60,8 @@ _PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification newsletter subscribe subscription share sharing social "
     "related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager copyright legal".split()
 )
-#: Names that may be topics of an article's sections.
-_TOPICS = frozenset("related recommended recommendations discussion notice notices header side legal copyright search promotion subscription navigation notification advertising consent".split())
+#: Names that may be topics of an article's sections, if they stand in an id.
+_TOPICS = frozenset("related recommended recommendations discussion side legal copyright search navigation advertising".split())
 _NEGATES = frozenset("has with without no not".split())
 _TITLED = frozenset("article entry post content story title page section".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -93,15 +94,15 @@ class Page:
 
     def __init__(self, page: str):
         self.parent, self.name, self.depth, self.path = [-1], ["#"], [0], [0]
-        #: Never read; inside a marked article; names of parts.
-        self.noise, self.inside, self.parts = [False], [False], [frozenset()]
+        #: Never read; inside a marked article; names of parts; whether they may be a topic.
+        self.noise, self.inside, self.parts, self.topic = [False], [False], [frozenset()], [False]
         self.blocks: list[tuple[int, str]] = []
         self._paths: dict[tuple[int, str], int] = {}
         self._read(page)
 
     def _begin(self, name: str, attrs: str, above: int) -> int:
         inside = self.inside[above] or self.name[above] in _MARKED
-        noise, label, parts = name in _NOISE_TAGS or name == "header" and not inside, name, set()
+        noise, label, parts, ids = name in _NOISE_TAGS or name == "header" and not inside, name, set(), set()
         if "=" in attrs and not noise:
             for m in _ATTR.finditer(attrs):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -111,10 +112,14 @@ class Page:
                     label += "." + value.strip()
                 if key == "role" and set(_SPLIT.split(value.lower())) & _NOISE_ROLES:
                     noise = True
+                elif name not in _UNNAMED and key == "id":
+                    ids |= _names(value)
                 elif name not in _UNNAMED:
                     parts |= _names(value)
         if name == "form":
             parts.add("form")
+        self.topic.append(not parts and ids <= _TOPICS)
+        parts |= ids
         self.parent.append(above)
         self.name.append(name)
         self.depth.append(self.depth[above] + 1)
@@ -242,7 +247,7 @@ def _without_parts(page: Page) -> list[tuple[int, str]]:
         out[e] = out[page.parent[e]]
         if names := page.parts[e]:
             wraps = names <= (_LAYOUT | {"form"}) and size[e] >= HOLDS * total and 2 * prose_size[e] >= size[e] and 2 * in_article[e] >= in_article[0]
-            topic = names <= _TOPICS and page.inside[e] and bool(plain) and 2 * content[e] >= size[e]
+            topic = page.topic[e] and page.inside[e] and bool(plain) and 2 * content[e] >= size[e]
             out[e] = out[e] or not (wraps or topic)
         elif page.name[e] in _MARKED and 2 * size[e] >= total:
             out[e] = False

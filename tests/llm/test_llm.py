@@ -735,6 +735,7 @@ def test_html_wrappers_parts_and_depth():
         (f"<body><article>{body(6)}</article><article>{body(4)}</article></body>", text(6) + "\n\n" + text(4)), (f"<article>{body()}</article><textarea>leak this", text()),
         ('<div class="menu">Home About</div>', ""), ("<form>Name <input> <button>Go</button></form>", ""), (f'<article>{body(3)}<section class="comments"><p>{s} {s}</p></section></article>', text(3)),
         (f'<div class="layout-sidebar"><div class="content">{body(9)}</div><div class="sidebar"><p>{s}</p></div></div>', text(9)), (f'<article><p>{s}</p></article><div class="comments">{body(20)}</div>', s),
+        (f'<article>{body(4)}<div class="notice"><p>{s} {s}</p></div><div class="related"><p>{s} {s}</p></div><section id="related-work">{body(2)}</section></article>', text(4) + "\n\n" + text(2)),
         (f'<div class="cookie-banner"><p>{s} {s}</p></div><div class="main">{body(4)}</div>', text(4)), (f"<article><p>{s} <svg><text>no</text></svg> 0.</p>{body(3)}</article>", f"{s} 0.\n\n" + text(3)),
     ]
     for page, want in cases:
