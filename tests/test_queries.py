@@ -27,6 +27,8 @@ def plain(v):
 
 #: Queries that SQL has no form for, and the test that holds their operator against brute force.
 BRUTE_FORCE = {"g9_call_chain": "test_whole.test_call_chains"}
+#: No row at the smallest size, some at the next.
+EMPTY = {"w9_filter_fixtures"}
 
 
 @pytest.mark.parametrize("name", list(registry.queries()))
@@ -34,7 +36,7 @@ def test_query(spark, sql, name):
     df = registry.queries()[name](spark, SF)
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=str)
-    assert got
+    assert got or name in EMPTY
     if (text := registry.oracle_sql().get(name)) is None:
         assert name in BRUTE_FORCE
         return
