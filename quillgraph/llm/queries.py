@@ -1,13 +1,14 @@
-"""The queries of the ten operators, over whole tables, and their SQL."""
+"""The queries of the thirteen operators, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, huffman, importance, licences, mixing, order_minhash, packing, quality_rules, url_lm, vector_graph
+from . import digest_merge, dual_tree, html_extract, huffman, importance, licences, mixing, order_minhash, packing, quality_rules, url_lm, vector_graph, whitening
 from .base import table
 
 
@@ -64,12 +65,25 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.apply(table(spark, sf_dir, "documents"))
 
 
+def op11_digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_merge.apply(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.apply(table(spark, sf_dir, "embeddings"))
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.apply(table(spark, sf_dir, "embeddings"))
+
+
 NOTICE_LINES = 3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_balanced_mix, op2_best_fit_packing, op3_line_rules, op4_tag_paths, op5_importance, op6_vector_graph, op7_huffman, op8_url_models, op9_licences, op10_order_minhash,
+        op11_digest_merge, op12_whitening, op13_dual_tree,
     )}
 
 
@@ -141,6 +155,31 @@ FROM d LEFT JOIN own USING (doc_id) LEFT JOIN (FROM i WHERE r = 1) i ON i.dir =
 """
 
 
+_COPIES_SQL = f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
+FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}')) AS h FROM documents) WINDOW w AS (PARTITION BY h)
+"""
+
+
+def _clusters_sql() -> str:
+    d = dual_tree
+    square = "list_sum(list_transform(v.x, lambda e, i: (e - c.x[i]) * (e - c.x[i])))"
+    near = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v.x) AS x, min(({square}, k)) AS b FROM v, c{r} c GROUP BY vec_id)"
+    rounds = [near(0)]
+    for r in range(d.ROUNDS):
+        rounds.append(f"s{r} AS (SELECT b[2] AS k, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, {d.DIMS + 1}) t(i) GROUP BY ALL)")
+        rounds.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY k) m USING (k))")
+        rounds.append(near(r + 1))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor({d.SCALE} * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(list_filter(embedding, lambda e: isfinite(e))) = {d.DIMS} AND len(embedding) = {d.DIMS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{d.SALT}' || vec_id)) - 1 AS k, x FROM v QUALIFY k < {d.CENTROIDS}), {", ".join(rounds)}
+SELECT vec_id, b[2]::INT AS cluster, b[1]::BIGINT AS distance, (sum(b[1]) OVER (PARTITION BY b[2]))::BIGINT AS cluster_inertia, (sum(b[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{d.ROUNDS} JOIN c{d.ROUNDS} c ON c.k = b[2]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; it is slow on large tables for vectors."""
-    return {"op3_line_rules": _rules_sql(), "op6_vector_graph": _VECTORS_SQL, "op9_licences": _licences_sql()}
+    return {
+        "op3_line_rules": _rules_sql(), "op6_vector_graph": _VECTORS_SQL, "op9_licences": _licences_sql(), "op11_digest_merge": _COPIES_SQL, "op13_dual_tree": _clusters_sql(),
+    }
