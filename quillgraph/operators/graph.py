@@ -27,18 +27,25 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _reach(pairs: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
-    """(anchor, node, hop): least hops over pairs (src, dst) from each anchor, up to depth. Nodes met again are dropped at once.
+    """(anchor, node, hop): least hops over pairs (src, dst) from each anchor, up to depth.
 
-    Up to PLANNED hops are one plan; of longer walks each further hop is written down.
+    Up to PLANNED hops are one plan; of longer walks each further hop drops nodes met before and is written down.
     """
     seen = front = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop")).distinct()
     for k in range(1, depth + 1):
         step = front.join(pairs, front["node"] == pairs["src"]).select("anchor", F.col("dst").alias("node")).distinct()
+        if k < PLANNED or k == depth <= PLANNED:
+            # one aggregation at the end costs less than an anti join at each of so few hops
+            front = step.withColumn("hop", F.lit(k))
+            seen = seen.unionByName(front)
+            continue
+        if k == PLANNED:
+            seen = seen.groupBy("anchor", "node").agg(F.min("hop").alias("hop"))
         front = step.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(k))
-        if k >= PLANNED and k < depth:
+        if k < depth:
             front = cut(front)
         seen = seen.unionByName(front)
-    return seen
+    return seen.groupBy("anchor", "node").agg(F.min("hop").alias("hop")) if depth <= PLANNED else seen
 
 
 def expand(edges: DataFrame, anchors: DataFrame, depth: int, methods: DataFrame | None = None, types: tuple[str, ...] = NEIGHBOUR_TYPES) -> DataFrame:
@@ -228,6 +235,15 @@ def fan_out(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("chunk_id").distinct().join(n, F.col("chunk_id") == F.col("src"), "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("fan_out"))
 
 
+def fans(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """A1, A2: (chunk_id, fan_in, fan_out) of the ids alone: edges that touch none of them are dropped before anything is counted."""
+    own = ids.select("chunk_id").distinct()
+    calls = by_type(edges, "CALLS").select("src", "dst")
+    into = calls.join(own, calls["dst"] == own["chunk_id"], "left_semi").distinct().groupBy(F.col("dst").alias("chunk_id")).agg(F.count("*").alias("fan_in"))
+    out = calls.join(own, calls["src"] == own["chunk_id"], "left_semi").distinct().groupBy(F.col("src").alias("chunk_id")).agg(F.count("*").alias("fan_out"))
+    return own.join(into, "chunk_id", "left").join(out, "chunk_id", "left").na.fill(0, ["fan_in", "fan_out"])
+
+
 def summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A5, A10: (what, kind, n) of edges by type and nodes (kind) by kind; only those that occur."""
     e = edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "kind", "n")
