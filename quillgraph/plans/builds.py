@@ -119,6 +119,26 @@ def p6_p16_k5_j5_j13_edges(spark, sf_dir):
     return _built(spark, sf_dir).graph()[0].select("edge_type", "src", "dst")
 
 
+#: A tower of types, a cycle of two, and a chain of calls, each of DEEP steps.
+DEEP = 20
+_TOWER = ["class D0 { void root() { int a = 1; a++; } }", *(f"class D{i} extends D{i - 1} {{ }}" for i in range(1, DEEP + 1)), f"class Use extends D{DEEP} {{ void go() {{ root(); int x = 1; x++; }} }}"]
+_CYCLE = ["class X extends Y { void own() { int a = 1; lost(); } }", "class Y extends X { void lost() { int b = 2; b++; } }"]
+_LINKS = [f"class L{i} {{ L{i + 1} n{i + 1}() {{ int a = {i}; a++; return new L{i + 1}(); }} }}" for i in range(DEEP)] + [
+    f"class L{DEEP} {{ void end() {{ int a = 0; a++; }} }}", f"class Chain {{ void run() {{ new L0(){''.join(f'.n{i}()' for i in range(1, DEEP + 1))}.end(); int a = 0; a++; }} }}",
+]
+
+
+@query(
+    f"""WITH n AS (SELECT 'n' || n_nationkey || '.deep.' AS p FROM nation), d(src, dst) AS (VALUES ('Use#go()', 'D0#root()'), ('X#own()', 'Y#lost()'), ('Chain#run()', 'L{DEEP}#end()'))
+SELECT p || src AS src, p || dst AS dst FROM d, n UNION ALL SELECT p || 'Chain#run()', p || 'L' || i || '#n' || (i + 1) || '()' FROM n, range(0, {DEEP}) t(i)"""
+)
+def p11_p15_deep_calls(spark, sf_dir):
+    """Calls of a method DEEP types up, over a cycle of types, and through a chain of DEEP + 1 calls."""
+    text = "package {p}.deep;\n" + "\n".join([*_TOWER, *_CYCLE, *_LINKS]) + "\n"
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("p")).select(F.concat("p", F.lit("/Deep.java")).alias("file_path"), F.replace(F.lit(text), F.lit("{p}"), F.col("p")).alias("source"))
+    return java.Tables(java.scan(rows)).calls.where("resolved").select("src", "dst")
+
+
 @query(
     _FOUND + "SELECT p || '.' || id || CASE WHEN part > 0 THEN '#part' || part ELSE '' END AS chunk_id, plain AS is_boilerplate, greatest(part, 1) AS part_index, CASE WHEN part > 0 THEN 2 ELSE 1 END AS total_parts, "
     "coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE edge_type = 'CALLS' AND src = p || '.' || id), CASE WHEN id IN ('b.Base#log(String)', 'b.Helper#done(String)') THEN 'System.out.println(...)' ELSE '' END) AS calls, "

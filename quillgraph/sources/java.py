@@ -500,8 +500,8 @@ def split_method(m: dict, budget: int, count=count_tokens) -> list[str]:
     return pack_statements(m["header"], m["statements"], m["code"], budget, count)
 
 
-#: Steps up the types that an inherited method is looked for, and links of a chain of calls.
-SUPERS, CHAIN = 8, 6
+#: Parts that the subtypes of one type are dealt to while ancestors are joined.
+SALTS = 8
 _METHOD = (
     "array<struct<name:string,shown_name:string,return_type:string,param_types:array<string>,params:array<string>,visibility:string,throws:array<string>,annotations:array<string>,signature:string,"
     "code:string,body:string,start_line:int,end_line:int,n_statements:int,first_kind:string,parts:array<string>,calls:array<struct<scope:string,name:string,args:int,inner:int,given:array<string>>>,"
@@ -626,26 +626,42 @@ class Tables:
         return m.join(marks, "method_id", "left")
 
     def _ancestors(self) -> DataFrame:
-        """(fq_name, ancestor, steps) of each type, itself at 0, over extends and implements; at most SUPERS steps."""
-        up = self.supers.select(F.col("fq_name").alias("a"), F.col("target").alias("b")).distinct()
-        seen = front = self.known.select("fq_name", F.col("fq_name").alias("ancestor"), F.lit(0).alias("steps")).distinct()
-        for k in range(1, SUPERS + 1):
-            step = front.join(up, front["ancestor"] == up["a"]).select("fq_name", F.col("b").alias("ancestor")).distinct()
-            front = cut(step.join(seen, ["fq_name", "ancestor"], "left_anti").withColumn("steps", F.lit(k)))
-            if front.isEmpty():
+        """(fq_name, ancestor, steps) of each type, itself at 0, over extends and implements, with the least number of steps.
+
+        Ways are doubled: each round joins the ways found so far to each other, until no way is new or shorter. So a tower of n types
+        takes log n rounds, and a cycle ends as any other graph does, since ways only get shorter.
+        """
+        own = self.known.select("fq_name", F.col("fq_name").alias("ancestor"), F.lit(0).alias("steps"))
+        ways = cut(self.supers.where("fq_name <> target").select("fq_name", F.col("target").alias("ancestor"), F.lit(1).alias("steps")).distinct())
+        size = None
+        while True:
+            now = ways.agg(F.count("*"), F.sum("steps")).first()
+            if now == size or not now[0]:
                 break
-            seen = seen.unionByName(front)
-        return cut(seen)
+            size = now
+            # a type that a third of all extend is one key: its subtypes are dealt by salts
+            low = ways.withColumn("salt", F.pmod(F.xxhash64("fq_name"), F.lit(SALTS)).cast("int"))
+            high = ways.select(F.col("fq_name").alias("ancestor"), F.col("ancestor").alias("above"), F.col("steps").alias("more"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+            longer = low.join(high, ["ancestor", "salt"]).where("fq_name <> above").select("fq_name", F.col("above").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+            ways = cut(ways.unionByName(longer).groupBy("fq_name", "ancestor").agg(F.min("steps").alias("steps")))
+        return cut(own.unionByName(ways).distinct())
+
+    def _members(self, sites: DataFrame) -> DataFrame:
+        """(owner, name, args, steps, d_id, d_params, d_owner): what each type declares or inherits under the names that sites call, and
+        the type that it returns."""
+        m = self.methods.select(F.col("fq_name").alias("ancestor"), F.col("m.name").alias("name"), F.size("m.param_types").alias("args"), F.col("method_id").alias("d_id"), F.col("m.param_types").alias("d_params"), F.col("m.return_type").alias("d_return"), "pkg", "imports")
+        m = self.resolve(m.join(sites.select("name", "args").distinct(), ["name", "args"], "left_semi"), "d_return").select("ancestor", "name", "args", "d_id", "d_params", F.col("resolved").alias("d_owner"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        low = self.ancestors.withColumn("salt", F.pmod(F.xxhash64("fq_name"), F.lit(SALTS)).cast("int"))
+        return cut(low.join(m, ["ancestor", "salt"]).select(F.col("fq_name").alias("owner"), "name", "args", "steps", "d_id", "d_params", "d_owner").distinct())
 
     def _declared(self, sites: DataFrame) -> DataFrame:
-        """Adds to sites with an owner the declared method that a call means: that of the nearest ancestor, of overloads the one whose
-        parameters have most types of the arguments, then the least id. Sites without one are left out."""
-        m = self.methods.select(F.col("fq_name").alias("ancestor"), F.col("m.name").alias("name"), F.size("m.param_types").alias("args"), F.col("method_id").alias("d_id"), F.col("m.param_types").alias("d_params"), F.col("m.return_type").alias("d_return"), F.col("pkg").alias("d_pkg"), F.col("imports").alias("d_imports"))
-        near = sites.join(self.ancestors.withColumnRenamed("fq_name", "owner"), "owner").join(m, ["ancestor", "name", "args"])
+        """(method_id, place, d_id, d_owner): for sites with an owner the declared method that a call means: that of the nearest ancestor,
+        of overloads the one whose parameters have most types of the arguments, then the least id. Sites without one are left out."""
+        near = sites.join(self.members, ["owner", "name", "args"])
         last = lambda t: F.substring_index(F.regexp_replace(t, r"<.*>", ""), ".", -1)
         fits = F.size(F.filter(F.zip_with("given", "d_params", lambda g, p: F.coalesce(last(g) == last(p), F.lit(False))), lambda x: x))
-        best = F.min(F.struct("steps", (-fits).alias("f"), "d_id", "d_return", "d_pkg", "d_imports")).alias("d")
-        return cut(near.groupBy("method_id", "place").agg(best).select("method_id", "place", "d.d_id", "d.d_return", "d.d_pkg", "d.d_imports"))
+        best = F.min(F.struct("steps", (-fits).alias("f"), "d_id", "d_owner")).alias("d")
+        return cut(near.groupBy("method_id", "place").agg(best).select("method_id", "place", "d.d_id", "d.d_owner"))
 
     def _calls(self) -> DataFrame:
         """(src, dst, written, resolved): the declared method that a call means, else the written form.
@@ -667,6 +683,7 @@ class Tables:
         made = F.when(scope.rlike(r"^new\s"), F.regexp_extract(scope, r"^new\s+([\w.]+)", 1))
         kind = F.coalesce(of_name(scope), made, F.when(scope.rlike(r"^[A-Z]\w*$|^[a-z][\w.]*\.[A-Z]\w*$"), scope))
         sites = cut(sites.select("method_id", "pkg", "imports", "fq_name", "place", "c.scope", "c.name", "c.args", "c.inner", F.transform("c.given", literal).alias("given"), kind.alias("receiver")))
+        self.members = self._members(sites)
         parent = self.supers.where("kind = 'EXTENDS'").groupBy("fq_name").agg(F.min("target").alias("parent"))
         typed = self.resolve(sites.where("inner is null"), "receiver").join(parent, "fq_name", "left")
         found = self._declared(typed.withColumn("owner", F.when(F.col("scope").isin("", "this"), F.col("fq_name")).when(F.col("scope") == "super", F.col("parent")).otherwise(F.col("resolved"))))
@@ -675,11 +692,11 @@ class Tables:
         outer = sites.where("scope = ''").join(around, "fq_name").join(found.select("method_id", "place"), ["method_id", "place"], "left_anti")
         found = found.unionByName(self._declared(outer))
         every, chained = found, sites.where("inner is not null").select("method_id", "place", "inner", "name", "args", "given")
-        for _ in range(CHAIN if not chained.isEmpty() else 0):
-            before = found.select("method_id", F.col("place").alias("inner"), F.col("d_return").alias("receiver"), F.col("d_pkg").alias("pkg"), F.col("d_imports").alias("imports"))
-            found = self._declared(self.resolve(chained.join(before, ["method_id", "inner"]), "receiver").withColumnRenamed("resolved", "owner"))
-            if found.isEmpty():
-                break
+        more = not chained.isEmpty()
+        while more:  # one link of all chains a round; a link's inner call is another one, so this ends with the longest chain
+            before = found.where("d_owner is not null").select("method_id", F.col("place").alias("inner"), F.col("d_owner").alias("owner"))
+            found = self._declared(chained.join(before, ["method_id", "inner"]))
+            more = not found.isEmpty()
             every = every.unionByName(found)
         joined = sites.join(every.select("method_id", "place", "d_id"), ["method_id", "place"], "left")
         written = F.concat(F.when(F.col("scope") == "", "this").otherwise(F.col("scope")), F.lit("."), "name", F.lit("("), F.array_join(F.array_repeat(F.lit("..."), F.col("args")), ", "), F.lit(")"))
