@@ -308,6 +308,24 @@ def k4_k9_store(spark, sf_dir):
     return out
 
 
+@query(_FOUND + "FROM edges")
+def i1_i2_k6_parted_batches(spark, sf_dir):
+    """A tree with another Base (one method renamed, one with another type), another body of Helper, no Child and one file more is indexed;
+    then one batch brings the files of P6-P16 and takes the other one away. The edges are those of a full build."""
+    from ..sources.parted import PartedGraph
+    from ..streaming.parted_reindex import update
+
+    files = sources(spark, sf_dir)
+    other = F.replace(F.replace(F.replace("source", F.lit("log("), F.lit("note(")), F.lit("static int twice"), F.lit("static long twice")), F.lit("n += k;"), F.lit("n -= k;"))
+    changes = F.col("file_path").rlike("/b/")
+    first = files.where("file_path not like '%Child.java'").withColumn("source", F.when(changes, other).otherwise(F.col("source")))
+    more = files.where("file_path like '%Helper.java'").select(F.replace("file_path", F.lit("Helper"), F.lit("More")).alias("file_path"), F.replace("source", F.lit("Helper"), F.lit("More")).alias("source"))
+    graph = PartedGraph(spark, _fresh(spark, "parted"), 8)
+    update(graph, first.unionByName(more), budget=BUDGET)
+    update(graph, files.where(changes | F.endswith("file_path", F.lit("Child.java"))), more.select("file_path"), budget=BUDGET)
+    return graph.edges().select("edge_type", "src", "dst")
+
+
 class _LengthEmbedder:
     def embed_batch(self, texts):
         return [[float(len(t)), 1.0] for t in texts]

@@ -579,21 +579,33 @@ def scan(files: DataFrame, budget: int = 512) -> DataFrame:
 class Tables:
     """The tables of a scanned tree: types, chunks, classes, fields, packages, edges (before admission), calls, errors."""
 
-    def __init__(self, scanned: DataFrame):
+    def __init__(self, scanned: DataFrame, others: DataFrame | None = None):
+        """others: rows of further files (name, outer, extends, implements, and methods' name, param_types and return_type of their types
+        are read), against which names and calls are resolved, but which give no rows themselves."""
         scanned = cut(scanned)
         self.errors = scanned.where("error is not null").select("file_path", "error")
-        pkg = F.coalesce("package_name", F.lit(""))
-        fq = lambda name: F.when(F.col("pkg") == "", name).otherwise(F.concat("pkg", F.lit("."), name))
-        self.types = scanned.withColumn("pkg", pkg).select("file_path", "pkg", "imports", F.explode("types").alias("t")).select("*", fq(F.col("t.name")).alias("fq_name")).withColumn("outer_fq", F.when(F.col("t.outer").isNotNull(), fq(F.col("t.outer"))))
+        self.types = self._typed(scanned)
+        self.around = self._typed(others) if others is not None else None
         self.packages = scanned.where("package_name <> ''").select(F.col("package_name").alias("name")).distinct()
-        known = self.types.select("fq_name", F.col("t.name").alias("simple_name"), "pkg").distinct()
-        self.known = known
+        self.known = self._every(lambda types: types.select("fq_name", F.col("t.name").alias("simple_name"), "pkg")).distinct()
+        self.supers = cut(self._supers(self.types))
+        self.every_supers = self.supers if others is None else self.supers.unionByName(self._supers(self.around)).distinct()
         self.classes = cut(self._classes())
         self.fields = self.types.select("fq_name", F.explode("t.fields").alias("f")).select(F.concat("fq_name", F.lit("."), "f.name").alias("fq_name"), F.col("f.name").alias("name"), F.col("f.declaration").alias("declaration"), F.col("f.type").alias("type"), F.col("fq_name").alias("owning_class_fqn"))
         self.methods = cut(self._methods())
         self.calls = cut(self._calls())
         self.chunks = cut(self._chunks())
 
+    @staticmethod
+    def _typed(scanned: DataFrame) -> DataFrame:
+        fq = lambda name: F.when(F.col("pkg") == "", name).otherwise(F.concat("pkg", F.lit("."), name))
+        types = scanned.withColumn("pkg", F.coalesce("package_name", F.lit(""))).select("file_path", "pkg", "imports", F.explode("types").alias("t"))
+        return types.select("*", fq(F.col("t.name")).alias("fq_name")).withColumn("outer_fq", F.when(F.col("t.outer").isNotNull(), fq(F.col("t.outer"))))
+
+    def _every(self, what) -> DataFrame:
+        """What is read of the own types and of those around them."""
+        return what(self.types) if self.around is None else what(self.types).unionByName(what(self.around))
+
     def resolve(self, rows: DataFrame, written: str) -> DataFrame:
         """Adds `resolved` to rows (pkg, imports, written type): an import, the same package, or null. Generics are erased."""
         name = F.regexp_replace(F.regexp_replace(F.col(written), r"<.*>", ""), r"[\[\].]+$", "")
@@ -603,10 +615,11 @@ class Tables:
         own = self.known.select(F.col("fq_name").alias("_want"), F.lit(True).alias("_here")).distinct()
         return marked.join(own, "_want", "left").withColumn("resolved", F.coalesce(F.when(F.col("_here"), F.col("_want")), F.col("_imported"))).drop("_want", "_here", "_imported")
 
+    def _supers(self, types: DataFrame) -> DataFrame:
+        base = types.select("fq_name", "pkg", "imports", F.explode(F.concat(F.transform("t.extends", lambda x: F.struct(F.lit("EXTENDS").alias("kind"), x.alias("written"))), F.transform("t.implements", lambda x: F.struct(F.lit("IMPLEMENTS").alias("kind"), x.alias("written"))))).alias("s"))
+        return self.resolve(base.select("fq_name", "pkg", "imports", "s.kind", "s.written"), "written").select("fq_name", "kind", F.coalesce("resolved", F.regexp_replace("written", r"<.*>", "")).alias("target")).distinct()
+
     def _classes(self) -> DataFrame:
-        base = self.types.select("fq_name", "pkg", "imports", F.explode(F.concat(F.transform("t.extends", lambda x: F.struct(F.lit("EXTENDS").alias("kind"), x.alias("written"))), F.transform("t.implements", lambda x: F.struct(F.lit("IMPLEMENTS").alias("kind"), x.alias("written"))))).alias("s"))
-        supers = self.resolve(base.select("fq_name", "pkg", "imports", "s.kind", "s.written"), "written").select("fq_name", "kind", F.coalesce("resolved", F.regexp_replace("written", r"<.*>", "")).alias("target"))
-        self.supers = supers.distinct()
         pick = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("target"))))
         lists = self.supers.groupBy("fq_name").agg(pick("EXTENDS").alias("extended_types"), pick("IMPLEMENTS").alias("implemented_types"))
         none = F.array().cast("array<string>")
@@ -632,7 +645,7 @@ class Tables:
         takes log n rounds, and a cycle ends as any other graph does, since ways only get shorter.
         """
         own = self.known.select("fq_name", F.col("fq_name").alias("ancestor"), F.lit(0).alias("steps"))
-        ways = cut(self.supers.where("fq_name <> target").select("fq_name", F.col("target").alias("ancestor"), F.lit(1).alias("steps")).distinct())
+        ways = cut(self.every_supers.where("fq_name <> target").select("fq_name", F.col("target").alias("ancestor"), F.lit(1).alias("steps")).distinct())
         size = None
         while True:
             now = ways.agg(F.count("*"), F.sum("steps")).first()
@@ -649,7 +662,10 @@ class Tables:
     def _members(self, sites: DataFrame) -> DataFrame:
         """(owner, name, args, steps, d_id, d_params, d_owner): what each type declares or inherits under the names that sites call, and
         the type that it returns."""
-        m = self.methods.select(F.col("fq_name").alias("ancestor"), F.col("m.name").alias("name"), F.size("m.param_types").alias("args"), F.col("method_id").alias("d_id"), F.col("m.param_types").alias("d_params"), F.col("m.return_type").alias("d_return"), "pkg", "imports")
+        id = F.concat("fq_name", F.lit("#"), "m.name", F.lit("("), F.array_join("m.param_types", ", "), F.lit(")"))
+        declared = lambda types: types.select("fq_name", "pkg", "imports", F.explode("t.methods").alias("m")).select(
+            F.col("fq_name").alias("ancestor"), F.col("m.name").alias("name"), F.size("m.param_types").alias("args"), id.alias("d_id"), F.col("m.param_types").alias("d_params"), F.col("m.return_type").alias("d_return"), "pkg", "imports")
+        m = self._every(declared)
         m = self.resolve(m.join(sites.select("name", "args").distinct(), ["name", "args"], "left_semi"), "d_return").select("ancestor", "name", "args", "d_id", "d_params", F.col("resolved").alias("d_owner"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
         low = self.ancestors.withColumn("salt", F.pmod(F.xxhash64("fq_name"), F.lit(SALTS)).cast("int"))
         return cut(low.join(m, ["ancestor", "salt"]).select(F.col("fq_name").alias("owner"), "name", "args", "steps", "d_id", "d_params", "d_owner").distinct())
