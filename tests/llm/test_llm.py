@@ -294,6 +294,17 @@ def test_importance(spark):
     assert score.where(F.col("score") >= cut).count() == len(kept)
 
 
+def test_importance_draws(spark):
+    """The noise decides on some documents, few of them good: against the k with the largest ratios, without noise."""
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = [r for r in importance.apply(d, labels).collect() if r.log_ratio is not None]
+    drawn = {r.doc_id for r in rows if r.kept}
+    plain = {r.doc_id for r in sorted(rows, key=lambda r: -r.log_ratio)[: len(drawn)]}
+    assert 0.01 <= len(drawn ^ plain) / len(rows) <= 0.1
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    assert len(good & drawn) >= 0.98 * len(good)
+
+
 def brute_importance(texts, good, even, k):
     """Scores and the kept ids, by plain loops; texts: (id, text), good: ids."""
     import math
