@@ -86,7 +86,8 @@ def _steps(edges: DataFrame, types: tuple[str, ...], directed: bool) -> DataFram
 def shortest_paths(edges: DataFrame, source: str, target: str, hops: int = MAX_PATH_HOPS, cap: int = PATHS, directed: bool = True) -> DataFrame:
     """All shortest paths from source to target, `cap` at most in the order of their text: (nodes, edges, length).
 
-    Only steps that lie on a shortest path are followed: those whose distances from the source and to the target add up.
+    Only steps that lie on a shortest path are followed: those whose distances from the source and to the target add up; and of the ways
+    to a node only the `cap` least. So the work is that of the layers' edges, not of the paths, whose number grows with every layer.
     """
     hops = max(1, min(MAX_PATH_HOPS, hops))
     steps = cut(_steps(edges, ("CALLS",) if directed else ("CALLS", "CALLED_BY"), directed))
@@ -101,11 +102,15 @@ def shortest_paths(edges: DataFrame, source: str, target: str, hops: int = MAX_P
     ahead = _reach(steps.select("src", "dst").distinct(), one(source), length).select(F.col("node").alias("src"), F.col("hop").alias("a"))
     onto = steps.join(ahead, "src").join(back, "dst").where(F.col("a") + 1 + F.col("b") == length)
     onto = cut(onto.select("a", "src", "dst", F.struct("src", "dst", F.col("edge_type").alias("rel_type"), "direction").alias("e")))
+    # the text of a path to the target begins with that of its way to any node on it, so a path that isn't among the least `cap` up to a
+    # node is none of the least `cap` in the end: each node of a layer keeps that many, however many ways lead to it
+    text = F.concat_ws("\n", F.array_join("nodes", "\n"), F.to_json("edges"))
+    place = F.row_number().over(Window.partitionBy(F.element_at("nodes", -1)).orderBy(text))
     paths = spark.range(1).select(F.array(F.lit(source)).alias("nodes"), none.alias("edges"))
     for k in range(length):
         grown = paths.join(onto.where(F.col("a") == k), F.element_at("nodes", -1) == F.col("src"))
-        paths = grown.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
-    text = F.concat_ws("\n", F.array_join("nodes", "\n"), F.to_json("edges"))
+        grown = grown.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
+        paths = grown.withColumn("place", place).where(F.col("place") <= cap).drop("place")
     return paths.withColumn("length", F.lit(length)).orderBy(text).limit(cap)
 
 
