@@ -748,4 +748,4 @@ def k5_p17_graph(spark, sf_dir):
     return edges.groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-from . import batches, builds  # noqa: E402, F401  their queries register themselves
+from . import batches, builds, details  # noqa: E402, F401  their queries register themselves
