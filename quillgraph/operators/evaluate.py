@@ -128,6 +128,20 @@ def diff_report(diffs: DataFrame, runs: DataFrame, base_runs: DataFrame) -> dict
     return {"baselineFixtures": out["baseline_fixtures"], "currentFixtures": out["current_fixtures"], "unchanged": out["unchanged"], **lists, "anchorChanges": moved}
 
 
+def diff_lines(diffs: DataFrame, runs: DataFrame, base_runs: DataFrame) -> DataFrame:
+    """K13 of any size: (place, list, what, text) of a diff_report: its counts and the lines of its lists, in order of place and what."""
+    lists = {"REGRESSION": ("regressions", "Regressions"), "WIN": ("wins", "Wins"), "VERIFIER_WIRED": ("verifierWired", "Verifiers wired")}
+    of = lambda i: F.create_map(*(F.lit(x) for k, v in lists.items() for x in (k, v[i])))
+    rank = F.array_position(F.array(*map(F.lit, lists)), F.col("kind")).cast("int")
+    named = diffs.where(F.col("kind") != "UNCHANGED").select((2 * rank).alias("place"), F.element_at(of(0), F.col("kind")).alias("list"), F.concat_ws(" ", F.col("fixture_id").cast("string"), "name").alias("what"), F.element_at(of(1), F.col("kind")).alias("title"))
+    both = runs.select("fixture_id", F.coalesce("anchor", F.lit("none")).alias("a")).join(base_runs.select("fixture_id", F.coalesce("anchor", F.lit("none")).alias("b")), "fixture_id")
+    moved = both.where("a <> b").select(F.lit(8).alias("place"), F.lit("anchorChanges").alias("list"), F.concat("fixture_id", F.lit(": "), "b", F.lit(" -> "), "a").alias("what"), F.lit("Anchor changes").alias("title"))
+    every = named.unionByName(moved)
+    heads = every.groupBy("place", "list", "title").count().select((F.col("place") - 1).alias("place"), "list", F.lit("").alias("what"), F.concat("title", F.lit(" ("), "count", F.lit("):")).alias("text"))
+    first = diff_summary(diffs, runs, base_runs).select(F.lit(0).alias("place"), F.lit("counts").alias("list"), F.concat(F.lit("unchanged "), "unchanged").alias("what"), F.concat(F.lit("Baseline: "), "baseline_fixtures", F.lit(" fixtures, current: "), "current_fixtures", F.lit(", unchanged: "), "unchanged").alias("text"))
+    return first.unionByName(heads).unionByName(every.select("place", "list", "what", F.concat(F.lit("  "), "what").alias("text")))
+
+
 def exit_code(runs: DataFrame, metrics: DataFrame, regressions: DataFrame | None = None, dry_run: bool = False, self_check: bool = False) -> DataFrame:
     """One row (code): 2 if no run retrieved anything, 1 on a failed self-check, an error or a regression, else 0. runs: error, n_retrieved."""
     r = runs.agg(F.bool_or(F.col("error").isNotNull()).alias("any_error"), F.bool_and(F.col("error").isNull() & (F.col("n_retrieved") == 0)).alias("all_empty"))

@@ -215,13 +215,8 @@ def s3_listed_files(spark, sf_dir):
 
 
 def _write_texts(spark, rows: DataFrame, column: str) -> None:
-    """Writes each row as a file of its own; the rows name the files (a bounded number of generated ones)."""
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in rows.collect():
-        path = hadoop(r["file_path"])
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(r[column].encode()))
-        out.close()
+    """Writes each row as a file of its own, where the row is; the rows name the files."""
+    store.write_each(rows, "file_path", column)
 
 
 _FIXTURE = "SELECT s_name AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'retrieval' ELSE 'safeloop' END AS mode, (s_suppkey % 5)::INT AS relevant, CASE WHEN s_suppkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags FROM supplier"
@@ -259,7 +254,7 @@ def s6_listed_fixtures(spark, sf_dir):
     folder = _fresh(spark, "index")
     files = _fixture_files(spark, sf_dir, folder)
     _write_texts(spark, files, "body")
-    names = sorted(r["file_path"].rsplit("/", 1)[1] for r in files.collect())[:5]
+    names = [r["file_path"].rsplit("/", 1)[1] for r in files.select("file_path").orderBy("file_path").limit(5).collect()]
     index = spark.createDataFrame([(f"{folder}/index.txt", "# fixtures\n\n" + "\n".join(names) + "\n")], "file_path string, body string")
     _write_texts(spark, index, "body")
     return _shown_fixtures(evaluation.listed_fixtures(spark, f"{folder}/index.txt"))
@@ -270,8 +265,8 @@ def s7_k11_run_log(spark, sf_dir):
     """A run log is written and read; of runs with one id the last counts."""
     path, e = _fresh(spark, "runs"), table(spark, sf_dir, "events")
     metrics = F.array(F.struct(F.col("event_type").alias("name"), "value", F.lit("PASS").alias("status")))
-    rows = e.orderBy("event_id").select(F.col("user_id").cast("string").alias("fixtureId"), F.lit("retrieval").alias("mode"), metrics.alias("metrics"))
-    store.write_runs(rows.coalesce(1), path)
+    rows = e.select(F.col("user_id").cast("string").alias("fixtureId"), F.lit("retrieval").alias("mode"), metrics.alias("metrics"), "event_id")
+    store.write_runs(rows, path, F.col("event_id"))
     return evaluation.metrics(evaluation.runs(spark, path)).select("fixture_id", "name", "value", "status")
 
 
@@ -400,13 +395,14 @@ UNION ALL SELECT id || ': none -> x', 'anchorChanges', true FROM m WHERE k = 3 U
 """
 )
 def k13_diff_report(spark, sf_dir):
-    """The JSON report of a baseline diff, parsed again; its text form holds the same lines."""
+    """The report of a baseline diff as a table, and as text files that hold the same lines."""
     k = F.col("s_suppkey") % 4
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fixture_id"), F.when(k == 0, "a").otherwise("b").alias("name"), k.alias("k"))
     side = lambda before: s.select("fixture_id", "name", F.when((F.col("k") == 0) & F.lit(not before) | (F.col("k") == 1) & F.lit(before), "FAIL").when((F.col("k") == 2) & F.lit(before), "NOT_RUN").otherwise("PASS").alias("status"), F.lit(1.0).alias("value"))
     runs = lambda before: s.select("fixture_id", F.when((F.col("k") == 3) & F.lit(not before), "x").alias("anchor"))
-    report = evaluate.diff_report(evaluate.baseline_diff(side(False), side(True)), runs(False), runs(True))
-    found, text = json.loads(store.diff_json(report)), store.diff_text(report)
-    rows = [(x, name, f"  {x}\n" in text) for name in ("regressions", "wins", "verifierWired", "anchorChanges") for x in found[name]]
-    rows.append((f"unchanged {found['unchanged']}", "counts", f"unchanged: {found['unchanged']}\n" in text))
-    return spark.createDataFrame(rows, "what string, list string, in_text boolean")
+    lines = evaluate.diff_lines(evaluate.baseline_diff(side(False), side(True)), runs(False), runs(True))
+    path = _fresh(spark, "diff")
+    store.write_diff(lines, path)
+    told = spark.read.text(path).select(F.col("value").alias("text"), F.lit(True).alias("in_text")).distinct()
+    # the first line holds all counts; heads of lists are lines of their own
+    return lines.where("what <> ''").join(told, "text", "left").select("what", "list", F.coalesce("in_text", F.lit(False)).alias("in_text"))

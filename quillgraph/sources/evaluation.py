@@ -34,10 +34,11 @@ def listed_fixtures(spark: SparkSession, index: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """A run log, one JSON object a line; blank lines are skipped; of equal ids the last one in the file counts."""
+    """A run log, one JSON object a line; blank lines are skipped; of equal ids the last one counts: that of the largest sequence where
+    the log has one, else the last in the file."""
     lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("place"))
-    parsed = lines.select("place", F.from_json("value", RUNS).alias("r"))
-    return parsed.groupBy(F.col("r.fixtureId").alias("fixtureId")).agg(F.max_by("r", "place").alias("r")).select("r.*")
+    parsed = lines.select("place", F.from_json("value", RUNS + ", sequence BIGINT").alias("r"))
+    return parsed.groupBy(F.col("r.fixtureId").alias("fixtureId")).agg(F.max_by("r", F.struct("r.sequence", "place")).alias("r")).select("r.*").drop("sequence")
 
 
 def metrics(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt
@@ -151,9 +151,10 @@ def readable_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.concat(F.lit(RULE + "\n"), prompt()).alias("value"))
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """K11."""
-    runs.write.mode("overwrite").json(path)
+def write_runs(runs: DataFrame, path: str, order: Column | None = None) -> None:
+    """One JSON object a line, by as many tasks as there are. order: a whole number that tells which of two runs is the later one;
+    it is written with each run, as files have no order."""
+    (runs if order is None else runs.withColumn("sequence", order.cast("long"))).write.mode("overwrite").json(path)
 
 
 def summary_text(rollup: DataFrame, modes: DataFrame) -> str:
@@ -177,6 +178,12 @@ def diff_json(report: dict) -> str:
     return json.dumps(report, indent=2)
 
 
+def write_diff(lines: DataFrame, path: str) -> None:
+    """K13 of any size: of evaluate.diff_lines, as text files whose names and lines are in the report's order."""
+    order = ["place", "what"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
+
+
 def diff_text(report: dict) -> str:
     """Counts, then each list under its name; empty lists are left out."""
     lines = [f"Baseline: {report['baselineFixtures']} fixtures, current: {report['currentFixtures']}, unchanged: {report['unchanged']}"]
@@ -318,3 +325,29 @@ class PatchApplier:
             return "method not found"
         staged[path] = text.replace(found["code"], op["new_code"].strip() if kind == "replace_method" else "", 1)
         return None
+
+
+def write_each(rows: DataFrame, path: str, text: str) -> int:
+    """Writes the column `text` of each row to the file that its column `path` names, by the tasks that have the rows; gives the number of
+    files. A task that runs again writes the same files again."""
+
+    def write(batches):
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        made = set()
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, where = fs.FileSystem.from_uri(quote(name, safe=":/"))
+                folder = where.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(where) as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    import pyarrow as pa
+
+    return rows.select(path, text).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
