@@ -65,17 +65,24 @@ def missing_context(chunks: DataFrame, edges: DataFrame, wanted: DataFrame, have
     return exact.union(named).union(held).distinct().join(have.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def class_overview(classes: DataFrame, fields: DataFrame, chunks: DataFrame, fq_name: str) -> DataFrame:
-    """One row: the class, its fields by name, its methods (split methods once), the imports of its least method."""
-    c = classes.where(F.col("fq_name") == fq_name)
-    f = fields.where(F.col("owning_class_fqn") == fq_name).agg(F.sort_array(F.collect_list(F.struct("name", "type", "declaration"))).alias("fields"))
+def class_overviews(classes: DataFrame, fields: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each class of wanted (fq_name): the class, its fields by name, its methods (split methods once), the imports of its least
+    method. A class's fields and methods are what one file declares. Names without a class give no row."""
+    own = wanted.select("fq_name").distinct()
+    of = lambda df, name: df.withColumnRenamed(name, "fq_name").join(own, "fq_name", "left_semi")
+    f = of(fields.select("owning_class_fqn", "name", "type", "declaration"), "owning_class_fqn").groupBy("fq_name").agg(F.sort_array(F.collect_list(F.struct("name", "type", "declaration"))).alias("fields"))
     base = F.regexp_replace("chunk_id", r"#part\d+$", "")
-    own = chunks.where(F.col("fq_class_name") == fq_name).groupBy(base.alias("id")).agg(F.min_by(F.struct("method_name", "method_signature", "start_line", "end_line", "imports"), "part_index").alias("m"))
-    m = own.agg(
-        F.sort_array(F.collect_list(F.struct("id", F.col("m.method_name").alias("method_name"), F.col("m.method_signature").alias("method_signature"), F.col("m.start_line").alias("start_line"), F.col("m.end_line").alias("end_line")))).alias("methods"),
-        F.min_by("m.imports", "id").alias("imports"),
-    )
-    return c.join(F.broadcast(f)).join(F.broadcast(m))
+    first = of(chunks, "fq_class_name").groupBy("fq_name", base.alias("id")).agg(F.min_by(F.struct("method_name", "method_signature", "start_line", "end_line", "imports"), "part_index").alias("m"))
+    method = F.struct("id", F.col("m.method_name").alias("method_name"), F.col("m.method_signature").alias("method_signature"), F.col("m.start_line").alias("start_line"), F.col("m.end_line").alias("end_line"))
+    m = first.groupBy("fq_name").agg(F.sort_array(F.collect_list(method)).alias("methods"), F.min_by("m.imports", "id").alias("imports"))
+    found = classes.join(own, "fq_name", "left_semi").join(f, "fq_name", "left").join(m, "fq_name", "left")
+    kinds = {"fields": "array<struct<name:string,type:string,declaration:string>>", "methods": "array<struct<id:string,method_name:string,method_signature:string,start_line:int,end_line:int>>"}
+    return found.withColumns({n: F.coalesce(n, F.array().cast(k)) for n, k in kinds.items()})
+
+
+def class_overview(classes: DataFrame, fields: DataFrame, chunks: DataFrame, fq_name: str) -> DataFrame:
+    """J19 for one class."""
+    return class_overviews(classes, fields, chunks, classes.sparkSession.range(1).select(F.lit(fq_name).alias("fq_name")))
 
 
 def search(chunks: DataFrame, keyword: str) -> DataFrame:

@@ -176,16 +176,13 @@ def j8_j11_stubs(spark, sf_dir):
 )
 def j19_o9_class_overview(spark, sf_dir):
     """Fields and methods of two classes of each package; a split method counts once."""
-    from ..operators.lookup import class_overview
+    from ..operators.lookup import class_overviews
 
     t = _built(spark, sf_dir)
-    chunks, out = boilerplate.drop(t.chunks), None
-    for p in (r["p"] for r in table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("p")).collect()):
-        for name in (f"{p}.b.Helper", f"{p}.c.Child"):
-            one = class_overview(t.classes, t.fields, chunks, name).select(
-                "fq_name", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("fields"), F.array_join(F.array_sort(F.transform("methods", lambda m: m["method_name"])), ",").alias("methods"), F.array_join("imports", ",").alias("imports"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    p = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("p"))
+    wanted = p.select(F.explode(F.array(F.concat("p", F.lit(".b.Helper")), F.concat("p", F.lit(".c.Child")), F.concat("p", F.lit(".no.Such")))).alias("fq_name"))
+    return class_overviews(t.classes, t.fields, boilerplate.drop(t.chunks), wanted).select(
+        "fq_name", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("fields"), F.array_join(F.array_sort(F.transform("methods", lambda m: m["method_name"])), ",").alias("methods"), F.array_join("imports", ",").alias("imports"))
 
 
 # Round trips: what is written is read again
