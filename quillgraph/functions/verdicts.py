@@ -49,10 +49,15 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's argument is not copied into its uses, as a column is, which would parse a response
+    again for every field."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _object(text: Column) -> Column:
     """A variant if the text is a JSON object."""
-    v = F.try_parse_json(text)
-    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+    return _let(F.try_parse_json(text), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def json_object(response: Column, keys: tuple[str, ...]) -> Column:
@@ -146,10 +151,8 @@ def _text_risks(text: Column) -> Column:
 
 def safety_verdict(response: Column) -> Column:
     """L1-L4: struct(safe, confidence, risks, needs, feedback, parsed_from_json). An explicit verdict always wins over a high confidence."""
-    v = json_object(response, SAFETY_KEYS)
-    word = _string(v, "verdict")
-    from_json = F.struct(
-        F.coalesce(F.lower(word) == "safe", F.lower(_string(v, "safe")) == "true", F.lit(False)).alias("safe"),
+    from_json = lambda v: F.struct(
+        F.coalesce(F.lower(_string(v, "verdict")) == "safe", F.lower(_string(v, "safe")) == "true", F.lit(False)).alias("safe"),
         clamp(F.coalesce(_scalar(v, "confidence", "double"), F.lit(0.0)), 0.0, 1.0).alias("confidence"),
         _json_risks(v, "risks", "issues").alias("risks"),
         F.coalesce(F.when(F.size(_texts(v, "needs")) > 0, _texts(v, "needs")), _texts(v, "missing_context"), _empty()).alias("needs"),
@@ -171,13 +174,13 @@ def safety_verdict(response: Column) -> Column:
     empty = F.struct(
         F.lit(False).alias("safe"), F.lit(0.0).alias("confidence"), _empty("array<struct<description:string,severity:string,mitigation:string>>").alias("risks"), _empty().alias("needs"),
         F.lit("Empty analyzer response").alias("feedback"), F.lit(False).alias("parsed_from_json"))
-    return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).when(v.isNotNull(), from_json).otherwise(from_text)
+    parsed = _let(json_object(response, SAFETY_KEYS), lambda v: F.when(v.isNotNull(), from_json(v)))
+    return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).otherwise(F.coalesce(parsed, from_text))
 
 
 def distributed_verdict(response: Column) -> Column:
     """As L1, but only safe, confidence, issues, missing_context and summary count, and text gives safe and confidence at most."""
-    v = json_object(response, ("safe",))
-    from_json = F.struct(
+    from_json = lambda v: F.struct(
         F.coalesce(F.lower(_string(v, "safe")) == "true", F.lit(False)).alias("safe"), clamp(F.coalesce(_scalar(v, "confidence", "double"), F.lit(0.0)), 0.0, 1.0).alias("confidence"),
         _json_risks(v, "issues").alias("issues"), F.coalesce(_texts(v, "missing_context", False), _empty()).alias("missing_context"),
         F.coalesce(_string(v, "summary"), F.lit("")).alias("summary"), F.lit(True).alias("parsed_from_json"))
@@ -187,7 +190,8 @@ def distributed_verdict(response: Column) -> Column:
         clamp(F.coalesce(_found(response, r"(?i)\"?confidence\"?\s*[:=]\s*([0-9]*\.?[0-9]+)").cast("double"), F.lit(0.0)), 0.0, 1.0).alias("confidence"),
         nothing.alias("issues"), _empty().alias("missing_context"), F.lit(summary).alias("summary"), F.lit(False).alias("parsed_from_json"))
     blank = F.coalesce(strip(response), F.lit("")) == ""
-    return F.when(blank, text("Empty analyzer response")).when(v.isNotNull(), from_json).otherwise(text("WARNING: Could not parse JSON from analyzer. Raw text used as fallback."))
+    parsed = _let(json_object(response, ("safe",)), lambda v: F.when(v.isNotNull(), from_json(v)))
+    return F.when(blank, text("Empty analyzer response")).otherwise(F.coalesce(parsed, text("WARNING: Could not parse JSON from analyzer. Raw text used as fallback.")))
 
 
 def verdict_json(verdict: Column) -> Column:
@@ -248,30 +252,28 @@ def _known(v: Column, names: tuple[str, ...]) -> Column:
 
 def refactor_response(response: Column) -> Column:
     """struct(code, explanation, missing_references, breaking_changes, parsed_from_json)."""
-    v = json_object(response, RESPONSE_KEYS)
-    blocks = F.transform(_array(v, "code_blocks"), lambda e: F.when(F.startswith(F.schema_of_variant(e), F.lit("OBJECT")), _string(e, "code")).otherwise(F.try_variant_get(e, "$", "string")))
-    code = F.array_join(F.transform(F.filter(blocks, lambda s: s.isNotNull()), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), "\n\n")
+    blocks = lambda v: F.transform(_array(v, "code_blocks"), lambda e: F.when(F.startswith(F.schema_of_variant(e), F.lit("OBJECT")), _string(e, "code")).otherwise(F.try_variant_get(e, "$", "string")))
+    code = lambda v: F.array_join(F.transform(F.filter(blocks(v), lambda s: s.isNotNull()), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), "\n\n")
     make = lambda c, e, m, b, j: F.struct(c.alias("code"), e.alias("explanation"), m.alias("missing_references"), b.alias("breaking_changes"), F.lit(j).alias("parsed_from_json"))
-    from_json = make(F.coalesce(code, F.lit("")), F.coalesce(_string(v, "explanation"), F.lit("")), F.coalesce(_texts(v, "missing_references"), _empty()), F.coalesce(_texts(v, "breaking_changes"), _empty()), True)
+    from_json = lambda v: make(F.coalesce(code(v), F.lit("")), F.coalesce(_string(v, "explanation"), F.lit("")), F.coalesce(_texts(v, "missing_references"), _empty()), F.coalesce(_texts(v, "breaking_changes"), _empty()), True)
     from_text = make(code_text(response), explanation(response), missing_references(response), breaking_changes(response), False)
     empty = make(F.lit(""), F.lit(""), _empty(), _empty(), False)
-    known = _known(v, ("code_blocks", "explanation", "breaking_changes", "missing_references"))
-    return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).when(v.isNotNull() & known, from_json).otherwise(from_text)
+    fields = ("code_blocks", "explanation", "breaking_changes", "missing_references")
+    parsed = _let(json_object(response, RESPONSE_KEYS), lambda v: F.when(v.isNotNull() & _known(v, fields), from_json(v)))
+    return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).otherwise(F.coalesce(parsed, from_text))
 
 
 def analysis_response(response: Column) -> Column:
     """struct(dependencies, impact, missing_references, parsed_from_json)."""
-    v = json_object(response, RESPONSE_KEYS)
     make = lambda d, i, m, j: F.struct(d.alias("dependencies"), i.alias("impact"), m.alias("missing_references"), F.lit(j).alias("parsed_from_json"))
-    from_json = make(F.coalesce(_texts(v, "dependencies"), _empty()), F.coalesce(_string(v, "impact"), F.lit("")), F.coalesce(_texts(v, "missing_references"), _empty()), True)
-    known = _known(v, ("dependencies", "impact", "missing_references"))
+    from_json = lambda v: make(F.coalesce(_texts(v, "dependencies"), _empty()), F.coalesce(_string(v, "impact"), F.lit("")), F.coalesce(_texts(v, "missing_references"), _empty()), True)
     text = make(_empty(), F.lit(""), missing_references(F.coalesce(response, F.lit(""))), False)
-    return F.when(v.isNotNull() & known, from_json).otherwise(text)
+    fields = ("dependencies", "impact", "missing_references")
+    return F.coalesce(_let(json_object(response, RESPONSE_KEYS), lambda v: F.when(v.isNotNull() & _known(v, fields), from_json(v))), text)
 
 
 def edit_ops(response: Column) -> Column:
     """Array of the edit operations in `ops`; unknown kinds are dropped."""
-    v = json_object(response, ("ops", *RESPONSE_KEYS))
     fields = {
         "replace_method": ("fq_class_name", "method_name", "original_signature", "new_code"), "add_method": ("fq_class_name", "new_code"),
         "delete_method": ("fq_class_name", "method_name", "original_signature"), "add_import": ("file_path", "import_decl"), "create_file": ("rel_path", "content"),
@@ -283,7 +285,7 @@ def edit_ops(response: Column) -> Column:
         own = lambda n: F.when(kind.isin(*(k for k, f in fields.items() if n in f)), F.coalesce(_string(e, n), F.lit("")))
         return F.struct(kind.alias("kind"), *(own(n).alias(n) for n in names))
 
-    return F.filter(F.transform(_array(v, "ops"), one), lambda o: o["kind"].isin(*fields))
+    return F.filter(F.transform(_array(json_object(response, ("ops", *RESPONSE_KEYS)), "ops"), one), lambda o: o["kind"].isin(*fields))
 
 
 def code_blocks(response: Column) -> Column:
