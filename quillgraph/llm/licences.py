@@ -67,14 +67,16 @@ def matched(distinct: DataFrame, templates=TEMPLATES, cosine: float = COSINE) ->
     rows = ", ".join("({}, '{}', '{}')".format(i, n.replace("'", "\\'"), t.replace("'", "\\'").replace("\n", " ")) for i, (n, t) in enumerate(templates))
     fixed = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, text)")
     counted = lambda df, key, text: df.select(*key, F.explode(_terms(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    own = counted(distinct, ["h", "i"], "segment")
+    # nearly all segments hold some terms, so terms are dealt by salts of their segments, and only salts that a term has get its weight
+    own = saved(counted(distinct, ["h", "i"], "segment").withColumn("salt", _salt("h", "i")), "counts")
     known = counted(fixed, ["template", "license"], "text")
     n = distinct.agg(F.count("*").alias("n")).select((F.col("n") + len(templates)).alias("n"))
     df = own.select("term").union(known.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     # one row, a count
     idf = df.join(F.broadcast(n)).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda x: x.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    own, known = saved(weigh(own), "terms"), weigh(known)
+    weigh = lambda x: x.withColumn("w", F.col("tf") * F.col("idf"))
+    dealt = own.select("term", "salt").distinct().join(idf, "term")
+    own, known = saved(weigh(own.join(dealt, ["term", "salt"])).drop("salt"), "terms"), weigh(known.join(idf, "term"))
     norm = own.groupBy("h", "i").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     size = known.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     # templates are a fixed list; a template is one row of its terms, so a segment's term gives one row
