@@ -183,6 +183,11 @@ def embedding_text(class_name: Column, signature: Column, code: Column) -> Colum
     return F.concat(class_name, F.lit(" "), signature, F.lit("\n"), code)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's argument is not copied into its uses, as a column is."""
+    return F.transform(F.array(value), body)[0]
+
+
 def render_path(nodes: Column, edges: Column) -> Column:
     """F16: one line up to four hops, else one line for each edge; no edge is the anchor itself."""
     arrow = lambda e: F.when(e["direction"] == "OUT", F.concat(F.lit(" -["), e["rel_type"], F.lit("]-> "))).otherwise(F.concat(F.lit(" <-["), e["rel_type"], F.lit("]- ")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clamp, strip
+from .text import clamp, let, strip
 
 #: Where a response may hold its JSON object.
 JSON_FENCE = r"(?s)```(?:json)?\s*\n?(\{.*?\})\s*\n?```"
@@ -49,15 +49,9 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once: a lambda's argument is not copied into its uses, as a column is, which would parse a response
-    again for every field."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _object(text: Column) -> Column:
-    """A variant if the text is a JSON object."""
-    return _let(F.try_parse_json(text), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
+    """A variant if the text is a JSON object. It is parsed once for all that is read of it."""
+    return let(F.try_parse_json(text), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def json_object(response: Column, keys: tuple[str, ...]) -> Column:
@@ -174,7 +168,7 @@ def safety_verdict(response: Column) -> Column:
     empty = F.struct(
         F.lit(False).alias("safe"), F.lit(0.0).alias("confidence"), _empty("array<struct<description:string,severity:string,mitigation:string>>").alias("risks"), _empty().alias("needs"),
         F.lit("Empty analyzer response").alias("feedback"), F.lit(False).alias("parsed_from_json"))
-    parsed = _let(json_object(response, SAFETY_KEYS), lambda v: F.when(v.isNotNull(), from_json(v)))
+    parsed = let(json_object(response, SAFETY_KEYS), lambda v: F.when(v.isNotNull(), from_json(v)))
     return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).otherwise(F.coalesce(parsed, from_text))
 
 
@@ -190,7 +184,7 @@ def distributed_verdict(response: Column) -> Column:
         clamp(F.coalesce(_found(response, r"(?i)\"?confidence\"?\s*[:=]\s*([0-9]*\.?[0-9]+)").cast("double"), F.lit(0.0)), 0.0, 1.0).alias("confidence"),
         nothing.alias("issues"), _empty().alias("missing_context"), F.lit(summary).alias("summary"), F.lit(False).alias("parsed_from_json"))
     blank = F.coalesce(strip(response), F.lit("")) == ""
-    parsed = _let(json_object(response, ("safe",)), lambda v: F.when(v.isNotNull(), from_json(v)))
+    parsed = let(json_object(response, ("safe",)), lambda v: F.when(v.isNotNull(), from_json(v)))
     return F.when(blank, text("Empty analyzer response")).otherwise(F.coalesce(parsed, text("WARNING: Could not parse JSON from analyzer. Raw text used as fallback.")))
 
 
@@ -259,7 +253,7 @@ def refactor_response(response: Column) -> Column:
     from_text = make(code_text(response), explanation(response), missing_references(response), breaking_changes(response), False)
     empty = make(F.lit(""), F.lit(""), _empty(), _empty(), False)
     fields = ("code_blocks", "explanation", "breaking_changes", "missing_references")
-    parsed = _let(json_object(response, RESPONSE_KEYS), lambda v: F.when(v.isNotNull() & _known(v, fields), from_json(v)))
+    parsed = let(json_object(response, RESPONSE_KEYS), lambda v: F.when(v.isNotNull() & _known(v, fields), from_json(v)))
     return F.when(F.coalesce(strip(response), F.lit("")) == "", empty).otherwise(F.coalesce(parsed, from_text))
 
 
@@ -269,7 +263,7 @@ def analysis_response(response: Column) -> Column:
     from_json = lambda v: make(F.coalesce(_texts(v, "dependencies"), _empty()), F.coalesce(_string(v, "impact"), F.lit("")), F.coalesce(_texts(v, "missing_references"), _empty()), True)
     text = make(_empty(), F.lit(""), missing_references(F.coalesce(response, F.lit(""))), False)
     fields = ("dependencies", "impact", "missing_references")
-    return F.coalesce(_let(json_object(response, RESPONSE_KEYS), lambda v: F.when(v.isNotNull() & _known(v, fields), from_json(v))), text)
+    return F.coalesce(let(json_object(response, RESPONSE_KEYS), lambda v: F.when(v.isNotNull() & _known(v, fields), from_json(v))), text)
 
 
 def edit_ops(response: Column) -> Column:

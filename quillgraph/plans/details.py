@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import boilerplate, edges as admission, lookup, retrieval
+from ..operators import boilerplate, edges as admission, keyword_index, lookup, retrieval
+from ..sources.parted import PartedGraph
 from ..sources.store import GraphStore
 from ..sources.tables import shared_path
 from . import demo
@@ -102,3 +103,14 @@ def k8_clean(spark, sf_dir):
     before = store.read("edges").count()
     store.clean()
     return spark.createDataFrame([(before, store.exists("edges"), len(store.manifests()))], "before long, exists_after boolean, files_after long")
+
+
+@query("SELECT k AS keyword, doc_id FROM documents, (VALUES ('license'), ('e t'), ('the'), ('no such words')) t(k) WHERE contains(lower(text), k) OR contains(lower(source), k) OR contains(lower(lang), k) OR contains('src.' || lower(source) || '#' || doc_id, k)")
+def w7_keyword_index(spark, sf_dir):
+    """Documents as chunks of types that their sources name; half of them are filed first, then all of each source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("method_name"), F.col("lang").alias("class_name"), F.col("text").alias("code"), F.concat(F.lit("src."), F.coalesce("source", F.lit("")), F.lit("#"), "doc_id").alias("chunk_id"))
+    graph = PartedGraph(spark, shared_path(spark, "grams"), 16)
+    keyword_index.put(graph, d.where("doc_id % 2 = 0"))
+    keyword_index.put(graph, d)
+    found = [keyword_index.search(graph, d, k).select(F.lit(k.lower()).alias("keyword"), "doc_id") for k in ("LICENSE", "e t", "The", "no such words")]
+    return found[0].union(found[1]).union(found[2]).union(found[3])

@@ -34,7 +34,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = LOCAL_SHARED
         spark.conf.set("spark.checkpoint.dir", folder)
