@@ -4,8 +4,8 @@ A source with target t and s words in all takes every document floor(t / s) time
 probability t / s - floor(t / s), balanced on two totals, documents and words. The flight phase moves the probabilities of three
 documents at a time along the null space of their two constraints until one is 0 or 1. It runs in blocks of a source (hot sources
 have many), then on what the blocks left, and so on until a source is one block. There HELD documents, spread over the sizes, sit the
-flight out; with the two at most that it leaves they are the landing problem, solved by trying all their subsets for the least
-imbalance of words, then of documents.
+flight out; with the two at most that it leaves they are the landing problem, solved by trying all their subsets: of those
+that miss the documents' total by less than one, the one with the least imbalance of words.
 
 Edge cases: null text has size 0; null is a source of its own, the last; documents of size 0 take 0 words whatever is drawn; a
 source without words has target 0; repeated rows are drawn one by one; an empty table gives an empty table; only the named
@@ -68,8 +68,8 @@ def fly(sizes: np.ndarray, probabilities: np.ndarray, rng, land: bool) -> np.nda
     if land and (last := np.r_[held, np.array(window, dtype=int)]).size:
         subsets = np.arange(1 << len(last))[:, None] >> np.arange(len(last)) & 1
         words, docs = subsets @ sizes[last] - p[last] @ sizes[last], subsets.sum(axis=1) - p[last].sum()
-        cost = np.abs(words) + 1e-3 * max(1.0, float(sizes[last].mean())) * np.abs(docs)
-        p[last] = subsets[cost.argmin()]
+        docs = np.abs(docs)
+        p[last] = subsets[np.lexsort((docs, np.abs(words), docs > 1 - _NEAR))[0]]
     return p
 
 
