@@ -89,6 +89,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hot_level(total: int, most: int = 10_000, least: int = 250) -> int:
+    """Keys with more rows than this are hot: fewer than `most` of a table of `total` rows, so that a list of them may be broadcast."""
+    return max(least, -(-total // most))
+
+
+def _parts(n: str, level: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(n), F.lit(1)) / level)).cast("int")
+
+
+def dealt(df: DataFrame, n: str, level: int, by: str) -> DataFrame:
+    """Adds `salt`: rows of a key that has n of them (null: few) are dealt by the hash of `by` to parts of about level rows."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), _parts(n, level)).cast("int"))
+
+
+def copied(df: DataFrame, n: str, level: int) -> DataFrame:
+    """Adds `salt`: the one row of a key is copied to all parts that dealt() makes of the key."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), _parts(n, level) - 1)))
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `rank`, from 0, in a total order of all rows, without one task that sees them all."""
     from pyspark.sql import Window

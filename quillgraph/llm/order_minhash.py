@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import saved, ship, shuffle_width
+from .base import copied, dealt, hot_level, saved, ship, shuffle_width
 from .components import components
 
 K, SIMILARITY = 5, 0.8
@@ -260,10 +260,13 @@ def _verified(frames):
 
 
 def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose words align."""
-    one = pairs.join(codes.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a")
-    two = one.join(codes.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b")
-    return two.select("a", "b", "ca", "cb").mapInPandas(_verified, "a long, b long")
+    """Pairs (a, b) of a written table whose words align. The centre of a large star may be in a third of all pairs: both ends are dealt."""
+    level, out = hot_level(pairs.count()), pairs
+    for end, other in ("ab", "ba"):
+        hot = saved(pairs.groupBy(end).agg(F.count("*").alias("k")).where(F.col("k") > level), "stars")
+        own = codes.select(F.col("id").alias(end), F.col("codes").alias(f"c{end}")).join(F.broadcast(hot), end, "left")
+        out = dealt(out.join(F.broadcast(hot), end, "left"), "k", level, other).drop("k").join(copied(own, "k", level).drop("k"), [end, "salt"]).drop("salt")
+    return out.select("a", "b", "ca", "cb").mapInPandas(_verified, "a long, b long")
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -285,28 +288,31 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     own = every.where("n > 0")
     reps = own.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     buckets = saved(reps.select(F.posexplode("sketch").alias("t", "s"), "id", "n"), "buckets")
-    sizes = buckets.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    shared = saved(buckets.join(sizes, "s"), "shared")
+    sizes = saved(buckets.groupBy("s").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+    # a bucket may hold a third of all texts: those over the level, which are few, are dealt by salts in every join on s
+    level = hot_level(buckets.count())
+    hot = F.broadcast(sizes.where(F.col("k") > level))
+    shared = saved(dealt(buckets.join(hot, "s", "left"), "k", level, "id").drop("k").join(copied(sizes, "k", level), ["s", "salt"]).drop("salt"), "shared")
     popular = shared.groupBy("id").agg(F.sum("k").alias("p"))
     ranked = shared.join(popular, "id")
-    centres = ranked.groupBy("s").agg(F.max(F.struct("p", (-F.col("id")).alias("i"), "n")).alias("c")).select("s", (-F.col("c.i")).alias("cid"), F.col("c.n").alias("cn"))
-    members = saved(shared.drop("k").join(centres, "s"), "members")
+    centres = ranked.groupBy("s", "k").agg(F.max(F.struct("p", (-F.col("id")).alias("i"), "n")).alias("c")).select("s", "k", (-F.col("c.i")).alias("cid"), F.col("c.n").alias("cn"))
+    members = saved(dealt(shared, "k", level, "id").join(copied(centres, "k", level).drop("k"), ["s", "salt"]).drop("salt"), "members")
     first = saved(members.where("id <> cid").where(_near("n", "cn")).select(F.col("cid").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = members.select("id").distinct()
     codes = saved(source.join(involved, "id").mapInPandas(_codes, "id long, codes binary").dropDuplicates(["id", "codes"]), "codes")
     links = saved(_verify(first, codes), "links")
     joined = saved(components(links), "joined")
-    placed = members.join(joined, members["id"] == joined["node"], "left").select("s", "t", "id", "n", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("s", "k")
-    rest = saved(placed.join(split, "s"), "split")
+    placed = members.join(joined, members["id"] == joined["node"], "left").select("s", "t", "id", "n", "k", F.coalesce("component", "id").alias("c"))
+    split = placed.groupBy("s", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s", "k")
+    rest = saved(dealt(placed, "k", level, "id").join(copied(split, "k", level).drop("k"), ["s", "salt"]).drop("salt"), "split")
     crowd = rest.where(F.col("k") > SMALL)
     # of buckets with the same texts one is enough, that of the first table; equal sets are told by 128 bits
     alike = crowd.groupBy("s", "t").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("k"))
-    alike = alike.groupBy("x", "y", "k").agg(F.min(F.struct("t", "s")).alias("m")).select("m.s", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    alike = alike.groupBy("x", "y", "k").agg(F.min(F.struct("t", "s")).alias("m")).select("m.s", "k", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     # dealt by id: the texts of one crowd lie together in `codes`
     texts = codes.join(crowd.select("id", "n", "c").distinct(), "id").join(reps.select("id", "sketch"), "id").repartition(shuffle_width(docs.sparkSession), "id")
     bags = saved(texts.mapInPandas(_bags, "id long, n int, c long, sketch array<long>, bag binary"), "bags")
-    met = crowd.select("s", "t", "id").join(alike, "s").join(bags, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = dealt(crowd.select("s", "t", "id", "k"), "k", level, "id").join(copied(alike, "k", level).drop("k"), ["s", "salt"]).drop("k", "salt").join(bags, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     possible = met.groupBy("s", "t", "i", "j").applyInPandas(_possible, "a long, b long")
     second = _across(rest.where(F.col("k") <= SMALL)).union(possible).distinct().join(first, ["a", "b"], "left_anti")
@@ -315,9 +321,9 @@ def apply(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     # a digest may be that of a third of all rows: it is dealt by salts, and only salts that it has are joined to it
     rows = own.groupBy("d1", "d2", "id").agg(F.count("*").alias("copies")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     least = own.groupBy("d1", "d2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).agg(F.min("id").alias("least"))
-    least = least.join(least.groupBy("d1", "d2").agg(F.min("least").alias("rep")), ["d1", "d2"]).drop("least")
-    found = rows.join(least, ["d1", "d2", "salt"]).select("id", "copies", "rep")
-    grouped = found.join(final, found["rep"] == final["node"], "left").select("id", F.coalesce("component", "rep").alias("group_id"), F.col("rep").alias("copy_of"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    rep = least.groupBy("d1", "d2").agg(F.min("least").alias("rep")).join(final, F.col("rep") == final["node"], "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("group_id"))
+    found = rows.join(least.drop("least").join(rep, ["d1", "d2"]), ["d1", "d2", "salt"])
+    grouped = found.select("id", "group_id", F.col("rep").alias("copy_of"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     alone = every.where("n = 0").select("id").union(source.where("id is null").select("id")).select("id", F.col("id").alias("group_id"), F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("copy"))
     kept = F.coalesce(F.col("id") == F.col("group_id"), F.lit(True)) & (F.col("copy") == 1)
     return grouped.union(alone).select(F.col("id").alias(id), "group_id", "copy_of", kept.alias("kept"))

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgraph.llm import html_extract, huffman, importance, licence_texts, licences, mixing, order_minhash, packing, quality_rules, queries, tokens, url_lm, vector_graph
-from quillgraph.llm.base import kth_largest, ranked
+from quillgraph.llm.base import copied, dealt, hot_level, kth_largest, ranked
 from quillgraph.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +66,19 @@ def test_kth_and_rank(spark):
     assert [r["rank"] for r in ranked(df, [F.col("v")], "t").orderBy("rank").collect()] == list(range(3002))
 
 
+def test_hot_keys_are_dealt(spark):
+    rows = spark.range(2000).select(F.col("id"), F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("s"), F.lit("row").alias("x"))
+    facts = rows.groupBy("s").agg(F.count("*").alias("k"))
+    level = hot_level(2000)
+    hot = facts.where(F.col("k") > level)
+    left = dealt(rows.join(hot, "s", "left"), "k", level, "id").drop("k")
+    assert (level, hot.count(), left.where("s = 1").select("salt").distinct().count(), left.where("s <> 1 and salt <> 0").count()) == (250, 1, 4, 0)
+    assert left.groupBy("s", "salt").count().agg(F.max("count")).first()[0] <= 1.3 * level
+    got = left.join(copied(facts, "k", level), ["s", "salt"])
+    assert sorted(got.select("id", "s", "k").collect()) == sorted(rows.join(facts, "s").select("id", "s", "k").collect())
+    assert hot_level(10**9) == 100_000
+
+
 # 1
 
 
@@ -98,6 +111,8 @@ def test_mixing(spark, documents):
     for own in by.values():
         assert sum(r["size"] for r in own) == own[0].source_size
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
+        # the second total of the cube method: documents
+        assert abs(sum(r.copies for r in own) - len(own) * own[0].target / own[0].source_size) < 1
     odd = mixing.apply(docs(spark, [None, "", "  ", "a b", "a b", "w " * 5000], [None, None, "x", "x", "x", "y"])).collect()
     assert sorted(r["size"] for r in odd) == [0, 0, 0, 2, 2, 5000]
     assert mixing.apply(docs(spark, [])).count() == 0
@@ -109,6 +124,8 @@ def test_flight_keeps_totals():
     p = np.full(400, 0.37)
     out = mixing.fly(sizes, p, rng, False)
     assert ((out > 0) & (out < 1)).sum() <= 2 and out @ sizes == pytest.approx(p @ sizes) and out.sum() == pytest.approx(p.sum())
+    landed = mixing.fly(sizes, p, rng, True)
+    assert set(landed) <= {0.0, 1.0} and abs(landed.sum() - p.sum()) < 1 and abs(landed @ sizes - p @ sizes) < 5
     draws = np.mean([mixing.fly(sizes[:30], p[:30], np.random.Generator(np.random.PCG64(i)), True) for i in range(400)], axis=0)
     assert abs(draws.mean() - 0.37) < 0.05
 
