@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import boilerplate, edges as admission, keyword_index, lookup, retrieval
+from ..operators import boilerplate, edges as admission, keyword_index, lookup, prompts, retrieval
 from ..sources.parted import PartedGraph
 from ..sources.store import GraphStore
 from ..sources.tables import shared_path
 from . import demo
 from .demo import table
 from .registry import _PATHS, _SELECTED, _anchor, query, v11_hybrid_retrieval
+from .tools import RESPONSE_SCHEMAS
 
 #: By s_suppkey % 5: the methods of a class with their first statement and number of statements.
 _METHODS = [[], [("getX", "return", 1)], [("getX", "return", 1), ("work", "other", 2)], [("<init>", "assign", 1)], [("toString", "other", 3), ("setX", "assign", 1)]]
@@ -114,3 +115,41 @@ def w7_keyword_index(spark, sf_dir):
     keyword_index.put(graph, d)
     found = [keyword_index.search(graph, d, k).select(F.lit(k.lower()).alias("keyword"), "doc_id") for k in ("LICENSE", "e t", "The", "no such words")]
     return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+_PROMPT_KINDS = list(prompts.ASKS)
+_PROMPT_SCHEMAS = ["refactor", "patch_plan", "analysis", "safety_check", "self_review"]
+
+
+@query(
+    f"""SELECT * FROM (WITH s AS (SELECT *, split_part(fq, '.', 2) || '.m' || vec_id AS name, 'void m' || vec_id || '()' AS sig FROM e),
+c AS (SELECT a.chunk_id, list_sort(list(DISTINCT z.name)) AS names FROM calls x JOIN s a ON a.chunk_id = x.src JOIN s z ON z.chunk_id = x.dst GROUP BY ALL),
+b AS (SELECT a.chunk_id, list_sort(list(DISTINCT z.name)) AS names FROM calls x JOIN s a ON a.chunk_id = x.dst JOIN s z ON z.chunk_id = x.src GROUP BY ALL),
+g AS (SELECT i AS position, s.*, coalesce(c.names, []) AS outs, coalesce(b.names, []) AS ins, s.vec_id - i AS conv_id, '[' || s.name || CASE WHEN i = 0 THEN ' (target)' ELSE '' END || ']' || chr(10) AS title FROM s LEFT JOIN c USING (chunk_id) LEFT JOIN b USING (chunk_id), range(3) r(i)),
+t AS (SELECT conv_id,
+  string_agg(title || 'File: ' || split_part(fq, '.', 1) || '/' || split_part(fq, '.', 2) || '.java' || chr(10) || 'Signature: ' || sig || chr(10) || CASE WHEN vec_id % 2 = 0 THEN 'Annotations: Override, Deprecated' || chr(10) ELSE '' END || CASE WHEN position = 2 THEN '(body left out)' || chr(10) || chr(10) ELSE '```java' || chr(10) || sig || chr(10) || '```' || chr(10) || chr(10) END, '' ORDER BY position) AS code,
+  string_agg(array_to_string(list_transform(outs, lambda o: '- ' || name || ' calls ' || o || chr(10)), '') || array_to_string(list_transform(ins, lambda o: '- ' || name || ' is called by ' || o || chr(10)), ''), '' ORDER BY position) AS relations,
+  string_agg(title || 'Signature: ' || sig || chr(10) || CASE WHEN len(outs) > 0 THEN 'Calls: ' || array_to_string(outs, ', ') || chr(10) ELSE '' END || CASE WHEN len(ins) > 0 THEN 'Called by: ' || array_to_string(ins, ', ') || chr(10) ELSE '' END || chr(10), '' ORDER BY position) AS signatures,
+  string_agg(CASE WHEN len(ins) > 0 THEN '- ' || name || ' is called by ' || array_to_string(ins, ', ') || chr(10) ELSE '' END, '' ORDER BY position) AS callers FROM g GROUP BY conv_id),
+k(i, kind, ask, fields) AS (VALUES {", ".join(f"({i}, '{k}', '{prompts.ASKS[k]}', '{RESPONSE_SCHEMAS[n]}')" for i, (k, n) in enumerate(zip(_PROMPT_KINDS, _PROMPT_SCHEMAS, strict=True)))})
+SELECT v.conv_id, v.turn, kind, 'Task:' || chr(10) || coalesce(v.text, '') || chr(10) || chr(10) || ask || chr(10) || chr(10)
+  || CASE WHEN i >= 3 THEN 'Proposed changes:' || chr(10) || coalesce(v.role, '') || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN i = 3 AND v.turn % 2 = 0 THEN 'Facts, found by parsing:' || chr(10) || 'turn ' || v.turn || chr(10) || chr(10) ELSE '' END
+  || CASE i WHEN 2 THEN coalesce(signatures, '') WHEN 3 THEN 'Callers:' || chr(10) || coalesce(callers, '') || chr(10) ELSE coalesce(code, '') END
+  || CASE WHEN i < 2 THEN 'Relations:' || chr(10) || CASE WHEN coalesce(relations, '') = '' THEN '- none' || chr(10) ELSE relations END || chr(10) ELSE '' END
+  || 'Answer with one JSON object of these fields: ' || fields AS prompt
+FROM conversations v JOIN k ON k.i = (v.conv_id + v.turn) % 5 LEFT JOIN t ON t.conv_id = v.conv_id)""",
+    True,
+)
+def l16_prompts(spark, sf_dir):
+    """A prompt for each turn of a conversation, its text the task; four methods are chosen for each, of which three are shown, the third without its body."""
+    n, none = F.col("conv_id") + F.col("turn"), F.array().cast("array<string>")
+    turns = table(spark, sf_dir, "conversations").withColumn("request_id", F.concat("conv_id", F.lit("/"), "turn"))
+    requests = turns.select("request_id", "conv_id", "turn", F.get(F.array(*map(F.lit, _PROMPT_KINDS)), (n % 5).cast("int")).alias("kind"), F.col("text").alias("task"), F.col("role").alias("changes"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("turn "), "turn")).alias("report"))
+    c, calls = demo.chunks(spark, sf_dir), demo.edges(spark, sf_dir).where("edge_type = 'CALLS'")
+    ends = lambda own, other, name: calls.groupBy(F.col(own).alias("chunk_id")).agg(F.array_sort(F.collect_set(other), lambda a, b: F.when(T.short_name(a) < T.short_name(b), -1).when(T.short_name(a) > T.short_name(b), 1).otherwise(0)).alias(name))
+    full = c.withColumns({"method_signature": F.col("code"), "method_annotations": F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("Override"), F.lit("Deprecated"))).otherwise(none)})
+    full = full.join(ends("src", "dst", "calls"), "chunk_id", "left").join(ends("dst", "src", "called_by"), "chunk_id", "left")
+    asked = turns.select("request_id", "conv_id").distinct().withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    chosen = asked.join(c.select("chunk_id", "vec_id"), F.col("conv_id") + F.col("position") == F.col("vec_id")).select("request_id", "chunk_id", "position", (F.col("position") == 0).alias("is_anchor"), (F.col("position") == 2).alias("topology_only"))
+    return prompts.build(requests, chosen, full, RESPONSE_SCHEMAS, 3).select("conv_id", "turn", "kind", "prompt")
