@@ -329,7 +329,9 @@ class PatchApplier:
 
 def write_each(rows: DataFrame, path: str, text: str) -> int:
     """Writes the column `text` of each row to the file that its column `path` names, by the tasks that have the rows; gives the number of
-    files. A task that runs again writes the same files again."""
+    files. A path without a scheme is of the session's default file system, as it is for Spark's readers. A task that runs again writes the
+    same files again."""
+    base = rows.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
 
     def write(batches):
         from urllib.parse import quote
@@ -339,7 +341,8 @@ def write_each(rows: DataFrame, path: str, text: str) -> int:
         made = set()
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, where = fs.FileSystem.from_uri(quote(name, safe=":/"))
+                # a name without a scheme would be taken as it is quoted
+                store, where = fs.FileSystem.from_uri(quote(name if re.match("[A-Za-z][A-Za-z0-9+.-]*:", name) else (f"{base}//{name}" if base == "file:" else base + name), safe=":/"))
                 folder = where.rsplit("/", 1)[0]
                 if folder not in made:
                     store.create_dir(folder, recursive=True)

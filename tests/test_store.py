@@ -205,3 +205,13 @@ def test_slots(k, want):
     from quillgraph.operators.retrieval import slots
 
     assert tuple(slots(k, True).values()) == want
+
+
+def test_files_of_plain_paths_keep_their_names(spark, tmp_path):
+    """A path without a scheme is written under the name that it has, whatever its characters, as one with a scheme is."""
+    names = ["S#1.json", "a b%23.json", "ü?.json"]
+    for head in ("", "file:", "file://"):
+        folder = f"{head}{tmp_path}/to{len(head)}"
+        rows = spark.createDataFrame([(f"{folder}/{n}", n) for n in names], "file_path string, body string")
+        assert store.write_each(rows, "file_path", "body") == 3
+        assert sorted(os.listdir(f"{tmp_path}/to{len(head)}")) == sorted(names)
