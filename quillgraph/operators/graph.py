@@ -220,8 +220,21 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame, methods: DataFrame, dept
 
 
 def coverage(edges: DataFrame, anchors: DataFrame, methods: DataFrame, retrieved: DataFrame, caller_depth: int, callee_depth: int, most: int) -> DataFrame:
-    """What the expansions (both undirected) and the siblings hold beyond `retrieved` (chunk_id), `most` at most."""
-    found = expand(edges, anchors, max(caller_depth, callee_depth), methods).unionByName(siblings(edges, anchors).withColumn("hop", F.lit(1)))
+    """What the expansions (both undirected) and the siblings hold beyond `retrieved` (chunk_id), `most` at most.
+
+    Only a node's least hop from any anchor counts, so one walk starts from all of them: rows are nodes, not pairs of anchor and node."""
+    pairs = both_ways(by_type(edges, *NEIGHBOUR_TYPES)).select("src", "dst")
+    seen = front = cut(anchors.select(F.col("anchor").alias("node")).distinct().withColumn("hop", F.lit(0)))
+    own = by_type(edges, "BELONGS_TO")
+    start = front.select(F.col("node").alias("src"), F.lit(True).alias("is_anchor"))
+    owners = own.join(start, "src").groupBy("dst").agg(F.count_distinct("src").alias("n"))
+    # an anchor is beside another one only
+    beside = own.join(owners, "dst").join(start, "src", "left").where("is_anchor is null or n > 1").select(F.col("src").alias("node")).distinct().withColumn("hop", F.lit(1))
+    for k in range(1, max(caller_depth, callee_depth) + 1):
+        step = pairs.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = cut(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(k)))
+        seen = seen.unionByName(front)
+    found = seen.join(methods.select(F.col("chunk_id").alias("node")), "node", "left_semi").unionByName(beside)
     found = found.groupBy("node").agg(F.min("hop").alias("hop")).where("hop > 0")
     return found.join(retrieved.select(F.col("chunk_id").alias("node")), "node", "left_anti").orderBy("hop", "node").limit(most)
 
