@@ -825,3 +825,24 @@ def test_stages_of_odd_tables(spark):
     for name, stage in p.STAGES:
         out = stage(spark, d.limit(0), SF)
         assert out.count() == 0 and (name == "packing" or out.columns == p.COLUMNS)
+
+
+def test_url_models_of_every_labelled_url(spark):
+    """Over 5,000 urls of each kind: models, threshold and verdicts are those of the models in memory, fitted on all of them."""
+    good, bad = [f"s{i % 97}.com/{i * 7919}/story" for i in range(6000)], [f"x{i % 89}.net/fr/{i * 104729}" for i in range(6000)]
+    asked = ["a.org/1/story", "b.biz/fr/104729", "x5.org/fr/23", "é.org/"]
+    df = spark.createDataFrame(list(enumerate(f"http://{t}" for t in good + bad + asked)), "page_id long, url string")
+    verdict = url_lm.rule_verdict(url_lm.host(F.col("url")), url_lm.path(F.col("url")))
+    rows = url_lm.labelled(df, verdict, "url").withColumn("held", F.pmod(F.xxhash64("t"), F.lit(url_lm.HOLD)) == 0).collect()
+    assert len(rows) == 12_000
+    of = lambda v, held: [r.t for r in rows if r.v == v and r.held is held]
+    models = [url_lm.Markov(of(v, False)) for v in ("allow", "block")]
+    score = lambda t: (models[0].log_likelihood(t) - models[1].log_likelihood(t)) / (len(t) + 1)
+    out = {r.host + r.path: r for r in url_lm.apply(df).collect()}
+    assert len(out) == 12_004
+    for t in asked + good[::500] + bad[::500]:
+        assert out[t].score == pytest.approx(score(t), abs=1e-8), t
+    held = spark.createDataFrame([(float(i % 50), "allow") for i in range(1000)] + [(float(i % 40 - 20), "block") for i in range(1000)], "score double, v string")
+    lists = [[r.score for r in held.where(F.col("v") == v).collect()] for v in ("allow", "block")]
+    assert url_lm.threshold(held) == url_lm.Ratio._meet(*lists)
+    assert url_lm.threshold(held.withColumn("score", F.lit(1.0))) == 0.0
