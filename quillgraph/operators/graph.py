@@ -13,6 +13,8 @@ NEIGHBOUR_TYPES = ("CALLS", "CALLED_BY", "BELONGS_TO")
 MAX_PATH_HOPS, MAX_EXPANSION, MAX_CHAIN, PATHS = 6, 3, 4, 3
 #: Hops that one plan holds.
 PLANNED = 2
+#: Rows of each side that are paired at once, and pairs that one task makes; as many tasks as that takes, up to MOST_TASKS.
+BLOCK, TASK_PAIRS, MOST_TASKS = 2000, 20_000_000, 10_000
 
 
 def by_type(edges: DataFrame, *types: str) -> DataFrame:
@@ -48,11 +50,68 @@ def _reach(pairs: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
     return seen.groupBy("anchor", "node").agg(F.min("hop").alias("hop")) if depth <= PLANNED else seen
 
 
+def _owned(rows: DataFrame, id: str, name: str) -> DataFrame:
+    """(id, owner, name) of rows (id, owner), each once; name: all owners of the id if there are several, else null."""
+    every = rows.groupBy(id).agg(F.sort_array(F.collect_set("owner")).alias("_every"))
+    return every.select(id, F.explode("_every").alias("owner"), F.when(F.size("_every") > 1, F.col("_every")).alias(name))
+
+
+def _members(edges: DataFrame) -> DataFrame:
+    """(node, owner) of BELONGS_TO."""
+    return by_type(edges, "BELONGS_TO").select(F.col("src").alias("node"), F.col("dst").alias("owner"))
+
+
+def crossed(left: DataFrame, right: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """(anchor, node): pairs of left (anchor, owner) and right (node, owner) with an owner in common, each once, without those of inside
+    (anchor, node) and without a node itself.
+
+    Pairs are made where they stay: no shuffle, sort or aggregation holds them. Rows of large owners are dealt to blocks, and each pair of
+    blocks is a key of the join, so neither side nor the pairs of one owner are one task. Of several common owners the least makes the pair.
+    """
+    spark = left.sparkSession
+    left, right = cut(_owned(left, "anchor", "hubs")), cut(_owned(right, "node", "owners"))
+    sizes = cut(left.groupBy("owner").agg(F.count("*").alias("m")).join(right.groupBy("owner").agg(F.count("*").alias("n")), "owner"))
+    pairs = sizes.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // TASK_PAIRS))
+    # fewer than the rows of both sides / BLOCK
+    large = F.broadcast(sizes.where((F.col("m") > BLOCK) | (F.col("n") > BLOCK)).select("owner", F.ceil(F.col("m") / BLOCK).cast("int").alias("m"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
+    blocks = lambda n: F.coalesce(F.col(n), F.lit(1))
+    block = lambda id, n: F.pmod(F.xxhash64(id), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    keys = ["owner", "a", "b"]
+    dealt_left = left.join(large, "owner", "left").select("anchor", "hubs", "owner", block("anchor", "m").alias("a"), every("n").alias("b"))
+    dealt_right = right.join(large, "owner", "left").withColumn("b", block("node", "n"))
+    if inside is not None:
+        # at most the nodes of a block
+        met = inside.select("anchor", "node").join(dealt_right.select("node", "owner", "b"), "node").join(left.select("anchor", "owner"), ["anchor", "owner"])
+        dealt_left = dealt_left.join(met.groupBy("anchor", "owner", "b").agg(F.collect_set("node").alias("met")), ["anchor", "owner", "b"], "left")
+    dealt_right = dealt_right.select("node", "owners", "owner", every("m").alias("a"), "b")
+    # a broadcast would hold all blocks of a side
+    found = dealt_left.repartition(tasks, *keys).join(dealt_right.repartition(tasks, *keys).hint("merge"), keys)
+    once = F.col("hubs").isNull() | F.col("owners").isNull() | (F.array_min(F.array_intersect("hubs", "owners")) == F.col("owner"))
+    found = found.where((F.col("anchor") != F.col("node")) & once)
+    if inside is not None:
+        found = found.where(F.col("met").isNull() | ~F.array_contains("met", F.col("node")))
+    return found.select("anchor", "node")
+
+
 def expand(edges: DataFrame, anchors: DataFrame, depth: int, methods: DataFrame | None = None, types: tuple[str, ...] = NEIGHBOUR_TYPES) -> DataFrame:
-    """G1 (with A3, O6): undirected expansion; only methods are returned (if a table with chunk_id is given), the anchor at 0."""
-    pairs = both_ways(by_type(edges, *types)).select("src", "dst")
-    found = _reach(pairs, anchors, depth)
-    return found.join(methods.select(F.col("chunk_id").alias("node")), "node", "left_semi").select("anchor", "node", "hop") if methods is not None else found
+    """G1 (with A3, O6): undirected expansion; only methods are returned (if a table with chunk_id is given), the anchor at 0.
+
+    The last hop from types to their members, the one that makes most pairs, is crossed(): what was met before is left out there."""
+    own = by_type(edges, *types)
+    pairs = both_ways(own).select("src", "dst")
+    kept = (lambda df: df.join(methods.select(F.col("chunk_id").alias("node")), "node", "left_semi")) if methods is not None else lambda df: df
+    if "BELONGS_TO" not in types or depth < 1:
+        return kept(_reach(pairs, anchors, depth)).select("anchor", "node", "hop")
+    before = cut(_reach(pairs, anchors, depth - 1))
+    front = before.where(F.col("hop") == depth - 1)
+    last = both_ways(own.where("edge_type <> 'BELONGS_TO'")).select("src", "dst").union(by_type(own, "BELONGS_TO").select("src", "dst"))
+    step = front.join(last, front["node"] == last["src"]).select("anchor", F.col("dst").alias("node"), F.lit(depth).alias("hop"))
+    near = cut(kept(before.unionByName(step).groupBy("anchor", "node").agg(F.min("hop").alias("hop"))).select("anchor", "node", "hop"))
+    members = _members(edges)
+    hubs = front.select("anchor", F.col("node").alias("owner")).join(members.select("owner"), "owner", "left_semi")
+    return near.unionByName(crossed(hubs, kept(members), near).withColumn("hop", F.lit(depth)))
 
 
 def context(edges: DataFrame, anchors: DataFrame, chunks: DataFrame, depth: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+from quillgraph.operators import graph
 from quillgraph.plans import registry
 
 WORD = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
@@ -107,3 +108,44 @@ def test_vector_index(spark, tmp_path):
     assert retrieval.retrieve(demo.chunks(spark, sf), e, demo.edges(spark, sf), query, None, 5).count() == 5
     empty = VectorIndex.build(odd.limit(0), f"file://{tmp_path}/none")
     assert empty.rows.count() == 0
+
+
+def test_pairs_of_members(spark, monkeypatch):
+    """Expansion and siblings where types are cut into blocks and methods belong to several types, against walks by hand."""
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    rows = [("BELONGS_TO", f"m{i}", f"T{i % 3}") for i in range(24)] + [("BELONGS_TO", f"m{i}", "T0") for i in (1, 2, 4)] + [("BELONGS_TO", f"m{i}", "T1") for i in (2, 5)] + [("BELONGS_TO", "m1", "T0"), ("BELONGS_TO", "field", "T1")]
+    rows += [("CALLS", f"m{i}", f"m{(i * 7 + 3) % 24}") for i in range(24)] + [("CALLS", "m1", "m4"), ("CALLS", "lone", "m3"), ("BELONGS_TO", "lone", "T9")]
+    names = [f"m{i}" for i in range(24)] + ["lone"]
+    edges, methods = spark.createDataFrame(rows, "edge_type string, src string, dst string"), spark.createDataFrame([(n,) for n in names], "chunk_id string")
+    anchors = spark.createDataFrame([("m1",), ("m2",), ("m2",), ("m9",), ("lone",), ("T1",)], "anchor string")
+    steps, own = {}, {(s, d) for t, s, d in rows if t == "BELONGS_TO"}
+    for _, s, d in rows:
+        steps.setdefault(s, set()).add(d)
+        steps.setdefault(d, set()).add(s)
+
+    def walk(a, depth):
+        hops = {a: 0}
+        for k in range(1, depth + 1):
+            for n in [n for n, h in hops.items() if h == k - 1]:
+                for d in steps.get(n, ()):
+                    hops.setdefault(d, k)
+        return {(a, n, h) for n, h in hops.items()}
+
+    asked = ["m1", "m2", "m9", "lone", "T1"]
+    got = lambda df: sorted(map(tuple, df.collect()))
+    want = sorted(w for a in asked for w in walk(a, 2))
+    assert got(graph.expand(edges, anchors, 2)) == want
+    for depth in (1, 3):
+        want = sorted(w for a in asked for w in walk(a, depth))
+        assert got(graph.expand(edges, anchors, depth, methods)) == [w for w in want if w[1] in names]
+    beside = sorted({(a, n) for a in asked for s, t in own if s == a for n, u in own if u == t and n != a})
+    assert got(graph.siblings(edges, anchors)) == beside
+    for depth, top_k in ((1, 10), (2, 60)):
+        want = set()
+        for a in asked:
+            found = {w for w in walk(a, depth) if w[1] in names}
+            # a type as anchor isn't among its neighbours
+            if len(found) - 1 < top_k // 2:
+                found = {w for w in walk(a, depth + 1) if w[1] in names}
+            want |= found | {(a, n, 1) for x, n in beside if x == a and n not in {w[1] for w in found}}
+        assert got(graph.retrieval_expansion(edges, anchors, methods, depth, top_k)) == sorted(want), (depth, top_k)
