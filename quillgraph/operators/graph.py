@@ -144,12 +144,19 @@ def crowds(edges: DataFrame, methods: DataFrame, least: int) -> DataFrame:
 
 def retrieval_expansion(edges: DataFrame, anchors: DataFrame, methods: DataFrame, depth: int, top_k: int) -> DataFrame:
     """G3 (with O8): G1; one hop more for anchors with fewer than top_k // 2 neighbours; siblings at 1 where they are absent."""
-    near = cut(expand(edges, anchors, depth, methods))
-    counts = near.groupBy("anchor").agg((F.count("*") - 1).alias("n")).where(F.col("n") < top_k // 2).select("anchor")
-    more = near if counts.isEmpty() else near.unionByName(expand(edges, counts, depth + 1, methods))
-    found = more.groupBy("anchor", "node").agg(F.min("hop").alias("hop"))
-    beside = siblings(edges, anchors).join(found.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("hop", F.lit(1))
-    return found.unionByName(beside)
+    few = anchors.select("anchor").distinct()
+    if depth >= 2:
+        # all methods of an anchor's types are within two hops, so anchors in types with enough of them needn't be counted
+        members = _members(edges)
+        full = members.distinct().join(methods.select(F.col("chunk_id").alias("node")), "node", "left_semi").groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n") > top_k // 2)
+        few = few.join(members.join(full, "owner", "left_semi").select(F.col("node").alias("anchor")), "anchor", "left_anti")
+    few = cut(few)
+    counts = few if few.isEmpty() else cut(expand(edges, few, depth, methods).groupBy("anchor").agg((F.count("*") - 1).alias("n")).where(F.col("n") < top_k // 2).select("anchor"))
+    if counts.isEmpty():
+        found = expand(edges, anchors, depth, methods)
+    else:
+        found = expand(edges, anchors.join(counts, "anchor", "left_anti"), depth, methods).unionByName(expand(edges, counts, depth + 1, methods))
+    return found.unionByName(_beside(edges, anchors, found, methods, depth))
 
 
 def _steps(edges: DataFrame, types: tuple[str, ...], directed: bool) -> DataFrame:
