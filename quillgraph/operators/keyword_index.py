@@ -13,6 +13,8 @@ from ..sources.tables import cut
 from . import lookup
 
 SEARCHED, WIDE = ("method_name", "class_name", "code", "chunk_id"), 3
+#: Characters of the texts of one task: under as many grams, of about 72 bytes each while they are sorted.
+TASK_CHARS = 8_000_000
 
 
 def _grams(text: Column) -> Column:
@@ -23,20 +25,34 @@ def _grams(text: Column) -> Column:
 
 
 def grams(chunks: DataFrame) -> DataFrame:
-    """(gram, chunk_id)."""
+    """(gram, chunk_id), once for each row of chunks."""
     every = F.array_distinct(F.flatten(F.array(*map(_grams, map(F.col, SEARCHED)))))
-    return chunks.select(F.explode(every).alias("gram"), "chunk_id").distinct()
+    return chunks.select(F.explode(every).alias("gram"), "chunk_id")
+
+
+def _dealt(graph: PartedGraph, chunks: DataFrame) -> DataFrame:
+    """Texts of the chunks, dealt to tasks of one part each and of about TASK_CHARS characters. Texts go out, not their grams, which are many
+    times their size; a task's grams fit its memory when they are sorted."""
+    own = chunks.select(*SEARCHED)
+    chars = F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in SEARCHED), F.lit(0).cast("long")))
+    # one row for each part
+    sizes = own.groupBy(graph.place("grams").alias("part")).agg(chars.alias("n")).orderBy("part").collect()
+    runs = [(r["part"], max(1, -(-r["n"] // TASK_CHARS))) for r in sizes]
+    if not runs:
+        return own
+    first = [sum(n for _, n in runs[:i]) for i in range(len(runs))]
+    told = F.element_at(F.create_map(*(x for (p, n), at in zip(runs, first, strict=True) for x in (F.lit(p), F.struct(F.lit(at).alias("at"), F.lit(n).alias("n"))))), graph.place("grams"))
+    return own.repartitionById(first[-1] + runs[-1][1], (told["at"] + F.pmod(F.xxhash64("chunk_id"), told["n"])).cast("int"))
 
 
 def put(graph: PartedGraph, chunks: DataFrame, owners: DataFrame | None = None) -> dict[str, set[int]]:
     """Files the chunks of some types in place of all that was filed of them: owners (fq) names types whose chunks may be gone, beside those
-    of the chunks. Only the parts of these types are written."""
-    new = cut(grams(chunks))
+    of the chunks. Only the parts of these types are written; what stays in them is written by the tasks that read it."""
     own = chunks.select(F.substring_index("chunk_id", "#", 1).alias("fq"))
     own = cut((own if owners is None else own.union(owners.select("fq"))).distinct())
     touched = {r[0] for r in own.select(graph.part(F.col("fq"))).distinct().collect()}
     rest = graph.stored("grams", touched).withColumn("fq", owner("grams")).join(own, "fq", "left_anti").select("gram", "chunk_id")
-    return graph.commit({"grams": rest.unionByName(new)}, {"grams": touched})
+    return graph.commit({"grams": rest.unionByName(grams(_dealt(graph, chunks)))}, {"grams": touched}, dealt=("grams",))
 
 
 def search(graph: PartedGraph, chunks: DataFrame, keyword: str) -> DataFrame:

@@ -28,3 +28,19 @@ def test_index_equals_scan(spark, tmp_path):
     plan = keyword_index.search(g, table(now), "fresh")._jdf.queryExecution().toString()
     assert "In(gram" in plan
     assert keyword_index.grams(table(rows)).where(F.length("gram") != 3).count() == 0
+
+
+def test_texts_are_dealt(spark, tmp_path, monkeypatch):
+    """Types of more than one task: every row is found as by a scan, repeated ids once for each row, and no gram is shuffled."""
+    monkeypatch.setattr(keyword_index, "TASK_CHARS", 300)
+    rows = [(f"p.T{i % 3}#m{i}", f"m{i}", None if i % 7 == 0 else f"T{i % 3}", f"void m{i}() {{ call{i * i}(); }}") for i in range(60)] + [("p.T1#m1", "m1", "T1", "again")]
+    table = spark.createDataFrame(rows, "chunk_id string, method_name string, class_name string, code string")
+    g = PartedGraph(spark, f"file://{tmp_path}/graph", 4)
+    keyword_index.put(g, table.where("chunk_id like 'p.T0%'"))
+    keyword_index.put(g, table)
+    found = lambda df: sorted(map(str, df.collect()))
+    for w in ("call1", "void", "M1(", "again", "p.t2#", "none such"):
+        assert found(keyword_index.search(g, table, w)) == found(lookup.search(table, w)), w
+    assert len(g.stored("grams").inputFiles()) > 4
+    plan = keyword_index.grams(keyword_index._dealt(g, table))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
